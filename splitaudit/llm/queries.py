@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import crc_mod
+
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contamination of every document by every benchmark item, windows of 13 words."""
@@ -22,5 +24,43 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination,)}
+def _learnable_labels(spark: SparkSession, sf_dir: str, m: int = 3, left_out: int = 1) -> DataFrame:
+    """Label rows outside the held-out fold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return labels.where(crc_mod(F.col("doc_id"), m) != left_out)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; learns from labels outside the fold crc32(doc_id) mod 3 = 1."""
+    from . import toxicity
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit(docs, _learnable_labels(spark, sf_dir))
+    scored = toxicity.score(docs, model, out="toxicity")
+    return scored.select(
+        "doc_id",
+        (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"),
+        F.col("toxicity.score").alias("score"),
+        (F.col("toxicity.score") >= 0.7).cast("int").alias("predicted"),
+        F.size("toxicity.spans").cast("long").alias("n_spans"),
+    )
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learns from documents outside the fold crc32(doc_id) mod 4 = 2."""
+    from . import langid
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
+    found = langid.identify(docs.select("doc_id", "text"), model, out="language")
+    return found.select(
+        "doc_id",
+        (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"),
+        F.col("language.lang").alias("lang_pred"),
+        F.col("language.score").alias("score"),
+        F.col("language.confident").alias("confident"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op5_toxicity, op10_language_id)}
 ORACLES: dict[str, str] = {}
