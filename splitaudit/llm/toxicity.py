@@ -1,18 +1,18 @@
 """Toxicity by a linear-chain conditional random field over words.
 
 Each word is tagged O or T (toxic).  Emissions come from hashed features of the word: the
-word itself, its first 3 to 6 bytes, its last 3, and the words beside it; transitions are
+word itself, its first 3 to 10 bytes, its last 3, and the words beside it; transitions are
 a 2 x 2 table.  Forward-backward gives each word's marginal probability of T; a document's
-score is a calibrated logistic of its largest marginal, and runs of words over one half are
+score is a calibrated logistic of its largest marginal and its number of tagged words, and runs of words over one half are
 the offending spans, with byte offsets.
 
 Labels are of documents, training needs words: a word of a toxic training document is
-labelled T if one of its features marks toxicity in the sample (seen in `MIN_DOCS` toxic
-documents or more, and, smoothed, in toxic ones almost alone); toxic documents without
-such a word are left out of training.  The field then learns from these labelled words.
+labelled T if one of its own features marks toxicity in the sample (the log-likelihood ratio
+of its document counts exceeds `MARK_RATIO`, and its rate in toxic documents is `MARK_LIFT`
+times that in others); toxic documents without such a word are left out of training.  The field then learns from these labelled words.
 
 Scale: the model is 2**17 weights whatever the corpus size and is trained in numpy on the
-driver from a bounded sample: at most about `SAMPLE_ROWS` documents of each label, none
+driver from a bounded sample: at most about `SAMPLE_TOXIC` and `SAMPLE_CLEAN` documents, none
 over `SAMPLE_TEXT_BYTES` (for training only).  Scoring is one map-only pass over whole texts;
 words are array elements, never Python objects.
 """
@@ -30,11 +30,13 @@ from .common import fresh, texts_of
 
 FEATURE_BITS = 17
 #: Training documents of each label, drawn by a hash of the id, and the most bytes of one.
-SAMPLE_ROWS = 1500
+SAMPLE_TOXIC = 800
+SAMPLE_CLEAN = 1800
 SAMPLE_TEXT_BYTES = 65_536
-#: A feature marks toxicity from so many toxic documents on.
-MIN_DOCS = 3
-_PREFIXES = (3, 4, 5, 6)
+#: Of features that mark toxicity: the least log-likelihood ratio, about 2 ln(distinct features of a sample), and the least lift.
+MARK_RATIO = 24.0
+MARK_LIFT = 12.0
+_PREFIXES = (3, 4, 5, 6, 8, 10)
 _OWN = 2 + len(_PREFIXES)  # features of the word itself; two of its neighbours follow
 
 
@@ -125,13 +127,14 @@ class Model:
         return total
 
     def raw_scores(self, p: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Log odds of each text's largest marginal; texts without words have the least."""
-        out = np.full(len(first) - 1, 1e-6)
+        """Log odds of each text's largest marginal plus the log of 1 + words tagged T; texts without words have the least."""
+        most, tagged = np.full(len(first) - 1, 1e-6), np.zeros(len(first) - 1)
         some = np.flatnonzero(np.diff(first))
         if len(some):
-            out[some] = np.maximum.reduceat(p, first[:-1][some])
-        out = np.clip(out, 1e-6, 1 - 1e-6)
-        return np.log(out / (1 - out))
+            most[some] = np.maximum.reduceat(p, first[:-1][some])
+            tagged[some] = np.add.reduceat((p > 0.5).astype(float), first[:-1][some])
+        most = np.clip(most, 1e-6, 1 - 1e-6)
+        return np.log(most / (1 - most)) + np.log1p(tagged)
 
     def tag(self, data: list[bytes]):
         """(score, spans) of each text; a span is (first byte, end byte, largest marginal)."""
@@ -157,36 +160,66 @@ class Model:
                 yield float(score[i]), spans.get(i, [])
 
 
-def label_words(x: np.ndarray, first: np.ndarray, toxic: np.ndarray, min_docs: int = MIN_DOCS) -> np.ndarray:
-    """Which words of toxic documents are labelled T."""
+def _ratio(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
+    """Log-likelihood ratio of document counts a of n_a and b of n_b against one common rate."""
+    rate = (a + b) / (n_a + n_b)
+
+    def part(x: np.ndarray, n: int) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            inside = np.where(x > 0, x * np.log(x / (n * rate)), 0.0)
+            outside = np.where(x < n, (n - x) * np.log((n - x) / (n * (1 - rate))), 0.0)
+        return np.nan_to_num(inside + outside)
+
+    return 2 * (part(a, n_a) + part(b, n_b))
+
+
+def label_words(x: np.ndarray, first: np.ndarray, toxic: np.ndarray, fitted: np.ndarray) -> np.ndarray:
+    """Which words of toxic documents are labelled T, by the counts of the documents to fit."""
     texts = np.repeat(np.arange(len(toxic)), np.diff(first))
     size = 1 << FEATURE_BITS
     marks = np.zeros(x.shape[1], dtype=bool)
-    n_tox, n_ok = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
+    n_tox, n_ok = int((toxic & fitted).sum()), int((~toxic & fitted).sum())
+    some = np.flatnonzero(fitted[texts])
     for row in x[:_OWN]:
-        seen = np.unique(texts.astype(np.int64) * size + row)
+        seen = np.unique(texts[some].astype(np.int64) * size + row[some])
         doc, f = seen // size, seen % size
         a = np.bincount(f[toxic[doc]], minlength=size)
         b = np.bincount(f[~toxic[doc]], minlength=size)
-        marking = (a >= min_docs) & ((a + 0.1) / n_tox >= 12 * (b + 0.1) / n_ok) & (a >= 6 * b)
+        marking = (_ratio(a, b, n_tox, n_ok) >= MARK_RATIO) & ((a + 0.1) / n_tox >= MARK_LIFT * (b + 0.1) / n_ok)
         marks |= marking[row]
     return marks & toxic[texts]
 
 
-def train(texts: list[bytes], toxic: list[int], epochs: int = 8, rate: float = 0.3, l2: float = 1e-6, seed: int = 11) -> Model:
-    """CRF weights by minibatch gradient (AdaGrad) on labelled words, then the score's calibration."""
+def train(texts: list[bytes], toxic: list[int], share: float | None = None, epochs: int = 8, rate: float = 0.3, l2: float = 1e-6, seed: int = 11) -> Model:
+    """CRF weights by minibatch gradient (AdaGrad) on labelled words, then the score's calibration.
+
+    `share` is the corpus' share of toxic documents, where the sample's own differs.
+    """
     toxic = np.array(toxic, dtype=bool)
     size = 1 << FEATURE_BITS
     weights, trans, bias = np.zeros(size), np.zeros((2, 2)), -3.0
     if not len(texts) or not toxic.any() or toxic.all():
-        base = (toxic.sum() + 0.5) / (len(toxic) + 1)
+        base = (toxic.sum() + 0.5) / (len(toxic) + 1) if share is None else min(0.99, max(0.01, share))
         return Model(weights, bias, trans, 0.0, float(np.log(base / (1 - base))))
-    w = K.words_of(texts, K.ALNUM_LOWER)
-    x, first = features(w), w.first
-    y = label_words(x, first, toxic)
+    parts, offsets = [], [np.zeros(1, dtype=np.int64)]
+    for lo, hi in K.chunks(texts):
+        w = K.words_of(texts[lo:hi], K.ALNUM_LOWER)
+        parts.append(features(w))
+        offsets.append(offsets[-1][-1] + w.first[1:])
+    x, first = np.concatenate(parts, axis=1), np.concatenate(offsets)
+    del parts, offsets, w
+    held = np.zeros(len(texts), dtype=bool)  # every fourth text of each label calibrates the score
+    for some in (np.flatnonzero(toxic), np.flatnonzero(~toxic)):
+        held[some[3::4]] = True
+    if not toxic[held].any() or toxic[held].all():
+        held[:] = True
+        fitted = np.ones(len(texts), dtype=bool)
+    else:
+        fitted = ~held
+    y = label_words(x, first, toxic, fitted)
     labelled = np.zeros(len(texts), dtype=bool)
     labelled[np.searchsorted(first, np.flatnonzero(y), side="right") - 1] = True
-    use = np.flatnonzero((labelled | ~toxic) & (np.diff(first) > 0))
+    use = np.flatnonzero(fitted & (labelled | ~toxic) & (np.diff(first) > 0))
     use = use[np.argsort(np.diff(first)[use], kind="stable")]  # batches of like length
     batches = [use[i : i + 48] for i in range(0, len(use), 48)]
     rng = np.random.default_rng(seed)
@@ -196,11 +229,12 @@ def train(texts: list[bytes], toxic: list[int], epochs: int = 8, rate: float = 0
             rows = batches[k]
             at = np.concatenate([np.arange(first[i], first[i + 1]) for i in rows])
             off = np.concatenate([[0], np.cumsum(np.diff(first)[rows])])
-            emit = weights[x[:, at]].sum(axis=0) + bias
+            some = x[:, at]
+            emit = weights[some].sum(axis=0) + bias
             p, joint = marginals(emit, off, trans, pairs=True)
             g = y[at] - p
             scale = 1.0 / len(rows)
-            grad = np.bincount(x[:, at].ravel(), weights=np.tile(g, len(x)), minlength=size) * scale - l2 * weights
+            grad = np.bincount(some.ravel(), weights=np.tile(g, len(x)), minlength=size) * scale - l2 * weights
             now = np.zeros((2, 2))
             inside = np.ones(len(at) - 1, dtype=bool)
             inside[off[1:-1] - 1] = False
@@ -214,28 +248,42 @@ def train(texts: list[bytes], toxic: list[int], epochs: int = 8, rate: float = 0
             trans = np.clip(trans + rate * grad_t / np.sqrt(square_t), -6, 6)
             bias += rate * grad_b / np.sqrt(square_b)
     model = Model(weights, float(bias), trans, 1.0, 0.0)
-    z = model.raw_scores(marginals(model.emissions(w), first, trans), first)
-    a, b = 1.0, 0.0  # logistic calibration by gradient steps on the mean log loss
-    prior = toxic.mean()
-    for _ in range(2000):
-        q = 1 / (1 + np.exp(-(a * z + b)))
-        err = q - np.where(toxic, 1 - 0.5 / (prior * len(z) + 1), 0.5 / ((1 - prior) * len(z) + 1))
-        a, b = max(0.05, a - 0.05 * float((err * z).mean())), b - 0.2 * float(err.mean())
-    model.scale, model.shift = a, b
+    emit = np.full(x.shape[1], model.bias)
+    for row in x:
+        emit += model.weights[row]
+    z = model.raw_scores(marginals(emit, first, trans), first)
+    model.scale, model.shift = calibrate(z[held], toxic[held], share)
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_TEXT_BYTES, **options) -> Model:
+def calibrate(z: np.ndarray, toxic: np.ndarray, share: float | None) -> tuple[float, float]:
+    """Platt's logistic of z by Newton steps, with the classes weighted to the corpus' share of toxic."""
+    n1, n0 = int(toxic.sum()), int((~toxic).sum())
+    target = np.where(toxic, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    share = n1 / (n1 + n0) if share is None else share
+    weight = np.where(toxic, share / max(1, n1), (1 - share) / max(1, n0)) * len(z)
+    a, b = 1.0, 0.0
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+        g, h = weight * (target - q), weight * q * (1 - q) + 1e-6
+        m = np.array([[(h * z * z).sum() + 0.1, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-3]])
+        da, db = np.linalg.solve(m, np.array([(g * z).sum(), g.sum()]))
+        step = min(1.0, 2.0 / max(abs(da), abs(db), 1e-9))
+        a, b = max(0.05, a + step * da), b + step * db
+    return float(a), float(b)
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", toxic_rows: int = SAMPLE_TOXIC, clean_rows: int = SAMPLE_CLEAN, text_bytes: int = SAMPLE_TEXT_BYTES, **options) -> Model:
     """Train on a bounded sample of labelled documents; a null label or text counts as no row."""
     marked = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y is not null").groupBy("k").agg(F.max("y").alias("y"))
     sizes = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0.0)
     for y, n in sizes.items():
-        share = F.when(F.col("y") == y, F.lit(min(1.0, rows / n))).otherwise(share)
+        share = F.when(F.col("y") == y, F.lit(min(1.0, (toxic_rows if y else clean_rows) / n))).otherwise(share)
     drawn = marked.withColumn("u", F.xxhash64("k").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)).where(F.col("u") < share)
     pool = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t")).where(F.col("t").isNotNull() & (F.octet_length("t") <= text_bytes))
-    got = sorted((r["k"], r["y"], bytes(r["t"])) for r in pool.join(F.broadcast(drawn), "k").select("k", "y", "t").limit(4 * rows).toLocalIterator())
-    return train([t for _, _, t in got], [y for _, y, _ in got], **options)
+    got = sorted((r["k"], r["y"], bytes(r["t"])) for r in pool.join(F.broadcast(drawn), "k").select("k", "y", "t").limit(2 * (toxic_rows + clean_rows)).toLocalIterator())
+    return train([t for _, _, t in got], [y for _, y, _ in got], share=sizes.get(1, 0) / max(1, sum(sizes.values())), **options)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str | None = None) -> DataFrame:
