@@ -41,7 +41,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"),
         F.col("toxicity.score").alias("score"),
-        (F.col("toxicity.score") >= 0.7).cast("int").alias("predicted"),
+        (F.col("toxicity.score") >= toxicity.CUT).cast("int").alias("predicted"),
         F.size("toxicity.spans").cast("long").alias("n_spans"),
     )
 
