@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, new_path
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,5 +62,30 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op5_toxicity, op10_language_id)}
-ORACLES: dict[str, str] = {}
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives in the shared folder and read back."""
+    from . import warc
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    path = new_path(spark, "warc")
+    warc.write_warc(warc.with_record_types(pages), path)
+    records = warc.read_warc(spark, path).where("gap_end is null")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op5_toxicity, op7_warc, op10_language_id)}
+ORACLES: dict[str, str] = {
+    "op7_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS payload FROM pages
+        ), d AS (
+            SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p
+        ), m AS (
+            SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS response FROM d
+        )
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN page_id < response THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id < response THEN response END AS refers_to
+        FROM m
+    """,
+}
