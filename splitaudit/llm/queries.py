@@ -73,7 +73,15 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op5_toxicity, op7_warc, op10_language_id)}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 ids of the 50k byte-level BPE."""
+    from . import packing
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return packing.pack(docs, packing.tokenizer_path("byte_bpe_50k.json"), ids=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op5_toxicity, op7_warc, op9_packing, op10_language_id)}
 ORACLES: dict[str, str] = {
     "op7_warc": """
         WITH p AS (
