@@ -24,6 +24,13 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.95."""
+    from .embeddings import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.95)
+
+
 def _learnable_labels(spark: SparkSession, sf_dir: str, m: int = 3, left_out: int = 1) -> DataFrame:
     """Label rows outside the held-out fold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
@@ -81,8 +88,27 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, packing.tokenizer_path("byte_bpe_50k.json"), ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op5_toxicity, op7_warc, op9_packing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op4_embedding_near_dedup, op5_toxicity, op7_warc, op9_packing, op10_language_id)}
 ORACLES: dict[str, str] = {
+    "op4_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        ), l AS (
+            SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
+        ), reach(x, y) AS (
+            SELECT x, y FROM l
+            UNION
+            SELECT r.x, l.y FROM reach r JOIN l ON r.y = l.x
+        ), n AS (
+            SELECT x, count(*) AS n_links FROM l GROUP BY x
+        ), c AS (
+            SELECT x, min(y) AS least FROM reach GROUP BY x
+        )
+        SELECT v.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links,
+               CAST(least(v.vec_id, coalesce(least, v.vec_id)) AS BIGINT) AS component_id,
+               v.vec_id <= coalesce(least, v.vec_id) AS kept
+        FROM v LEFT JOIN n ON n.x = v.vec_id LEFT JOIN c ON c.x = v.vec_id
+    """,
     "op7_warc": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS payload FROM pages
