@@ -24,6 +24,13 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that repeat an earlier window of 20 words."""
+    from .substrings import deduplicate
+
+    return deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet"), window=20)
+
+
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings at cosine 0.95."""
     from .embeddings import near_duplicates
@@ -88,7 +95,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, packing.tokenizer_path("byte_bpe_50k.json"), ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op4_embedding_near_dedup, op5_toxicity, op7_warc, op9_packing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_substring_dedup, op4_embedding_near_dedup, op5_toxicity, op7_warc, op9_packing, op10_language_id)}
 ORACLES: dict[str, str] = {
     "op4_embedding_near_dedup": """
         WITH RECURSIVE v AS (
