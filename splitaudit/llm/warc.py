@@ -37,6 +37,7 @@ _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: An empty gzip member: it stands between records, where a text writer puts its line ends.
 _EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 _MAGIC = b"\x1f\x8b\x08"
+_STEP = 8192
 _VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
 
 
@@ -119,13 +120,16 @@ def _parse(data: bytes, at: int) -> tuple[Record, int]:
 def _member(data: bytes, at: int) -> tuple[bytes, int]:
     """The plain bytes of the gzip member at an offset, and where it ends."""
     unpacker = zlib.decompressobj(31)
+    view, plain, end = memoryview(data), [], at
     try:
-        plain = unpacker.decompress(memoryview(data)[at:])
+        while not unpacker.eof and end < len(data):  # in steps: what follows the member is copied at each
+            plain.append(unpacker.decompress(view[end : end + _STEP]))
+            end += _STEP
     except zlib.error as e:
         raise _Bad(f"gzip: {e}") from None
     if not unpacker.eof:
         raise _Bad("gzip: cut short")
-    return plain, len(data) - len(unpacker.unused_data)
+    return b"".join(plain), min(end, len(data)) - len(unpacker.unused_data)
 
 
 def _looks_like_member(data: bytes, at: int) -> bool:
