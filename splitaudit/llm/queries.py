@@ -24,6 +24,14 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents at Jaccard 0.75 of 5-word shingles."""
+    from .jaccard import jaccard_components
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return jaccard_components(docs, n=5, threshold=(75, 100))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that repeat an earlier window of 20 words."""
     from .substrings import deduplicate
@@ -95,7 +103,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, packing.tokenizer_path("byte_bpe_50k.json"), ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_substring_dedup, op4_embedding_near_dedup, op5_toxicity, op7_warc, op9_packing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op3_substring_dedup, op4_embedding_near_dedup, op5_toxicity, op7_warc, op9_packing, op10_language_id)}
 ORACLES: dict[str, str] = {
     "op4_embedding_near_dedup": """
         WITH RECURSIVE v AS (

@@ -158,7 +158,11 @@ def shingle_sets(texts, n: int = 5, table: np.ndarray = SPACE_LOWER):
     A text of fewer words than n, but some, has its whole word sequence as its one
     shingle; a null text or one without words has none.
     """
-    data = encode(texts)
+    yield from shingle_sets_of(encode(texts), n, table)
+
+
+def shingle_sets_of(data: list[bytes], n: int = 5, table: np.ndarray = SPACE_LOWER):
+    """`shingle_sets` of texts that are UTF-8 bytes already."""
     for lo, hi in chunks(data):
         w = words_of(data[lo:hi], table)
         grams = gram_hashes(w.hash, n)
