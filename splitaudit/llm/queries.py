@@ -95,6 +95,20 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact and near-duplicate lines of all documents."""
+    from .lines import deduplicate
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = deduplicate(docs, counts="counts")
+    return found.select(
+        "doc_id",
+        F.col("counts.lines").alias("n_lines"),
+        F.col("counts.removed").alias("n_removed"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 ids of the 50k byte-level BPE."""
     from . import packing
@@ -103,7 +117,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, packing.tokenizer_path("byte_bpe_50k.json"), ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op3_substring_dedup, op4_embedding_near_dedup, op5_toxicity, op7_warc, op9_packing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op3_substring_dedup, op4_embedding_near_dedup, op5_toxicity, op7_warc, op8_line_dedup, op9_packing, op10_language_id)}
 ORACLES: dict[str, str] = {
     "op4_embedding_near_dedup": """
         WITH RECURSIVE v AS (
