@@ -84,6 +84,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that every document's lines, paragraphs or whole text state."""
+    from .licences import scan_licences
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = scan_licences(docs, out="licences")
+    best = F.element_at("licences", 1)
+    return found.select(
+        "doc_id",
+        F.size("licences").cast("long").alias("n_licences"),
+        F.array_join(F.array_sort(F.transform("licences", lambda x: x["licence"])), ",").alias("licences"),
+        F.when(F.size("licences") > 0, best["licence"]).alias("best_licence"),
+        F.when(F.size("licences") > 0, best["dice"]).alias("best_dice"),
+        F.when(F.size("licences") > 0, best["scope"]).alias("scope"),
+        F.when(F.size("licences") > 0, best["start"]).alias("start"),
+        F.when(F.size("licences") > 0, best["end"]).alias("end"),
+    )
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives in the shared folder and read back."""
     from . import warc
@@ -117,7 +136,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, packing.tokenizer_path("byte_bpe_50k.json"), ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op3_substring_dedup, op4_embedding_near_dedup, op5_toxicity, op7_warc, op8_line_dedup, op9_packing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op3_substring_dedup, op4_embedding_near_dedup, op5_toxicity, op6_license_scan, op7_warc, op8_line_dedup, op9_packing, op10_language_id)}
 ORACLES: dict[str, str] = {
     "op4_embedding_near_dedup": """
         WITH RECURSIVE v AS (
