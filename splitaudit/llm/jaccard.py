@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from . import blobs as B
 from . import tokens as K
 from .common import components, cut, shuffle_partitions, texts_of
+from .rowblocks import without_keys
 
 #: Prefix tokens that a group should hold on average.
 GROUP_TOKENS = 2_000_000
@@ -507,7 +508,9 @@ def _forest(members: list[tuple[int, int, bytes]], num: int, den: int) -> list[t
 
 
 def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of `docs` whose key is their component's least: one document of each group stays."""
+    """The rows of `docs` whose key is their component's least: one document of each group stays.
+
+    Documents with an empty set, and rows with a null key, stay.
+    """
     found = jaccard_components(docs, key, text, **options)
-    gone = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__gone")).distinct()
-    return docs.join(gone, F.col(key) == F.col("__gone"), "left_anti")
+    return without_keys(docs, key, found.where(F.col(key) != F.col("component_id")).select(key))

@@ -31,7 +31,8 @@ from pyspark.sql import types as T
 
 from . import blobs as B
 from . import tokens as K
-from .common import cut, fresh, shuffle_partitions, texts_of
+from .common import cut, shuffle_partitions, texts_of
+from .rowblocks import by_key, numbered, read_rows, send_rows
 
 MIN_BYTES = 20
 #: Lines of so many bytes on allow one edit, two edits.
@@ -40,8 +41,7 @@ MAX_TAU = 2
 #: Keys that a group should hold on average, and bytes that a map task settles at a time.
 GROUP_KEYS = 2_000_000
 LOCAL_BYTES = 8 << 20
-_REMOVED, _FIRST, _OCCUR, _INDEX, _PROBE, _PAIR, _WANTED, _ROWS = range(8)
-_NULL_ID = np.iinfo(np.int64).max
+_REMOVED, _FIRST, _OCCUR, _INDEX, _PROBE, _PAIR, _WANTED = range(7)  # all before rowblocks.ROWS
 #: Which of eight counters a byte adds to.
 _CLASS = (np.arange(256) * 0x9E3779B1 % (1 << 32) >> 29).astype(np.uint8)
 
@@ -221,17 +221,13 @@ def _by(h: np.ndarray, groups: int) -> np.ndarray:
     return (h.astype(np.uint64) % np.uint64(groups)).astype(np.int32)
 
 
-def _by_doc(ids: np.ndarray, groups: int) -> np.ndarray:
-    return _by(K.mix(ids.astype(np.uint64)), groups)
-
-
 def _groups(docs: DataFrame, text: str) -> int:
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     return max(shuffle_partitions(docs.sparkSession), int(size / 400 * 12 / GROUP_KEYS) + 1)
 
 
 def _send_removed(sender: B.Sender, ids: np.ndarray, crcs: np.ndarray, ordinals: np.ndarray, groups: int) -> None:
-    for part, at in B.split_by(_by_doc(ids, groups), groups):
+    for part, at in B.split_by(by_key(ids, groups), groups):
         sender.add(part, _REMOVED, B.pack(ids[at], crcs[at], B.narrow(ordinals[at]).astype(np.uint32)))
 
 
@@ -245,8 +241,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", counts
     empty result; other columns stay as they are.
     """
     groups = _groups(docs, text)
-    number = fresh(docs, "line_key")
-    rows = docs.withColumn(number, F.coalesce(F.col(key).cast("long"), F.lit(int(_NULL_ID))))
+    rows, number = numbered(docs, key)
     pairs_seen = cut(_scan(rows.select(F.col(number).alias("d"), F.col(text).alias("t")), groups), "line-pairs")
     losers = _near_losers(rows, pairs_seen, number, text, groups)
     removed = pairs_seen.where(F.col("kind") == _REMOVED).select("part", "kind", "blob").union(losers)
@@ -358,7 +353,7 @@ def _near_losers(rows: DataFrame, seen: DataFrame, number: str, text: str, group
         sender = B.Sender()
         for batch in batches:
             u, d, crc, line = (batch.column(c).to_numpy() for c in ("u", "d", "crc", "line"))
-            for part, at in B.split_by(_by_doc(d, groups), groups):
+            for part, at in B.split_by(by_key(d, groups), groups):
                 sender.add(part, _WANTED, B.pack(u[at], d[at], crc[at], line[at]))
         yield from sender.rest()
 
@@ -371,7 +366,7 @@ def _near_losers(rows: DataFrame, seen: DataFrame, number: str, text: str, group
                         wanted.setdefault((d, crc), []).append((line, u))
                     continue
                 out = []
-                docs = pa.ipc.open_stream(blob).read_all()
+                docs = read_rows(blob)
                 for d, data in zip(docs.column(0).to_pylist(), docs.column(1).cast(pa.binary()).to_pylist(), strict=True):
                     asked = wanted.pop((d, zlib.crc32(data or b"")), None)
                     if asked:
@@ -381,7 +376,7 @@ def _near_losers(rows: DataFrame, seen: DataFrame, number: str, text: str, group
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.binary()], strict=True)], names=["u", "d", "crc", "line", "bytes"])
 
     slim = rows.select(F.col(number).alias("d"), F.col(text).alias("t"))
-    met = wanted.mapInArrow(send_wanted, B.SCHEMA).union(_send_rows(slim, "d", groups)).repartitionById(groups, F.col("part")).sortWithinPartitions("kind")
+    met = wanted.mapInArrow(send_wanted, B.SCHEMA).union(send_rows(slim, "d", groups)).repartitionById(groups, F.col("part")).sortWithinPartitions("kind")
     contents = cut(met.mapInArrow(fetch, "u long, d long, crc long, line long, bytes binary"), "lines")
     right = contents.select(F.col("u").alias("v"), F.col("d").alias("d2"), F.col("crc").alias("crc2"), F.col("line").alias("line2"), F.col("bytes").alias("bytes2"))
 
@@ -406,26 +401,6 @@ def _near_losers(rows: DataFrame, seen: DataFrame, number: str, text: str, group
     return pairs.join(contents, "u").join(right, "v").select("d", "crc", "line", "bytes", "d2", "crc2", "line2", "bytes2").mapInArrow(verify, B.SCHEMA)
 
 
-def _send_rows(rows: DataFrame, number: str, groups: int) -> DataFrame:
-    """Whole rows to the groups of their keys, as compressed record batches."""
-
-    def run(batches):
-        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=1))
-        sender = B.Sender()
-        for batch in batches:
-            ids = batch.column(number).to_numpy()
-            for part, at in B.split_by(_by_doc(ids, groups), groups):
-                for lo in range(0, len(at), 256):
-                    sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
-                        writer.write_batch(batch.take(pa.array(at[lo : lo + 256])))
-                    sender.add(part, _ROWS, sink.getvalue().to_pybytes())
-                yield from sender.full()
-        yield from sender.rest()
-
-    return rows.mapInArrow(run, B.SCHEMA)
-
-
 def _settle(rows: DataFrame, removed: DataFrame, number: str, text: str, groups: int, counts: str | None) -> DataFrame:
     names = [c for c in rows.columns if c != number]
     schema = T.StructType([f for f in rows.schema.fields if f.name != number])
@@ -441,7 +416,7 @@ def _settle(rows: DataFrame, removed: DataFrame, number: str, text: str, groups:
                     for d, crc, line in zip(*(x.tolist() for x in B.unpack(blob)), strict=True):
                         gone.setdefault((d, crc), set()).add(line)
                     continue
-                table = pa.ipc.open_stream(blob).read_all()
+                table = read_rows(blob)
                 new, lines, removed_ = [], [], []
                 for d, data in zip(table.column(number).to_pylist(), table.column(text).cast(pa.binary()).to_pylist(), strict=True):
                     drop = gone.get((d, zlib.crc32(data or b"")), ())
@@ -461,5 +436,5 @@ def _settle(rows: DataFrame, removed: DataFrame, number: str, text: str, groups:
                     out.append(counts)
                 yield pa.RecordBatch.from_arrays(columns, names=out)
 
-    both = removed.union(_send_rows(rows, number, groups)).repartitionById(groups, F.col("part")).sortWithinPartitions("kind")
+    both = removed.union(send_rows(rows, number, groups)).repartitionById(groups, F.col("part")).sortWithinPartitions("kind")
     return both.mapInArrow(run, schema)
