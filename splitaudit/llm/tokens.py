@@ -27,14 +27,15 @@ def _power_table(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of the base and of its inverse, kept for reuse."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = 1 << max(10, (n - 1).bit_length())
+        size = -(-n // (1 << 18)) << 18
         tables = []
         for b in (base, pow(base, -1, 1 << 64)):
             t = np.ones(size, dtype=np.uint64)
             done = 1
             while done < size:
-                t[done : 2 * done] = t[:done] * np.uint64(pow(b, done, 1 << 64))
-                done *= 2
+                more = min(done, size - done)
+                t[done : done + more] = t[:more] * np.uint64(pow(b, done, 1 << 64))
+                done += more
             tables.append(t)
         have = _powers[base] = (tables[0], tables[1])
     return have[0][:n], have[1][:n]
