@@ -89,11 +89,9 @@ class _Elements:
     def until(self, stop: int):
         """(tag, value) of elements below a group number."""
         while self.at < len(self.data):
-            begin = self.at
+            if struct.unpack(self.order + "H", self.data[self.at : self.at + 2].ljust(2, b"\0"))[0] >= stop:
+                return  # what follows may be of another form
             tag, _, size = self.head()
-            if tag[0] >= stop:
-                self.at = begin
-                return
             if size == _UNDEFINED:
                 self.skip_sequence()
                 continue
