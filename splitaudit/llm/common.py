@@ -13,12 +13,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_own_roots: dict[str, str] = {}
+
+
 def work_root(spark: SparkSession) -> str:
     """The shared folder that spark.checkpoint.dir names; a folder of our own only where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="splitaudit-work-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _own_roots:
+            _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="splitaudit-work-")
+        root = _own_roots[app]
     return root.rstrip("/")
 
 
