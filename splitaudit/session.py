@@ -12,8 +12,16 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+#: Rows in a batch between the JVM and Python at most; both sides hold whole batches.
+BATCH_ROWS = 2500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a context, so that they can import it from any folder."""
+    """Send this package to the executors once a context, so that they can import it from any folder, and
+    bound the session's Arrow batches."""
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
