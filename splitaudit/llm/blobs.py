@@ -41,7 +41,7 @@ def rows(parts: list[int], kinds: list[int], blobs: list[bytes]) -> pa.RecordBat
 
 SCHEMA = "part int, kind int, blob binary"
 #: Bytes of blobs in one record batch.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 class Sender:

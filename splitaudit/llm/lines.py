@@ -40,7 +40,7 @@ ONE_EDIT, TWO_EDITS = 20, 40
 MAX_TAU = 2
 #: Keys that a group should hold on average, and bytes that a map task settles at a time.
 GROUP_KEYS = 2_000_000
-LOCAL_BYTES = 2 << 20
+LOCAL_BYTES = 1 << 20
 _REMOVED, _FIRST, _OCCUR, _INDEX, _PROBE, _PAIR, _WANTED = range(7)  # all before rowblocks.ROWS
 #: Which of eight counters a byte adds to.
 _CLASS = (np.arange(256) * 0x9E3779B1 % (1 << 32) >> 29).astype(np.uint8)

@@ -178,7 +178,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         for batch in batches:
             salts = batch.column("s").to_numpy()
             data = [x or b"" for x in texts_of(batch, "t")]
-            for lo, hi in K.chunks(data, 8 << 20):
+            for lo, hi in K.chunks(data, 2 << 20):
                 keys = _keys(data[lo:hi], salts[lo:hi])
                 found = encode([x.decode("utf-8", "replace") for x in data[lo:hi]])
                 arrays = [np.array([*x, end_id], dtype="<u4") for x in found]

@@ -18,7 +18,7 @@ _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _BASE2 = 0xD6E8FEB86659FD93
 #: Bytes of text that one kernel call works on; larger batches are cut into several calls.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
