@@ -116,5 +116,7 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 40) -> DataFr
         old, path = path, new_path(spark, "edges")
         small.where("u <> v").distinct().write.parquet(path)
         drop_path(spark, old)
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = spark.read.schema(schema).parquet(path)
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select(F.col("v"), F.col("v"))).distinct()
