@@ -14,7 +14,8 @@ Around that join:
 * every unit names as hub the least unit of its posting lists that it meets most often.
   Units of one hub, which hold the large groups of near copies, are joined in memory by counting
   overlaps in blocks of bounded size, and give a spanning forest; prefixes then only have to
-  find pairs across hubs.  So no group's pairs are ever put out.
+  find pairs across hubs.  Hubs between which posting lists would give `MERGE_POSTINGS` pairs or
+  more are one hub.  So no group's pairs are ever put out.
 
 Scale: tokens travel as arrays in blocks, dealt by token or by unit into groups sized from
 the corpus; posting lists of a token hold a row a unit; blocks of a hub hold `BLOCK_TOKENS`.
@@ -42,6 +43,8 @@ LOCAL_BYTES = 12 << 20
 FIRST_SHARE = 0.08
 #: Cost of verifying a candidate, in postings.
 VERIFY_COST = 4.0
+#: Pairs of postings between two hubs from which they are joined as one.
+MERGE_POSTINGS = 1000
 #: Tokens in a block of a hub's units.
 BLOCK_TOKENS = 500_000
 _INFO, _TOKENS, _ALIVE, _TEXTS = 0, 1, 2, 3
@@ -344,6 +347,63 @@ def _links(units: DataFrame, groups: int, num: int, den: int) -> DataFrame:
     hubs = by_token.mapInArrow(name_hubs, B.SCHEMA).repartitionById(groups, F.col("part")).mapInArrow(choose_hubs, "u long, hub long")
     hubbed = cut(units.join(hubs, "u"), "hubs")
 
+    def long_prefixes(batches):
+        sender = B.Sender()
+        for batch in batches:
+            u, hub, m, base, ell = (batch.column(c).to_numpy() for c in ("u", "hub", "n", "base", "ell"))
+            t = batch.column("t").to_pylist()
+            for lo in range(0, len(u), 1000):
+                some = slice(lo, lo + 1000)
+                heads = [np.frombuffer(x, dtype="<u8", count=int(b)) for x, b in zip(t[some], base[some] + ell[some], strict=True)]
+                owner = _units_of(np.array([len(h) for h in heads]))
+                place = np.arange(len(owner)) - np.repeat(np.cumsum([len(h) for h in heads]) - [len(h) for h in heads], [len(h) for h in heads])
+                level = np.maximum(1, place + 1 - base[some][owner])  # the least l whose prefix holds the token
+                tokens = np.concatenate(heads)
+                _send(sender, _TOKENS, groups, tokens, owner, [u[some], hub[some], m[some], ell[some]], [tokens, level.astype(np.uint32)])
+            yield from sender.full()
+        yield from sender.rest()
+
+    def hub_pairs(batches):
+        got = _gather(batches, _TOKENS, 4)
+        if not got:
+            return
+        owner, _, hub, _, _, token, _ = got
+        of = hub[owner]
+        order = np.lexsort((of, token))
+        token, of = token[order], of[order]
+        new = np.ones(len(token), dtype=bool)
+        new[1:] = (token[1:] != token[:-1]) | (of[1:] != of[:-1])
+        at = np.flatnonzero(new)
+        times, token, of = np.diff(np.append(at, len(of))), token[at], of[at]
+        edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+        held: list[tuple[np.ndarray, ...]] = []
+        pending = 0
+
+        def total():
+            x, y, w = (np.concatenate([h[i] for h in held]) for i in range(3))
+            o = np.lexsort((y, x))
+            x, y, w = x[o], y[o], w[o]
+            first = np.ones(len(x), dtype=bool)
+            first[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+            at = np.flatnonzero(first)
+            return [(x[at], y[at], np.add.reduceat(w, at))]
+
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            for i in range(a, b - 1 if b - a > 1 else a):
+                held.append((np.full(b - i - 1, of[i]), of[i + 1 : b], times[i] * times[i + 1 : b]))
+                pending += b - i - 1
+            if pending > 2_000_000:
+                held = total()
+                pending = 0
+        if held:
+            for x, y, w in total():
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(w)], names=["x", "y", "w"])
+
+    postings = hubbed.mapInArrow(long_prefixes, B.SCHEMA).repartitionById(groups, F.col("part")).mapInArrow(hub_pairs, "x long, y long, w long")
+    close = cut(postings.groupBy("x", "y").agg(F.sum("w").alias("w")).where(F.col("w") >= MERGE_POSTINGS), "hub-pairs")
+    merged = components(close, "x", "y").select(F.col("node").alias("hub"), "component")
+    hubbed = cut(hubbed.join(merged, "hub", "left").withColumn("hub", F.coalesce("component", "hub")).drop("component"), "merged-hubs")
+
     sizes = hubbed.groupBy("hub").agg(F.sum("m").alias("tokens"), F.count("*").alias("rows")).where("rows > 1")
     sizes = sizes.select("hub", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks"))
     blocked = hubbed.join(sizes, "hub").withColumn("own", (F.xxhash64("u").bitwiseAND(F.lit(0x7FFFFFFF)) % F.col("blocks")).cast("int"))
@@ -377,22 +437,6 @@ def _links(units: DataFrame, groups: int, num: int, den: int) -> DataFrame:
 
     inside = paired.repartition(groups, "hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(join_blocks, "u long, v long")
 
-    def long_prefixes(batches):
-        sender = B.Sender()
-        for batch in batches:
-            u, hub, m, base, ell = (batch.column(c).to_numpy() for c in ("u", "hub", "n", "base", "ell"))
-            t = batch.column("t").to_pylist()
-            for lo in range(0, len(u), 1000):
-                some = slice(lo, lo + 1000)
-                heads = [np.frombuffer(x, dtype="<u8", count=int(b)) for x, b in zip(t[some], base[some] + ell[some], strict=True)]
-                owner = _units_of(np.array([len(h) for h in heads]))
-                place = np.arange(len(owner)) - np.repeat(np.cumsum([len(h) for h in heads]) - [len(h) for h in heads], [len(h) for h in heads])
-                level = np.maximum(1, place + 1 - base[some][owner])  # the least l whose prefix holds the token
-                tokens = np.concatenate(heads)
-                _send(sender, _TOKENS, groups, tokens, owner, [u[some], hub[some], m[some], ell[some]], [tokens, level.astype(np.uint32)])
-            yield from sender.full()
-        yield from sender.rest()
-
     def cross_pairs(batches):
         got = _gather(batches, _TOKENS, 4)
         sender = B.Sender()
