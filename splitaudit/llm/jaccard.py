@@ -39,6 +39,8 @@ from .rowblocks import without_keys
 GROUP_TOKENS = 2_000_000
 #: Bytes of text that a map task works on at a time.
 LOCAL_BYTES = 12 << 20
+#: Tokens that a map task gathers before it deals them, so that blocks do not become small.
+DEAL_TOKENS = 1_000_000
 #: Matches asked for in the first pass, as a share of the set.
 FIRST_SHARE = 0.08
 #: Cost of verifying a candidate, in postings.
@@ -206,6 +208,18 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     def whole_sets(batches):
         sender = B.Sender()
         alive: dict[int, set[int]] = {}
+        units: list[int] = []
+        sets: list[np.ndarray] = []
+        held = 0
+
+        def deal():
+            if sets:
+                sizes = np.array([len(s) for s in sets], dtype=np.int64)
+                tokens = np.concatenate(sets)
+                _send(sender, _TOKENS, groups, tokens, _units_of(sizes), [np.array(units, dtype=np.uint64), sizes], [tokens])
+            units.clear()
+            sets.clear()
+
         for batch in batches:
             for k, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 if k == _ALIVE:
@@ -218,16 +232,16 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 data = zstandard.ZstdDecompressor().decompress(packed.tobytes(), max_output_size=int(lengths.sum()) + 1)
                 ends = np.cumsum(lengths)
                 some = [(d, data[e - m : e]) for d, e, m in zip(ids.tolist(), ends.tolist(), lengths.tolist(), strict=True) if d in alive]
-                units, sets = [], []
                 for (d, _), (s, h) in zip(some, _sets([x for _, x in some], n), strict=True):
                     if len(s) and int(np.uint64(h).astype(np.int64)) in alive[d]:
                         units.append(h)
                         sets.append(s)
-                if sets:
-                    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-                    tokens = np.concatenate(sets)
-                    _send(sender, _TOKENS, groups, tokens, _units_of(sizes), [np.array(units, dtype=np.uint64), sizes], [tokens])
+                        held += len(s)
+                if held >= DEAL_TOKENS:
+                    deal()
+                    held = 0
                 yield from sender.full()
+        deal()
         yield from sender.rest()
 
     def frequencies(batches):
@@ -298,10 +312,10 @@ def _links(units: DataFrame, groups: int, num: int, den: int) -> DataFrame:
         sender = B.Sender()
         for batch in batches:
             u, base, t = batch.column("u").to_numpy(), batch.column("base").to_numpy(), batch.column("t").to_pylist()
-            for lo in range(0, len(u), 1000):
-                heads = [np.frombuffer(x, dtype="<u8", count=int(b) + 1) for x, b in zip(t[lo : lo + 1000], base[lo : lo + 1000], strict=True)]
+            if len(u):
+                heads = [np.frombuffer(x, dtype="<u8", count=int(b) + 1) for x, b in zip(t, base, strict=True)]
                 tokens = np.concatenate(heads)
-                _send(sender, _TOKENS, groups, tokens, _units_of(np.array([len(h) for h in heads])), [u[lo : lo + 1000]], [tokens])
+                _send(sender, _TOKENS, groups, tokens, _units_of(np.array([len(h) for h in heads])), [u], [tokens])
             yield from sender.full()
         yield from sender.rest()
 
@@ -352,14 +366,14 @@ def _links(units: DataFrame, groups: int, num: int, den: int) -> DataFrame:
         for batch in batches:
             u, hub, m, base, ell = (batch.column(c).to_numpy() for c in ("u", "hub", "n", "base", "ell"))
             t = batch.column("t").to_pylist()
-            for lo in range(0, len(u), 1000):
-                some = slice(lo, lo + 1000)
-                heads = [np.frombuffer(x, dtype="<u8", count=int(b)) for x, b in zip(t[some], base[some] + ell[some], strict=True)]
-                owner = _units_of(np.array([len(h) for h in heads]))
-                place = np.arange(len(owner)) - np.repeat(np.cumsum([len(h) for h in heads]) - [len(h) for h in heads], [len(h) for h in heads])
-                level = np.maximum(1, place + 1 - base[some][owner])  # the least l whose prefix holds the token
+            if len(u):
+                heads = [np.frombuffer(x, dtype="<u8", count=int(b)) for x, b in zip(t, base + ell, strict=True)]
+                sizes = np.array([len(h) for h in heads])
+                owner = _units_of(sizes)
+                place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                level = np.maximum(1, place + 1 - base[owner])  # the least l whose prefix holds the token
                 tokens = np.concatenate(heads)
-                _send(sender, _TOKENS, groups, tokens, owner, [u[some], hub[some], m[some], ell[some]], [tokens, level.astype(np.uint32)])
+                _send(sender, _TOKENS, groups, tokens, owner, [u, hub, m, ell], [tokens, level.astype(np.uint32)])
             yield from sender.full()
         yield from sender.rest()
 
