@@ -220,6 +220,39 @@ def test_licences(spark, rows):
     assert scan_licences(frame(spark, texts).where("doc_id < 0")).count() == 0
 
 
+def test_licences_inside_longer_texts():
+    from splitaudit.llm.licence_templates import TEMPLATES
+    from splitaudit.llm.licences import Scanner
+
+    prose_ = "Some words about a project that are long enough to count for something here."
+    notice = {n: next(t for m, t in TEMPLATES if m == n and 300 < len(t) < 2000) for n in ("MIT", "Apache-2.0", "GPL-3.0")}
+    breaks = {"MIT": ["The above copyright notice", "THE SOFTWARE IS PROVIDED"], "Apache-2.0": ["You may obtain", "Unless required"], "GPL-3.0": ["This program is distributed", "You should have received"]}
+    texts, names = [], []
+    for n, text in notice.items():
+        for b in breaks[n]:
+            assert b in text
+            text = text.replace(b, "\n\n" + b)
+        texts.append(f"# Title\n\n{prose_} {prose_}\n\nCopyright (c) 2001 Someone\n\n{text}\n\n{prose_}\n{prose_}\n")
+        names.append(n)
+    texts.append("# Title\n\nThis project is great. It was Released under the MIT License, as is its sibling. " + prose_)
+    names.append("MIT")
+    got = list(Scanner(TEMPLATES, 0.9).scan([t.encode() for t in texts]))
+    assert [[m[0] for m in ms if m[1] >= 0.95] for ms in got] == [[n] for n in names]
+    assert texts[3].encode()[got[3][0][3] : got[3][0][4]] == b"Released under the MIT License" and got[3][0][2] == "words"
+    assert texts[0].encode()[got[0][0][3] :].startswith(b"Permission is hereby granted")
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("abcdef"), max_size=24), st.lists(st.lists(st.sampled_from("abcdef"), min_size=2, max_size=9), min_size=1, max_size=3), st.sampled_from([0.5, 0.8, 0.9]))
+def test_every_run_of_words_is_compared(words, templates, t):
+    from splitaudit.llm.licences import Scanner
+
+    known = [(str(i), " ".join(x)) for i, x in enumerate(templates)]
+    (got,) = Scanner(known, t).scan([" ".join(words).encode()])
+    want = {n: max((brute.dice(" ".join(words[a:b]), x) for a in range(len(words)) for b in range(a + 1, len(words) + 1)), default=0.0) for n, x in known}
+    assert {m[0]: round(m[1], 9) for m in got} == {n: round(d, 9) for n, d in want.items() if d >= t - 1e-12}
+
+
 def test_warc_round_trip(spark, tmp_path):
     from splitaudit.llm import warc
 
