@@ -9,8 +9,8 @@ bit-parallel edit distance, many pairs side by side.
 
 What goes: every occurrence of a line but the first, in the order of key and line; and the
 first occurrence of a line that is within tau of another line whose first occurrence is
-earlier (tau of the shorter one).  Lines under `MIN_BYTES` bytes always stay.  All is judged
-on the input, not on what is left.
+earlier (tau of the shorter one).  Lines under `MIN_BYTES` bytes have no near copies, only exact
+ones.  All is judged on the input, not on what is left.
 
 Scale: a map task settles its own exact repeats and sends each distinct line once, so a line
 that a third of all documents hold is a row a task.  Keys travel as arrays dealt by key;
@@ -47,7 +47,7 @@ _CLASS = (np.arange(256) * 0x9E3779B1 % (1 << 32) >> 29).astype(np.uint8)
 
 
 def tau(length: np.ndarray) -> np.ndarray:
-    """Edits that a line of so many bytes allows; -1 for a line that always stays."""
+    """Edits that a line of so many bytes allows; -1 for a line that has only exact copies."""
     return np.where(length < MIN_BYTES, -1, (length >= ONE_EDIT).astype(np.int64) + (length >= TWO_EDITS))
 
 
@@ -260,8 +260,7 @@ def _scan(rows: DataFrame, groups: int) -> DataFrame:
                 ids, data = all_ids[order], [all_data[i] for i in order]
                 crcs = np.array([zlib.crc32(x) for x in data], dtype=np.uint32)
                 x = Lines(data)
-                rows_ = np.flatnonzero(x.length >= MIN_BYTES)
-                by_hash = rows_[np.argsort(x.hash[rows_], kind="stable")]
+                by_hash = np.argsort(x.hash, kind="stable")
                 again = np.zeros(len(by_hash), dtype=bool)
                 again[1:] = x.hash[by_hash[1:]] == x.hash[by_hash[:-1]]
                 lead = by_hash[np.maximum.accumulate(np.where(again, 0, np.arange(len(by_hash))))] if len(by_hash) else by_hash

@@ -309,6 +309,14 @@ def test_lines(docs, rows, spark):
     assert sorted(((r[0] or -1), r[1]) for r in deduplicate(odd).collect()) == [(-1, ""), (1, "the same line of some length"), (1, "the same line of some length")]
 
 
+def test_short_lines_lose_their_exact_repeats(spark):
+    from splitaudit.llm.lines import deduplicate
+
+    texts = [(1, "Les.\n\nshort one\nLes.\n}"), (2, "Les.\nshort onf\n你好\n}"), (3, "你好\n\nshort one\nx"), (4, None), (5, "")]
+    got = {r["doc_id"]: (r["text"], r["c"]["lines"], r["c"]["removed"]) for r in deduplicate(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), counts="c").collect()}
+    assert got == {1: ("Les.\n\nshort one\n}", 4, 1), 2: ("short onf\n你好", 4, 2), 3: ("\nx", 3, 2), 4: (None, 0, 0), 5: ("", 0, 0)}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.binary(max_size=14), st.binary(max_size=14)), min_size=1, max_size=4), st.text("ab", max_size=30), st.integers(0, 4), st.integers(0, 3))
 def test_banded_distance(pairs, text, n, limit):
