@@ -347,6 +347,20 @@ def test_packing(spark, rows, docs):
         packing.pack(docs, path, size=1000)
 
 
+def test_literals_of_added_tokens_are_those_tokens():
+    from splitaudit.llm import packing
+
+    pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["a log line <|endoftext|> more text", "<|endoftext|>", "x  <|endoftext|>\n\n<|endoftext|><|endoftext|>é", "<|endoftext", ""]
+    encode = packing.encoder(path)
+    assert encode(texts) == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in encode(texts)[0] and encode.__name__ == "by_tiktoken"
+
+
 def test_hilbert_curve_is_one_path():
     from splitaudit.llm.packing import hilbert
 
