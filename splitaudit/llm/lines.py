@@ -1,15 +1,16 @@
 """Line dedup by a segment-partition edit join.
 
-A line of l bytes allows tau(l) edits and is cut into tau(l) + 1 segments; a line within
-that distance holds one of them unchanged, at a shifted place.  Each line indexes its own
+A line of l bytes allows tau(l) edits of code points and is cut into tau(l) + 1 segments of code
+points; a line within that distance holds one of them unchanged, at a shifted place.  Each line indexes its own
 segments under its length and, for each length that a shorter partner may have, probes the
-substrings that the multi-match-aware window leaves.  Equal keys of two lines make a
+substrings that the multi-match-aware window leaves; a partner of like length may have another tau, which its bytes
+bound.  Equal keys of two lines make a
 candidate unless their byte counts differ too much; candidates are verified by a banded
 bit-parallel edit distance, many pairs side by side.
 
 What goes: every occurrence of a line but the first, in the order of key and line; and the
 first occurrence of a line that is within tau of another line whose first occurrence is
-earlier (tau of the shorter one).  Lines under `MIN_BYTES` bytes have no near copies, only exact
+earlier (tau of the one of fewer bytes).  Lines under `MIN_BYTES` bytes have no near copies, only exact
 ones.  All is judged on the input, not on what is left.
 
 Scale: a map task settles its own exact repeats and sends each distinct line once, so a line
@@ -42,8 +43,6 @@ MAX_TAU = 2
 GROUP_KEYS = 2_000_000
 LOCAL_BYTES = 1 << 20
 _REMOVED, _FIRST, _OCCUR, _INDEX, _PROBE, _PAIR, _WANTED = range(7)  # all before rowblocks.ROWS
-#: Which of eight counters a byte adds to.
-_CLASS = (np.arange(256) * 0x9E3779B1 % (1 << 32) >> 29).astype(np.uint8)
 
 
 def tau(length: np.ndarray) -> np.ndarray:
@@ -68,49 +67,65 @@ class Lines:
         self.doc = np.searchsorted(w.first, np.arange(len(w.start)), side="right") - 1
         self.ordinal = np.arange(len(w.start)) - w.first[self.doc]
         pw, self.inv = K._power_table(len(w.raw) + 1)
+        begins = (w.raw & 0xC0) != 0x80
+        begins[self.start] = True
+        self.place = np.append(np.flatnonzero(begins), len(w.raw))  # first byte of each code point
+        count = np.cumsum(begins) - 1
+        self.char = count[self.start]
+        self.chars = count[w.end] - self.char  # what ends a line is a code point
         self.sums = np.zeros(len(w.raw) + 1, dtype=np.uint64)
         np.cumsum((w.raw.astype(np.uint64) + np.uint64(1)) * pw[: len(w.raw)], out=self.sums[1:])
 
-    def _key(self, line: np.ndarray, at: np.ndarray, size: np.ndarray, length: np.ndarray, i: int) -> np.ndarray:
-        a = self.start[line] + at
-        h = (self.sums[a + size] - self.sums[a]) * self.inv[a]
-        return K.mix(h + length.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64((i + 1) * 0x2545F4914F6CDD1D & K._MASK))
+    def _key(self, line: np.ndarray, at: np.ndarray, size: np.ndarray, length: np.ndarray, t: int, i: int) -> np.ndarray:
+        c = self.char[line] + at
+        a, b = self.place[c], self.place[c + size]
+        h = (self.sums[b] - self.sums[a]) * self.inv[a]
+        return K.mix(h + length.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64((t * (MAX_TAU + 1) + i + 1) * 0x2545F4914F6CDD1D & K._MASK))
 
     def index(self, rows: np.ndarray):
         """(row, key) of the segments that lines index."""
-        lengths, edits = self.length[rows], tau(self.length[rows])
+        lengths, edits = self.chars[rows], tau(self.length[rows])
         for t in range(MAX_TAU + 1):
             some = rows[edits == t]
             for i in range(t + 1 if len(some) else 0):
                 at, size = _segment(lengths[edits == t], t, i)
-                yield some, self._key(some, at, size, self.length[some], i)
+                yield some, self._key(some, at, size, self.chars[some], t, i)
 
     def probes(self, rows: np.ndarray):
         """(row, key) of the substrings at which lines look for partners no longer than they."""
+        rows = rows[self.length[rows] >= MIN_BYTES]
+        own, highest = tau(self.length[rows]), tau(self.length[rows] + 4 * MAX_TAU)
         for less in range(MAX_TAU + 1):
-            other = self.length[rows] - less
-            edits = np.where(other >= MIN_BYTES, tau(other), -1)
+            other = self.chars[rows] - less
+            lowest = tau(np.maximum(other, self.length[rows] - 4 * MAX_TAU))
             for t in range(max(1, less), MAX_TAU + 1):
-                some, length = rows[edits == t], other[edits == t]
+                picked = (lowest <= t) & (t <= highest) & (other > t)
+                some, length, like = rows[picked], other[picked], own[picked] == t
                 if not len(some):
                     continue
                 for i in range(t + 1):
                     at, size = _segment(length, t, i)
                     for shift in range(max(-i, less - (t - i)), min(i, less + t - i) + 1):
-                        if not less and not shift:
-                            continue  # that is the line's own index key
                         place = at + shift
-                        ok = (place >= 0) & (place + size <= self.length[some])
-                        yield some[ok], self._key(some[ok], place[ok], size[ok], length[ok], i)
+                        ok = (place >= 0) & (place + size <= self.chars[some])
+                        if not less and not shift:
+                            ok &= ~like  # that is the line's own index key
+                        yield some[ok], self._key(some[ok], place[ok], size[ok], length[ok], t, i)
 
     def sketches(self, rows: np.ndarray) -> np.ndarray:
-        """Counts of eight byte classes modulo 16, four bits each."""
+        """Counts of eight code point classes modulo 16, four bits each."""
         out = np.zeros(len(rows), dtype=np.uint32)
-        kinds = _CLASS[self.words.raw]
+        raw, at = self.words.raw, self.place[:-1]
+        value = raw[at].astype(np.uint32)
+        wide = np.flatnonzero(value >= 0x80)
+        for k in range(1, 4):
+            wide = wide[self.place[wide + 1] - at[wide] > k]
+            value[wide] = value[wide] * np.uint32(31) + raw[at[wide] + k]
+        kinds = (value * np.uint32(0x9E3779B1) >> np.uint32(29)).astype(np.uint8)
         for c in range(8):
             total = np.zeros(len(kinds) + 1, dtype=np.int32)
             np.cumsum(kinds == c, out=total[1:])
-            n = total[self.start[rows] + self.length[rows]] - total[self.start[rows]]
+            n = total[self.char[rows] + self.chars[rows]] - total[self.char[rows]]
             out |= (n & 15).astype(np.uint32) << np.uint32(4 * c)
         return out
 
@@ -124,8 +139,8 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def within(a: list[bytes], b: list[bytes], limit: int) -> np.ndarray:
-    """Whether each pair's edit distance is at most `limit` (0 to 20), by banded bit-parallel columns.
+def within(a: list, b: list, limit: int) -> np.ndarray:
+    """Whether each pair's edit distance, of bytes or of a str's code points, is at most `limit` (0 to 20), by banded bit-parallel columns.
 
     The band's cells of a column are the bits of a word; all pairs take a column at a time.
     """
@@ -157,7 +172,7 @@ def within(a: list[bytes], b: list[bytes], limit: int) -> np.ndarray:
     return out
 
 
-def _common(x: bytes, y: bytes) -> int:
+def _common(x: bytes | str, y: bytes | str) -> int:
     """Length of the common prefix."""
     n = min(len(x), len(y))
     if x[:n] == y[:n]:
@@ -174,19 +189,21 @@ def _common(x: bytes, y: bytes) -> int:
     return lo
 
 
-def _banded(short: list[bytes], long: list[bytes], limit: int) -> np.ndarray:
+def _banded(short: list, long: list, limit: int) -> np.ndarray:
     """Pattern: the long texts; text: the short ones.  Bit k of a column j is row j + k - limit."""
     width = 2 * limit + 1
     word = np.uint64((1 << width) - 1)
     n_long = np.array([len(x) for x in long])
     n_short = np.array([len(x) for x in short])
     top = int(n_long.max())
-    pattern = np.zeros((len(long), top + 2 * width), dtype=np.int16)
+    kind = np.int32 if isinstance(long[0], str) else np.int16
+    codes = lambda x: np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype="<u4") if isinstance(x, str) else np.frombuffer(x, dtype=np.uint8)
+    pattern = np.zeros((len(long), top + 2 * width), dtype=kind)
     pattern[:] = -1
-    text = np.full((len(short), int(n_short.max())), -2, dtype=np.int16)
+    text = np.full((len(short), int(n_short.max())), -2, dtype=kind)
     for k, (x, y) in enumerate(zip(short, long, strict=True)):
-        pattern[k, limit : limit + len(y)] = np.frombuffer(y, dtype=np.uint8)  # row r is at r + limit
-        text[k, : len(x)] = np.frombuffer(x, dtype=np.uint8)
+        pattern[k, limit : limit + len(y)] = codes(y)  # row r is at r + limit
+        text[k, : len(x)] = codes(x)
     one = np.uint64(1)
     # before the first column rows 0..limit hold 0..limit: rises at rows 1..limit, none above
     vp = np.full(len(long), ((1 << limit) - 1) << (limit + 1), dtype=np.uint64) >> one
@@ -385,10 +402,12 @@ def _near_losers(rows: DataFrame, seen: DataFrame, number: str, text: str, group
             a, b = batch.column("bytes").to_pylist(), batch.column("bytes2").to_pylist()
             limit = tau(np.minimum([len(x) for x in a], [len(x) for x in b])) if a else np.empty(0)
             near = np.zeros(len(a), dtype=bool)
+            plain = np.array([x.isascii() and y.isascii() for x, y in zip(a, b, strict=True)], dtype=bool)
             for t in range(1, MAX_TAU + 1):
-                some = np.flatnonzero(limit == t)
-                if len(some):
-                    near[some] = within([a[i] for i in some], [b[i] for i in some], t)
+                for ascii_, read in ((True, lambda x: x), (False, lambda x: x.decode("utf-8", "surrogateescape"))):
+                    some = np.flatnonzero((limit == t) & (plain == ascii_))
+                    if len(some):
+                        near[some] = within([read(a[i]) for i in some], [read(b[i]) for i in some], t)
             d, crc, line, d2, crc2, line2 = (batch.column(c).to_numpy()[near] for c in ("d", "crc", "line", "d2", "crc2", "line2"))
             second = (d < d2) | ((d == d2) & (line < line2))  # the second of the pair is later
             tie = (d == d2) & (line == line2)

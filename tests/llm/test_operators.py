@@ -317,6 +317,28 @@ def test_short_lines_lose_their_exact_repeats(spark):
     assert got == {1: ("Les.\n\nshort one\n}", 4, 1), 2: ("short onf\n你好", 4, 2), 3: ("\nx", 3, 2), 4: (None, 0, 0), 5: ("", 0, 0)}
 
 
+def test_near_lines_of_wide_characters(spark):
+    from splitaudit.llm.lines import deduplicate, tau
+
+    rng = random.Random(5)
+    lines = []
+    for letters in ("的一是不了人我在有他这中大来上", "abcdeéüß日", "ab😀é"):
+        for n in [*range(5, 26), 41, 42]:
+            x = "".join(rng.choice(letters) for _ in range(n))
+            lines.append(x)
+            for edits in (1, 2, 3):
+                y = list(x)
+                for _ in range(edits):
+                    k = rng.randrange(len(y))
+                    y[k : k + rng.randrange(2)] = rng.choice(["", "国", "z", "é", "😀"])
+                lines.append("".join(y))
+    lines = [x for x in dict.fromkeys(lines) if x]
+    size = [len(x.encode()) for x in lines]
+    lose = {j for i in range(len(lines)) for j in range(i + 1, len(lines)) if (t := int(tau(np.array(min(size[i], size[j]))))) > 0 and abs(len(lines[i]) - len(lines[j])) <= t and brute.edits(lines[i], lines[j]) <= t}
+    got = {r["doc_id"]: r["text"] for r in deduplicate(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)).collect()}
+    assert {i for i, x in got.items() if x == ""} == lose and len(lose) > 50
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.binary(max_size=14), st.binary(max_size=14)), min_size=1, max_size=4), st.text("ab", max_size=30), st.integers(0, 4), st.integers(0, 3))
 def test_banded_distance(pairs, text, n, limit):
