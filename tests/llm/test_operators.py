@@ -76,6 +76,15 @@ def test_contamination(spark, rows):
     assert match_benchmark(d.where("doc_id < 0"), bench).count() == 0
 
 
+def test_longer_templates_are_reported_under_their_own_identifier():
+    from splitaudit.llm.licence_templates import TEMPLATES
+    from splitaudit.llm.licences import Scanner
+
+    long = [(n, t) for n, t in TEMPLATES if len(t) > 300]
+    got = list(Scanner(TEMPLATES, 0.9).scan([t.encode() for _, t in long]))
+    assert [m[0][0] for m in got] == [n for n, _ in long] and "BSD-3-Clause" in dict(long)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=12), max_size=5), st.lists(st.sampled_from("abcd"), max_size=40), st.integers(1, 5))
 def test_automaton_finds_what_plain_search_finds(items, words, window):
