@@ -37,17 +37,21 @@ _FOLD[128:] = np.arange(128, 256)
 
 
 def grams(data: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Buckets of the grams that start at each byte, for each order; and each text's first byte."""
-    raw = _FOLD[np.frombuffer(_GAP.join(data) + _GAP + b" ", dtype=np.uint8)].astype(np.uint64)
+    """Buckets of the grams that start at each byte of the texts, for each order; and each text's first byte among them.
+
+    Behind a text its grams read spaces, never the next text.
+    """
+    raw = _FOLD[np.frombuffer(_GAP.join(data) + _GAP, dtype=np.uint8)].astype(np.uint64)
     lengths = np.fromiter(map(len, data), dtype=np.int64, count=len(data))
     first = np.zeros(len(data) + 1, dtype=np.int64)
-    np.cumsum(lengths + len(_GAP), out=first[1:])
+    np.cumsum(lengths, out=first[1:])
+    own = np.arange(first[-1]) + np.repeat(np.arange(len(data)) * len(_GAP), lengths) if len(data) > 1 else slice(0, first[-1])
     out, code = [], raw
     for n in range(2, max(_ORDERS) + 1):
         code = code[: len(raw) - n + 1] * np.uint64(257) + raw[n - 1 :]
         if n in _ORDERS:
-            h = (code + np.uint64(n << 40)) * np.uint64(0x9E3779B97F4A7C15)
-            out.append((h >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)[: first[-1]])
+            h = (code[own] + np.uint64(n << 40)) * np.uint64(0x9E3779B97F4A7C15)
+            out.append((h >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
     return out, first
 
 
@@ -60,13 +64,19 @@ def has_letter(data: bytes) -> bool:
     return any(map(str.isalpha, data.decode("utf-8", "replace").replace("�", "")))
 
 
+def pieces(data: bytes):
+    """Buckets of one text's grams, order by order, a piece of the text at a time (pieces overlap by what a gram needs)."""
+    for lo in range(0, max(1, len(data)), K.CHUNK_BYTES):
+        per_order, _ = grams([data[lo : lo + K.CHUNK_BYTES + max(_ORDERS) - 1]])
+        for h in per_order:
+            yield h[: K.CHUNK_BYTES]
+
+
 def counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and how often each occurs."""
     total = np.zeros(BUCKETS, dtype=np.int64)
-    for lo in range(0, len(data), K.CHUNK_BYTES):  # one text in pieces that overlap by what a gram needs
-        per_order, _ = grams([data[lo : lo + K.CHUNK_BYTES + max(_ORDERS) - 1]])
-        for h in per_order:
-            total += np.bincount(h[: K.CHUNK_BYTES], minlength=BUCKETS)
+    for h in pieces(data):
+        total += np.bincount(h, minlength=BUCKETS)
     at = np.flatnonzero(total)
     return at.astype(np.int32), total[at].astype(np.int32)
 
@@ -78,11 +88,16 @@ class Model:
     def probabilities(self, data: list[bytes]) -> np.ndarray:
         out = np.empty((len(data), len(self.langs)))
         for lo, hi in K.chunks(data):
-            per_order, first = grams(data[lo:hi])
+            size = np.array([max(1, len(x)) for x in data[lo:hi]])
             sums = np.zeros((hi - lo, len(self.langs)))
-            for h in per_order:
-                sums += np.add.reduceat(self.table[h], first[:-1], axis=0)
-            logits = (sums / (len(_ORDERS) * np.diff(first))[:, None] + self.bias) / self.temperature
+            if len(data[lo]) > K.CHUNK_BYTES:
+                sums[0] = sum(np.bincount(h, minlength=BUCKETS) for h in pieces(data[lo])) @ self.table
+            else:
+                per_order, first = grams(data[lo:hi])
+                some = np.flatnonzero(np.diff(first))
+                for h in per_order if len(some) else ():
+                    sums[some] += np.add.reduceat(self.table[h], first[:-1][some], axis=0)
+            logits = (sums / (len(_ORDERS) * size)[:, None] + self.bias) / self.temperature
             e = np.exp(logits - logits.max(axis=1, keepdims=True))
             out[lo:hi] = e / e.sum(axis=1, keepdims=True)
         return out

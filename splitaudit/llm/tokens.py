@@ -86,32 +86,73 @@ class Words:
     first: np.ndarray  # len(texts) + 1 offsets into the words
 
 
-def words_of(texts: list[bytes], table: np.ndarray, hashed: bool = True) -> Words:
-    """Words of each text under a byte table; NUL bytes never join words of two texts.
+def _values(raw: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Hash values of bytes; 0 for separators.
 
     Where the table keeps NUL as a word byte (white-space tables do), it is moved
     to a value of its own so that it differs from the separator.
     """
-    blob = b"\n".join(texts) + b"\n"
-    raw = np.frombuffer(blob, dtype=np.uint8)
     val = table[raw].astype(np.uint16)
     if table[1] == 1:  # white-space table: NUL is a word byte
         np.putmask(val, raw == 0, 256)
-    is_word = val != 0
-    edges = np.flatnonzero(np.diff(is_word.view(np.int8), prepend=np.int8(0)))
-    start, end = edges[0::2], edges[1::2]
+    return val
+
+
+def poly_hash(raw: np.ndarray, values) -> int:
+    """The polynomial over `values(bytes)` of one long byte string, a piece at a time."""
+    total = 0
+    for lo in range(0, len(raw), CHUNK_BYTES):
+        val = values(raw[lo : lo + CHUNK_BYTES]).astype(np.uint64)
+        pw, _ = _power_table(len(val))
+        total += int((val * pw).sum(dtype=np.uint64)) * pow(_BASE, lo, 1 << 64)
+    return total & _MASK
+
+
+def words_of(texts: list[bytes], table: np.ndarray, hashed: bool = True) -> Words:
+    """Words of each text under a byte table.
+
+    The buffer is taken in pieces that end at separators, so that what is held beside it grows
+    with its words, not with its bytes; a word longer than a piece is hashed by itself.
+    """
+    raw = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    starts, ends, hashes = [], [], []
+    at = 0
+    while at < len(raw):
+        stop = min(at + CHUNK_BYTES, len(raw))
+        val = _values(raw[at:stop], table)
+        if stop < len(raw):
+            gaps = np.flatnonzero(val == 0)
+            if len(gaps):
+                stop = at + int(gaps[-1]) + 1
+                val = val[: stop - at]
+            else:  # one word from here on
+                while (val := _values(raw[stop : stop + CHUNK_BYTES], table)).all():
+                    stop += CHUNK_BYTES
+                stop += int(np.argmin(val != 0))
+                starts.append(np.array([at]))
+                ends.append(np.array([stop]))
+                if hashed:
+                    hashes.append(np.array([poly_hash(raw[at:stop], lambda x: _values(x, table))], dtype=np.uint64))
+                at = stop
+                continue
+        edges = np.flatnonzero(np.diff((val != 0).view(np.int8), prepend=np.int8(0)))
+        start, end = edges[0::2], edges[1::2]
+        if hashed:
+            pw, inv = _power_table(len(val) + 1)
+            sums = np.zeros(len(val) + 1, dtype=np.uint64)
+            np.cumsum(val.astype(np.uint64) * pw[: len(val)], out=sums[1:])
+            hashes.append((sums[end] - sums[start]) * inv[start])
+        starts.append(start + at)
+        ends.append(end + at)
+        at = stop
+    start, end = (x[0] if len(x) == 1 else np.concatenate(x) for x in (starts, ends))
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     text_start = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum(lengths + 1, out=text_start[1:])
     first = np.searchsorted(start, text_start)
     h = np.empty(0, dtype=np.uint64)
     if hashed:
-        pw, inv = _power_table(len(raw) + 1)
-        sums = np.empty(len(raw) + 1, dtype=np.uint64)
-        sums[0] = 0
-        np.cumsum(val.astype(np.uint64) * pw[: len(raw)], out=sums[1:])
-        h = (sums[end] - sums[start]) * inv[start]
-        h = mix(h + (end - start).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+        h = mix((hashes[0] if len(hashes) == 1 else np.concatenate(hashes)) + (end - start).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
     return Words(raw, start, end, h, first)
 
 
@@ -128,6 +169,28 @@ def chunks(texts: list, limit: int = CHUNK_BYTES):
         yield lo, len(texts)
 
 
+def slices(text: bytes, table: np.ndarray, limit: int | None = None):
+    """A long text in parts of about `limit` bytes that end at separators (or hold one longer word)."""
+    limit = limit or CHUNK_BYTES
+    at = 0
+    while len(text) - at > limit:
+        stop = at + limit
+        gaps = np.flatnonzero(_values(np.frombuffer(text, dtype=np.uint8, count=limit, offset=at), table) == 0)
+        if len(gaps):
+            stop = at + int(gaps[-1]) + 1
+        else:
+            while stop < len(text):
+                gaps = np.flatnonzero(_values(np.frombuffer(text, dtype=np.uint8, count=min(limit, len(text) - stop), offset=stop), table) == 0)
+                if len(gaps):
+                    stop += int(gaps[0]) + 1
+                    break
+                stop = min(stop + limit, len(text))
+        yield text[at:stop]
+        at = stop
+    if at < len(text) or not text:
+        yield text[at:]
+
+
 def encode(texts) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]

@@ -42,31 +42,42 @@ _PREFIXES = (3, 4, 5, 6, 8, 10)
 _OWN = 2 + len(_PREFIXES)  # features of the word itself; two of its neighbours follow
 
 
-def features(w: K.Words) -> np.ndarray:
-    """(features, words) array of weight indices."""
+def feature_rows(w: K.Words):
+    """Weight indices of all words, one feature after the other: `_OWN` of the word itself, then two of its neighbours."""
     n = len(w.hash)
-    out = np.empty((_OWN + 2, n), dtype=np.int32)
-    low = K.ALNUM_LOWER[w.raw].astype(np.uint64)
-    pw, inv = K._power_table(len(low) + 1)
-    sums = np.zeros(len(low) + 1, dtype=np.uint64)
-    np.cumsum(low * pw[: len(low)], out=sums[1:])
-
-    def put(row: int, h: np.ndarray, kind: int) -> None:
-        out[row] = (K.mix(h + np.uint64(kind * 0x51_7CC1B727220A95 & K._MASK)) >> np.uint64(64 - FEATURE_BITS)).astype(np.int32)
-
-    put(0, w.hash, 1)
-    for row, k in enumerate(_PREFIXES, 1):
-        put(row, (sums[np.minimum(w.start + k, w.end)] - sums[w.start]) * inv[w.start], 2 + row)
-    tail = np.maximum(w.end - 3, w.start)
-    put(_OWN - 1, (sums[w.end] - sums[tail]) * inv[tail], 2)
-    before, after = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
-    before[1:], after[:-1] = w.hash[:-1], w.hash[1:]
+    pw, _ = K._power_table(max(_PREFIXES))
+
+    def index(h: np.ndarray, kind: int) -> np.ndarray:
+        return (K.mix(h + np.uint64(kind * 0x51_7CC1B727220A95 & K._MASK)) >> np.uint64(64 - FEATURE_BITS)).astype(np.int32)
+
+    def add(h: np.ndarray, begin: np.ndarray, j: int) -> None:
+        inside = np.flatnonzero(begin + j < w.end)
+        h[inside] += K.ALNUM_LOWER[w.raw[begin[inside] + j]].astype(np.uint64) * pw[j]
+
+    yield index(w.hash, 1)
+    h = np.zeros(n, dtype=np.uint64)
+    for j in range(max(_PREFIXES)):
+        add(h, w.start, j)
+        if j + 1 in _PREFIXES:
+            yield index(h, 3 + _PREFIXES.index(j + 1))
+    h[:] = 0
+    for j in range(3):
+        add(h, np.maximum(w.end - 3, w.start), j)
+    yield index(h, 2)
     inner = w.first[1:-1][(w.first[1:-1] > 0) & (w.first[1:-1] < n)]
-    before[inner] = 0
-    after[inner - 1] = 0
-    put(_OWN, before, 20)
-    put(_OWN + 1, after, 21)
-    return out
+    h = np.zeros(n, dtype=np.uint64)
+    h[1:] = w.hash[:-1]
+    h[inner] = 0
+    yield index(h, 20)
+    h = np.zeros(n, dtype=np.uint64)
+    h[:-1] = w.hash[1:]
+    h[inner - 1] = 0
+    yield index(h, 21)
+
+
+def features(w: K.Words) -> np.ndarray:
+    """(features, words) array of weight indices."""
+    return np.stack(list(feature_rows(w)))
 
 
 def marginals(emit: np.ndarray, first: np.ndarray, trans: np.ndarray, pairs: bool = False):
@@ -122,9 +133,8 @@ class Model:
         self.weights, self.bias, self.trans, self.scale, self.shift = weights.astype(np.float32), bias, trans, scale, shift
 
     def emissions(self, w: K.Words) -> np.ndarray:
-        x = features(w)
         total = np.full(len(w.hash), self.bias, dtype=np.float64)
-        for row in x:
+        for row in feature_rows(w):
             total += self.weights[row]
         return total
 
