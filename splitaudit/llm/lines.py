@@ -4,9 +4,13 @@ A line of l bytes allows tau(l) edits of code points and is cut into tau(l) + 1
 points; a line within that distance holds one of them unchanged, at a shifted place.  Each line indexes its own
 segments under its length and, for each length that a shorter partner may have, probes the
 substrings that the multi-match-aware window leaves; a partner of like length may have another tau, which its bytes
-bound.  Equal keys of two lines make a
-candidate unless their byte counts differ too much; candidates are verified by a banded
-bit-parallel edit distance, many pairs side by side.
+bound.  Lines under one key whose code point counts are near enough become members of its group.
+
+A key of more than `HOT` lines (a template's) is not compared as it is: its lines are cut into
+`FINE` segments instead, of which two near lines share all but tau, and meet under keys
+of all those.  Groups are verified by a banded bit-parallel edit distance, many pairs side by
+side: a group is walked in the order of first occurrence, and a line leaves it with the
+first earlier line found within its limit.  So what goes out is a row a line, never pairs.
 
 What goes: every occurrence of a line but the first, in the order of key and line; and the
 first occurrence of a line that is within tau of another line whose first occurrence is
@@ -14,14 +18,16 @@ earlier (tau of the one of fewer bytes).  Lines under `MIN_BYTES` bytes have no
 ones.  All is judged on the input, not on what is left.
 
 Scale: a map task settles its own exact repeats and sends each distinct line once, so a line
-that a third of all documents hold is a row a task.  Keys travel as arrays dealt by key;
-lines under one key are compared in slices and only pairs that pass the byte counts leave the
-task.  Documents meet the lines asked for, and later the lines removed, in shuffles of
-compressed blocks.
+that a third of all documents hold is a row a task.  Keys travel as arrays dealt by key; a task
+that joins keys gives up those that turn out hot as it reads, so they are never gathered there.
+A line has at most about 20 keys, and some 220 more if one of them is hot.  Documents meet the
+lines asked for, and later the lines removed, in shuffles of compressed blocks.  Equal lines are
+those of equal 64-bit hash and CRC-32.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -39,10 +45,16 @@ MIN_BYTES = 20
 #: Lines of so many bytes on allow one edit, two edits.
 ONE_EDIT, TWO_EDITS = 20, 40
 MAX_TAU = 2
-#: Keys that a group should hold on average, and bytes that a map task settles at a time.
+#: Keys that a group should hold on average.
 GROUP_KEYS = 2_000_000
-LOCAL_BYTES = 1 << 20
-_REMOVED, _FIRST, _OCCUR, _INDEX, _PROBE, _PAIR, _WANTED = range(7)  # all before rowblocks.ROWS
+#: Lines under one key from which it is hot, and the segments that its lines are cut into instead.
+HOT, FINE = 512, 8
+#: Lines of a group that are compared with each other at once; larger groups are walked in blocks.
+SMALL, BLOCK = 48, 256
+#: Trimmed lines longer than this are compared along diagonals, not in columns.
+LONG = 4096
+_REMOVED, _FIRST, _OCCUR, _INDEX, _PROBE, _MEMBER, _WANTED = range(7)  # all before rowblocks.ROWS
+_HOT = 8
 
 
 def tau(length: np.ndarray) -> np.ndarray:
@@ -58,6 +70,23 @@ def _segment(length: np.ndarray, t: int, i: int) -> tuple[np.ndarray, np.ndarray
     return start, size + (i >= longer)
 
 
+def _kinds(value: np.ndarray) -> np.ndarray:
+    """The class, of eight, of each code point value."""
+    return (value * np.uint32(0x9E3779B1) >> np.uint32(29)).astype(np.uint8)
+
+
+def _nibbles(counts: np.ndarray) -> np.ndarray:
+    """Counts (classes, lines) modulo 16, four bits each."""
+    out = np.zeros(counts.shape[1], dtype=np.uint32)
+    for c, n in enumerate(counts):
+        out |= (n & 15).astype(np.uint32) << np.uint32(4 * c)
+    return out
+
+
+def _plus_one(raw: np.ndarray) -> np.ndarray:
+    return raw.astype(np.uint64) + np.uint64(1)
+
+
 class Lines:
     """Lines of some texts, with hashes of any substring."""
 
@@ -66,6 +95,8 @@ class Lines:
         self.start, self.length, self.hash = w.start, w.end - w.start, w.hash
         self.doc = np.searchsorted(w.first, np.arange(len(w.start)), side="right") - 1
         self.ordinal = np.arange(len(w.start)) - w.first[self.doc]
+        buffer = w.raw.tobytes()
+        self.check = np.fromiter((zlib.crc32(buffer[a:b]) for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)), dtype=np.uint32, count=len(w.start))
         pw, self.inv = K._power_table(len(w.raw) + 1)
         begins = (w.raw & 0xC0) != 0x80
         begins[self.start] = True
@@ -74,13 +105,16 @@ class Lines:
         self.char = count[self.start]
         self.chars = count[w.end] - self.char  # what ends a line is a code point
         self.sums = np.zeros(len(w.raw) + 1, dtype=np.uint64)
-        np.cumsum((w.raw.astype(np.uint64) + np.uint64(1)) * pw[: len(w.raw)], out=self.sums[1:])
+        np.cumsum(_plus_one(w.raw) * pw[: len(w.raw)], out=self.sums[1:])
 
-    def _key(self, line: np.ndarray, at: np.ndarray, size: np.ndarray, length: np.ndarray, t: int, i: int) -> np.ndarray:
+    def _part(self, line: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Polynomial of `size` code points of a line from `at` on."""
         c = self.char[line] + at
         a, b = self.place[c], self.place[c + size]
-        h = (self.sums[b] - self.sums[a]) * self.inv[a]
-        return K.mix(h + length.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64((t * (MAX_TAU + 1) + i + 1) * 0x2545F4914F6CDD1D & K._MASK))
+        return (self.sums[b] - self.sums[a]) * self.inv[a]
+
+    def _key(self, line: np.ndarray, at: np.ndarray, size: np.ndarray, length: np.ndarray, t: int, i: int) -> np.ndarray:
+        return K.mix(self._part(line, at, size) + length.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64((t * (MAX_TAU + 1) + i + 1) * 0x2545F4914F6CDD1D & K._MASK))
 
     def index(self, rows: np.ndarray):
         """(row, key) of the segments that lines index."""
@@ -91,8 +125,8 @@ class Lines:
                 at, size = _segment(lengths[edits == t], t, i)
                 yield some, self._key(some, at, size, self.chars[some], t, i)
 
-    def probes(self, rows: np.ndarray):
-        """(row, key) of the substrings at which lines look for partners no longer than they."""
+    def _partners(self, rows: np.ndarray):
+        """(rows, difference in length, the partner's length and tau, whether the rows have that tau) of partners no longer than they."""
         rows = rows[self.length[rows] >= MIN_BYTES]
         own, highest = tau(self.length[rows]), tau(self.length[rows] + 4 * MAX_TAU)
         for less in range(MAX_TAU + 1):
@@ -100,42 +134,142 @@ class Lines:
             lowest = tau(np.maximum(other, self.length[rows] - 4 * MAX_TAU))
             for t in range(max(1, less), MAX_TAU + 1):
                 picked = (lowest <= t) & (t <= highest) & (other > t)
-                some, length, like = rows[picked], other[picked], own[picked] == t
-                if not len(some):
+                if picked.any():
+                    yield rows[picked], less, other[picked], t, own[picked] == t
+
+    def probes(self, rows: np.ndarray):
+        """(row, key) of the substrings at which lines look for partners no longer than they."""
+        for some, less, length, t, like in self._partners(rows):
+            for i in range(t + 1):
+                at, size = _segment(length, t, i)
+                for shift in range(max(-i, less - (t - i)), min(i, less + t - i) + 1):
+                    place = at + shift
+                    ok = (place >= 0) & (place + size <= self.chars[some])
+                    if not less and not shift:
+                        ok &= ~like  # that is the line's own index key
+                    yield some[ok], self._key(some[ok], place[ok], size[ok], length[ok], t, i)
+
+    def _fine(self, line: np.ndarray, length: np.ndarray, less: int, t: int):
+        """(rows of `line`, key, whether unshifted) with all but t of a partner's `FINE` segments, wherever these edits may have put them."""
+        zero = np.zeros(len(line), dtype=np.int64)
+        ends = [_segment(length, FINE - 1, i) for i in range(FINE)]
+        for bad in itertools.combinations(range(FINE), t):
+            stops = [ends[i] for i in bad]
+            base = length.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64((sum(b * FINE**k for k, b in enumerate(bad)) * 4 + t) * 0x8CB92BA72F3D8DD7 & K._MASK)
+            head = self._part(line, zero, stops[0][0])
+            after = stops[-1][0] + stops[-1][1]
+            tail = self._part(line, after + less, length - after)
+            ends_key = base + head * np.uint64(0x9FB21C651E98DF25) + tail * np.uint64(0xA24BAED4963EE407)
+            if t == 1:
+                yield np.arange(len(line)), K.mix(ends_key), less == 0
+                continue
+            (a, na), (b, nb) = stops
+            size = b - a - na
+            for shift in range(less - t, t + 1):
+                if abs(shift) + abs(less - shift) > t:
                     continue
-                for i in range(t + 1):
-                    at, size = _segment(length, t, i)
-                    for shift in range(max(-i, less - (t - i)), min(i, less + t - i) + 1):
-                        place = at + shift
-                        ok = (place >= 0) & (place + size <= self.chars[some])
-                        if not less and not shift:
-                            ok &= ~like  # that is the line's own index key
-                        yield some[ok], self._key(some[ok], place[ok], size[ok], length[ok], t, i)
+                ok = np.flatnonzero(((size > 0) & (na + shift >= 0) & (nb + less - shift >= 0)) | ((size == 0) & (shift == 0)))
+                middle = self._part(line[ok], np.where(size[ok] > 0, a[ok] + na[ok] + shift, 0), size[ok])
+                yield ok, K.mix(ends_key[ok] + middle * np.uint64(0xD6E8FEB86659FD93)), less == 0 and shift == 0
+
+    def fine_index(self, rows: np.ndarray):
+        edits = tau(self.length[rows])
+        for t in range(1, MAX_TAU + 1):
+            some = rows[edits == t]
+            if len(some):
+                for at, key, unshifted in self._fine(some, self.chars[some], 0, t):
+                    if unshifted:
+                        yield some[at], key
+
+    def fine_probes(self, rows: np.ndarray):
+        for some, less, length, t, like in self._partners(rows):
+            for at, key, unshifted in self._fine(some, length, less, t):
+                if unshifted:
+                    at, key = at[~like[at]], key[~like[at]]
+                yield some[at], key
 
     def sketches(self, rows: np.ndarray) -> np.ndarray:
         """Counts of eight code point classes modulo 16, four bits each."""
-        out = np.zeros(len(rows), dtype=np.uint32)
         raw, at = self.words.raw, self.place[:-1]
         value = raw[at].astype(np.uint32)
         wide = np.flatnonzero(value >= 0x80)
         for k in range(1, 4):
             wide = wide[self.place[wide + 1] - at[wide] > k]
             value[wide] = value[wide] * np.uint32(31) + raw[at[wide] + k]
-        kinds = (value * np.uint32(0x9E3779B1) >> np.uint32(29)).astype(np.uint8)
+        kinds = _kinds(value)
+        counts = np.empty((8, len(rows)), dtype=np.int64)
         for c in range(8):
             total = np.zeros(len(kinds) + 1, dtype=np.int32)
             np.cumsum(kinds == c, out=total[1:])
-            n = total[self.char[rows] + self.chars[rows]] - total[self.char[rows]]
-            out |= (n & 15).astype(np.uint32) << np.uint32(4 * c)
-        return out
+            counts[c] = total[self.char[rows] + self.chars[rows]] - total[self.char[rows]]
+        return _nibbles(counts)
+
+
+class LongLine(Lines):
+    """One line that is longer than a chunk, with the same keys, read a piece at a time."""
+
+    def __init__(self, line: bytes) -> None:
+        self.raw = np.frombuffer(line, dtype=np.uint8)
+        w = K.words_of([line], K.NEWLINE)
+        self.hash, self.check = w.hash, np.array([zlib.crc32(line)], dtype=np.uint32)
+        self.length, self.doc, self.ordinal = np.array([len(line)]), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        self.before = np.cumsum([0] + [int(((x & 0xC0) != 0x80).sum()) for x in self._pieces()])
+        self.chars = self.before[-1:]
+
+    def _pieces(self):
+        return (self.raw[lo : lo + K.CHUNK_BYTES] for lo in range(0, len(self.raw), K.CHUNK_BYTES))
+
+    def _byte(self, char: int) -> int:
+        """First byte of a code point."""
+        k = int(np.searchsorted(self.before, char, side="right")) - 1
+        if k >= len(self.before) - 1:
+            return len(self.raw)
+        lo = k * K.CHUNK_BYTES
+        return lo + int(np.flatnonzero((self.raw[lo : lo + K.CHUNK_BYTES] & 0xC0) != 0x80)[char - int(self.before[k])])
+
+    def _part(self, line: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return np.array([K.poly_hash(self.raw[self._byte(a) : self._byte(a + n)], _plus_one) for a, n in zip(at.tolist(), size.tolist(), strict=True)], dtype=np.uint64)
+
+    def sketches(self, rows: np.ndarray) -> np.ndarray:
+        counts = np.zeros(8, dtype=np.int64)
+        for lo in range(0, len(self.raw), K.CHUNK_BYTES):
+            part = self.raw[lo : lo + K.CHUNK_BYTES + 3]
+            at = np.flatnonzero((part[: K.CHUNK_BYTES] & 0xC0) != 0x80)
+            value = part[at].astype(np.uint32)
+            wide = np.flatnonzero(value >= 0x80)
+            for k in range(1, 4):
+                inside = at[wide] + k < len(part)
+                wide = wide[inside]
+                wide = wide[(part[at[wide] + k] & 0xC0) == 0x80]
+                value[wide] = value[wide] * np.uint32(31) + part[at[wide] + k]
+            counts += np.bincount(_kinds(value), minlength=8)
+        return _nibbles(counts[:, None])[np.zeros(len(rows), dtype=int)]
+
+
+def lines_of(data: list[bytes]):
+    """`Lines` of some texts, with each one's document and ordinal there; long texts are taken in slices."""
+    for lo, hi in K.chunks(data):
+        if len(data[lo]) <= K.CHUNK_BYTES:
+            x = Lines(data[lo:hi])
+            x.doc += lo
+            yield x
+            continue
+        done = 0
+        for part in K.slices(data[lo], K.NEWLINE):
+            one = part.rstrip(b"\n")
+            x = LongLine(one) if len(one) > K.CHUNK_BYTES else Lines([part])
+            x.doc += lo
+            x.ordinal += done
+            done += len(x.hash)
+            yield x
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A lower bound of twice the edit distance from two sketches."""
-    total = np.zeros(len(a), dtype=np.int64)
+    total = np.zeros(np.broadcast(a, b).shape, dtype=np.uint8)
     for c in range(8):
         d = ((a >> np.uint32(4 * c)) - (b >> np.uint32(4 * c))) & np.uint32(15)
-        total += np.minimum(d, np.uint32(16) - d)
+        total += np.minimum(d, np.uint32(16) - d).astype(np.uint8)
     return total
 
 
@@ -157,6 +291,9 @@ def within(a: list, b: list, limit: int) -> np.ndarray:
         if not x or not limit:
             out[k] = len(y) <= limit
             continue
+        if len(y) > LONG:
+            out[k] = _along(x, y, limit)
+            continue
         rows.append(k)
         short.append(x)
         long.append(y)
@@ -172,6 +309,21 @@ def within(a: list, b: list, limit: int) -> np.ndarray:
     return out
 
 
+def _along(x: bytes | str, y: bytes | str, limit: int) -> bool:
+    """Whether the distance is at most `limit`, by the furthest place that e edits reach on each diagonal."""
+    reach = {0: _common(x, y)}
+    for _ in range(limit):
+        more = {}
+        for d in range(min(reach) - 1, max(reach) + 2):
+            row = max(reach[d] + 1 if d in reach else -1, reach[d - 1] if d - 1 in reach else -1, reach[d + 1] + 1 if d + 1 in reach else -1)
+            row = min(row, len(x), len(y) - d)
+            if row >= 0 and row + d >= 0:
+                more[d] = row + _common(x[row:], y[row + d :])
+        reach = more
+    d = len(y) - len(x)
+    return reach.get(d, -1) >= len(x)
+
+
 def _common(x: bytes | str, y: bytes | str) -> int:
     """Length of the common prefix."""
     n = min(len(x), len(y))
@@ -255,67 +407,151 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", counts
     with its line feed.  A null text stays null; a text all of whose lines go becomes what is left
     between them.  Every row stays.  Null keys come last in the order; rows that repeat key and
     text are one document given several times and lose the same lines.  An empty table gives an
-    empty result; other columns stay as they are.
+    empty result; other columns stay as they are (one named like `counts` is an error).
     """
+    if counts and counts.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"the documents already have a column {counts}")
     groups = _groups(docs, text)
     rows, number = numbered(docs, key)
-    pairs_seen = cut(_scan(rows.select(F.col(number).alias("d"), F.col(text).alias("t")), groups), "line-pairs")
-    losers = _near_losers(rows, pairs_seen, number, text, groups)
-    removed = pairs_seen.where(F.col("kind") == _REMOVED).select("part", "kind", "blob").union(losers)
+    slim = rows.select(F.col(number).alias("d"), F.col(text).alias("t"))
+    seen = cut(_joined(slim.mapInArrow(_scan(groups), B.SCHEMA), groups, HOT), "line-keys")
+    losers = _near_losers(slim, seen, groups)
+    removed = seen.where(F.col("kind") == _REMOVED).select("part", "kind", "blob").union(losers)
     return _settle(rows, removed, number, text, groups, counts)
 
 
-def _scan(rows: DataFrame, groups: int) -> DataFrame:
-    """Removed repeats, first occurrences, and candidate pairs, as blobs."""
+def _send_keys(sender: B.Sender, x: Lines, once: np.ndarray, index, probes, groups: int) -> None:
+    sketch = np.zeros(len(x.hash), dtype=np.uint32)
+    sketch[once] = x.sketches(once)
+    for kind, found in ((_INDEX, list(index)), (_PROBE, list(probes))):
+        if found:
+            line, keys = (np.concatenate([f[i] for f in found]) for i in range(2))
+            for part, at in B.split_by(_by(keys, groups), groups):
+                sender.add(part, kind, B.pack(keys[at], x.hash[line[at]], sketch[line[at]]))
+
+
+def _scan(groups: int):
+    """Blobs of repeats within a task, first occurrences, and keys."""
 
     def scan(batches):
         sender = B.Sender()
         for batch in batches:
-            all_ids, all_data = batch.column("d").to_numpy(), [x or b"" for x in texts_of(batch, "t")]
-            for lo, hi in K.chunks(all_data, LOCAL_BYTES):
-                order = np.argsort(all_ids[lo:hi], kind="stable") + lo
-                ids, data = all_ids[order], [all_data[i] for i in order]
-                crcs = np.array([zlib.crc32(x) for x in data], dtype=np.uint32)
-                x = Lines(data)
-                by_hash = np.argsort(x.hash, kind="stable")
+            ids, data = batch.column("d").to_numpy(), [x or b"" for x in texts_of(batch, "t")]
+            order = np.argsort(ids, kind="stable")
+            ids, data = ids[order], [data[i] for i in order]
+            crcs = np.array([zlib.crc32(x) for x in data], dtype=np.uint32)
+            for x in lines_of(data):
+                by_hash = np.lexsort((x.check, x.hash))
                 again = np.zeros(len(by_hash), dtype=bool)
-                again[1:] = x.hash[by_hash[1:]] == x.hash[by_hash[:-1]]
+                again[1:] = (x.hash[by_hash[1:]] == x.hash[by_hash[:-1]]) & (x.check[by_hash[1:]] == x.check[by_hash[:-1]])
                 lead = by_hash[np.maximum.accumulate(np.where(again, 0, np.arange(len(by_hash))))] if len(by_hash) else by_hash
                 same, first = by_hash[again], lead[again]
                 real = (ids[x.doc[same]] != ids[x.doc[first]]) | (x.ordinal[same] != x.ordinal[first])
                 same = np.sort(same[real])
                 _send_removed(sender, ids[x.doc[same]], crcs[x.doc[same]], x.ordinal[same], groups)
                 once = np.sort(by_hash[~again])
-                unit = x.hash
-                for part, at in B.split_by(_by(unit[once], groups), groups):
+                for part, at in B.split_by(_by(x.hash[once], groups), groups):
                     at = once[at]
-                    sender.add(part, _OCCUR, B.pack(unit[at], ids[x.doc[at]], crcs[x.doc[at]], B.narrow(x.ordinal[at]).astype(np.uint32)))
-                sketch = np.zeros(len(unit), dtype=np.uint32)
-                sketch[once] = x.sketches(once)
-                for kind, found in ((_INDEX, list(x.index(once))), (_PROBE, list(x.probes(once)))):
-                    if found:
-                        line, keys = (np.concatenate([f[i] for f in found]) for i in range(2))
-                        for part, at in B.split_by(_by(keys, groups), groups):
-                            sender.add(part, kind, B.pack(keys[at], unit[line[at]], sketch[line[at]]))
+                    sender.add(part, _OCCUR, B.pack(x.hash[at], x.check[at], ids[x.doc[at]], crcs[x.doc[at]], B.narrow(x.ordinal[at]).astype(np.uint32)))
+                _send_keys(sender, x, once, x.index(once), x.probes(once), groups)
                 yield from sender.full()
         yield from sender.rest()
 
+    return scan
+
+
+class _Keys:
+    """Keys of lines as they come in; those of more than `hot` lines are given up."""
+
+    def __init__(self, hot: int | None) -> None:
+        self.hot = hot
+        self.given_up = np.empty(0, dtype=np.uint64)
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.size, self.limit = 0, 2 * GROUP_KEYS
+
+    def add(self, indexed: bool, key: np.ndarray, unit: np.ndarray, sketch: np.ndarray):
+        """Units of hot keys that came to light."""
+        if len(self.given_up):
+            at = np.minimum(np.searchsorted(self.given_up, key), len(self.given_up) - 1)
+            hot = self.given_up[at] == key
+            if hot.any():
+                yield unit[hot]
+                key, unit, sketch = key[~hot], unit[~hot], sketch[~hot]
+        self.held.append((key, unit, np.full(len(key), indexed), sketch))
+        self.size += len(key)
+        if self.size > self.limit:
+            yield from self.settle()
+            self.limit = max(self.limit, 2 * self.size)
+
+    def settle(self):
+        """Sort what is held by key and unit, once each, and give up hot keys."""
+        if not self.held:
+            return
+        key, unit, indexed, sketch = (np.concatenate([h[i] for h in self.held]) for i in range(4))
+        order = np.lexsort((~indexed, unit, key))
+        k, u = key[order], unit[order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (k[1:] != k[:-1]) | (u[1:] != u[:-1])  # an indexed one stands for a probe
+        order = order[new]
+        key, unit, indexed, sketch = key[order], unit[order], indexed[order], sketch[order]
+        if self.hot:
+            edges = np.append(np.flatnonzero(np.diff(key, prepend=~key[:1])), len(key))
+            wide = np.flatnonzero(np.diff(edges) > self.hot)
+            if len(wide):
+                out = np.zeros(len(key), dtype=bool)
+                for a, b in zip(edges[wide].tolist(), edges[wide + 1].tolist(), strict=True):
+                    out[a:b] = True
+                yield unit[out]
+                self.given_up = np.union1d(self.given_up, key[edges[wide]])
+                key, unit, indexed, sketch = key[~out], unit[~out], indexed[~out], sketch[~out]
+        self.held = [(key, unit, indexed, sketch)]
+        self.size = len(key)
+
+    def members(self):
+        """(key, unit, indexed, sketch) of lines that have a possible partner under a key; call after settle."""
+        if not self.held:
+            return None
+        key, unit, indexed, sketch = self.held[0]
+        edges = np.append(np.flatnonzero(np.diff(key, prepend=~key[:1])) if len(key) else np.empty(0, dtype=int), len(key))
+        size = np.repeat(np.diff(edges), np.diff(edges))
+        keep = size > SMALL
+        for s in range(1, SMALL):
+            at = np.flatnonzero(size[: len(key) - s] > s) if s < len(key) else np.empty(0, dtype=int)
+            at = at[(size[at] <= SMALL) & (key[at + s] == key[at])]
+            if not len(at):
+                break
+            at = at[(indexed[at] | indexed[at + s]) & (_apart(sketch[at], sketch[at + s]) <= 2 * MAX_TAU)]
+            keep[at] = keep[at + s] = True
+        return key[keep], unit[keep], indexed[keep].astype(np.uint8), sketch[keep]
+
+
+def _joined(sent: DataFrame, groups: int, hot: int | None) -> DataFrame:
+    """Blobs of removed repeats, first occurrences, members of keys and, apart from them, units of hot keys."""
+
     def join_keys(batches):
         sender = B.Sender()
-        occur, index, probe = [], [], []
+        occur, keys = [], _Keys(hot)
+
+        def tell(units):
+            for u in units:
+                sender.add(0, _HOT, B.pack(np.unique(u)))
+
         for batch in batches:
             for part, k, blob in zip(batch.column("part").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 if k == _REMOVED:
                     sender.add(part, k, blob)
+                elif k == _OCCUR:
+                    occur.append(B.unpack(blob))
                 else:
-                    {_OCCUR: occur, _INDEX: index, _PROBE: probe}[k].append(B.unpack(blob))
+                    tell(keys.add(k == _INDEX, *B.unpack(blob)))
             yield from sender.full()
         if occur:
-            unit, ids, crcs, ordinals = (np.concatenate([o[i] for o in occur]) for i in range(4))
-            order = np.lexsort((ordinals, ids, unit))
-            unit, ids, crcs, ordinals = unit[order], ids[order], crcs[order], ordinals[order]
+            unit, check, ids, crcs, ordinals = (np.concatenate([o[i] for o in occur]) for i in range(5))
+            occur.clear()
+            order = np.lexsort((ordinals, ids, check, unit))
+            unit, check, ids, crcs, ordinals = unit[order], check[order], ids[order], crcs[order], ordinals[order]
             new = np.ones(len(unit), dtype=bool)
-            new[1:] = unit[1:] != unit[:-1]
+            new[1:] = (unit[1:] != unit[:-1]) | (check[1:] != check[:-1])
             lead = np.maximum.accumulate(np.where(new, np.arange(len(unit)), 0))
             later = (ids != ids[lead]) | (ordinals != ordinals[lead])
             _send_removed(sender, ids[later], crcs[later], ordinals[later], groups)
@@ -323,100 +559,207 @@ def _scan(rows: DataFrame, groups: int) -> DataFrame:
                 at = np.flatnonzero(new)[at]
                 sender.add(part, _FIRST, B.pack(unit[at], ids[at], crcs[at], ordinals[at]))
             yield from sender.full()
-        if index:
-            keys, units, sketches = (np.concatenate([s[i] for s in index + probe]) for i in range(3))
-            indexed = np.arange(len(keys)) < sum(len(s[0]) for s in index)
-            order = np.lexsort((~indexed, units, keys))
-            new = np.ones(len(order), dtype=bool)
-            new[1:] = (keys[order[1:]] != keys[order[:-1]]) | (units[order[1:]] != units[order[:-1]]) | (indexed[order[1:]] != indexed[order[:-1]])
-            order = order[new]
-            keys, units, sketches, indexed = keys[order], units[order], sketches[order], indexed[order]
-            edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
-            wide = np.flatnonzero(np.diff(edges) > 1)
-            for a, b in zip(edges[wide].tolist(), edges[wide + 1].tolist(), strict=True):
-                own = np.flatnonzero(indexed[a:b]) + a
-                for lo in range(0, len(own), 256):
-                    part = own[lo : lo + 256]
-                    p, q = (x.ravel() for x in np.meshgrid(part, np.arange(a, b), indexing="ij"))
-                    ok = (units[p] != units[q]) & (_apart(sketches[p], sketches[q]) <= 2 * MAX_TAU)
-                    if ok.any():
-                        x, y = units[p[ok]], units[q[ok]]
-                        pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-                        sender.add(0, _PAIR, B.pack(pair[0], pair[1]))
+        tell(keys.settle())
+        found = keys.members()
+        if found:
+            for lo in range(0, len(found[0]), 1 << 16):
+                sender.add(0, _MEMBER, B.pack(*(x[lo : lo + (1 << 16)] for x in found)))
                 yield from sender.full()
         yield from sender.rest()
 
-    return rows.mapInArrow(scan, B.SCHEMA).repartitionById(groups, F.col("part")).mapInArrow(join_keys, B.SCHEMA)
+    return sent.repartitionById(groups, F.col("part")).mapInArrow(join_keys, B.SCHEMA)
+
+
+def _exploded(seen: DataFrame, kind: int, names: list[str]) -> DataFrame:
+    """The arrays of one kind of blobs as long columns."""
+
+    def run(batches):
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                columns = [c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64) for c in B.unpack(blob)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    return seen.where(F.col("kind") == kind).select("blob").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def _near_losers(rows: DataFrame, seen: DataFrame, number: str, text: str, groups: int) -> DataFrame:
+def _near_losers(slim: DataFrame, seen: DataFrame, groups: int) -> DataFrame:
     """Blobs of the first occurrences that go because a line within tau comes first."""
+    members, hot = _exploded(seen, _MEMBER, ["k", "u", "ix", "sk"]), _exploded(seen, _HOT, ["u"])
+    wanted = members.select("u", F.lit(False).alias("hot")).union(hot.select("u", F.lit(True).alias("hot"))).groupBy("u").agg(F.max("hot").alias("hot"))
+    first = _exploded(seen, _FIRST, ["u", "d", "crc", "line"])
+    contents = cut(_contents(slim, wanted.join(first, "u"), groups), "lines")
 
-    def explode(names: list[str], kinds: list):
-        def run(batches):
-            for batch in batches:
-                for blob in batch.column("blob").to_pylist():
-                    columns = B.unpack(blob)
-                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64), k) for c, k in zip(columns, kinds, strict=True)], names=names)
+    def fine_keys(batches):
+        sender = B.Sender()
+        for batch in batches:
+            units, data = batch.column("u").to_numpy().view(np.uint64), batch.column("bytes").to_pylist()
+            for lo, hi in K.chunks(data, 1 << 18):
+                for x in lines_of(data[lo:hi]):
+                    every = np.arange(len(x.hash))
+                    assert (x.hash == units[lo + x.doc]).all()
+                    _send_keys(sender, x, every, x.fine_index(every), x.fine_probes(every), groups)
+                    yield from sender.full()
+        yield from sender.rest()
 
-        return run
+    if hot.limit(1).count():
+        finer = _joined(contents.where("hot").select("u", "bytes").mapInArrow(fine_keys, B.SCHEMA), groups, None)
+        members = members.union(_exploded(cut(finer, "fine-keys"), _MEMBER, ["k", "u", "ix", "sk"]))
+
+    def verify(batches):
+        sender = B.Sender()
+        walk = _Walk()
+        for batch in batches:
+            lost = walk.add(batch)
+            if len(lost[0]):
+                _send_removed(sender, *lost, groups)
+            yield from sender.full()
+        lost = walk.end()
+        if len(lost[0]):
+            _send_removed(sender, *lost, groups)
+        yield from sender.rest()
+
+    met = members.join(contents.drop("hot"), "u").select("k", "ix", "sk", "d", "crc", "line", "bytes")
+    return met.repartition("k").sortWithinPartitions("k", "d", "line").mapInArrow(verify, B.SCHEMA)
 
-    first = seen.where(F.col("kind") == _FIRST).select("blob").mapInArrow(explode(["u", "d", "crc", "line"], [pa.int64()] * 4), "u long, d long, crc long, line long")
-    pairs = cut(seen.where(F.col("kind") == _PAIR).select("blob").mapInArrow(explode(["u", "v"], [pa.int64()] * 2), "u long, v long").distinct(), "pairs")
-    wanted = pairs.select("u").union(pairs.select("v")).distinct().join(first, "u")
+
+def _contents(slim: DataFrame, wanted: DataFrame, groups: int) -> DataFrame:
+    """(u, hot, d, crc, line, bytes) of the lines asked for."""
 
     def send_wanted(batches):
         sender = B.Sender()
         for batch in batches:
-            u, d, crc, line = (batch.column(c).to_numpy() for c in ("u", "d", "crc", "line"))
+            u, hot, d, crc, line = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("u", "hot", "d", "crc", "line"))
             for part, at in B.split_by(by_key(d, groups), groups):
-                sender.add(part, _WANTED, B.pack(u[at], d[at], crc[at], line[at]))
+                sender.add(part, _WANTED, B.pack(u[at], hot[at].astype(np.uint8), d[at], crc[at], line[at]))
+            yield from sender.full()
         yield from sender.rest()
 
     def fetch(batches):
-        wanted: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        wanted: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
             for k, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 if k == _WANTED:
-                    for u, d, crc, line in zip(*(x.tolist() for x in B.unpack(blob)), strict=True):
-                        wanted.setdefault((d, crc), []).append((line, u))
+                    for u, hot, d, crc, line in zip(*(x.tolist() for x in B.unpack(blob)), strict=True):
+                        wanted.setdefault((d, crc), []).append((line, u, hot))
                     continue
                 out = []
                 docs = read_rows(blob)
                 for d, data in zip(docs.column(0).to_pylist(), docs.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                    asked = wanted.pop((d, zlib.crc32(data or b"")), None)
+                    crc = zlib.crc32(data or b"")
+                    asked = wanted.pop((d, crc), None)
                     if asked:
                         lines = [x for x in data.split(b"\n") if x]
-                        out += [(u, d, zlib.crc32(data), line, lines[line]) for line, u in asked]
+                        out += [(u, bool(hot), d, crc, line, lines[line]) for line, u, hot in asked]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.binary()], strict=True)], names=["u", "d", "crc", "line", "bytes"])
-
-    slim = rows.select(F.col(number).alias("d"), F.col(text).alias("t"))
-    met = wanted.mapInArrow(send_wanted, B.SCHEMA).union(send_rows(slim, "d", groups)).repartitionById(groups, F.col("part")).sortWithinPartitions("kind")
-    contents = cut(met.mapInArrow(fetch, "u long, d long, crc long, line long, bytes binary"), "lines")
-    right = contents.select(F.col("u").alias("v"), F.col("d").alias("d2"), F.col("crc").alias("crc2"), F.col("line").alias("line2"), F.col("bytes").alias("bytes2"))
-
-    def verify(batches):
-        sender = B.Sender()
-        for batch in batches:
-            a, b = batch.column("bytes").to_pylist(), batch.column("bytes2").to_pylist()
-            limit = tau(np.minimum([len(x) for x in a], [len(x) for x in b])) if a else np.empty(0)
-            near = np.zeros(len(a), dtype=bool)
-            plain = np.array([x.isascii() and y.isascii() for x, y in zip(a, b, strict=True)], dtype=bool)
-            for t in range(1, MAX_TAU + 1):
-                for ascii_, read in ((True, lambda x: x), (False, lambda x: x.decode("utf-8", "surrogateescape"))):
-                    some = np.flatnonzero((limit == t) & (plain == ascii_))
-                    if len(some):
-                        near[some] = within([read(a[i]) for i in some], [read(b[i]) for i in some], t)
-            d, crc, line, d2, crc2, line2 = (batch.column(c).to_numpy()[near] for c in ("d", "crc", "line", "d2", "crc2", "line2"))
-            second = (d < d2) | ((d == d2) & (line < line2))  # the second of the pair is later
-            tie = (d == d2) & (line == line2)
-            pick = lambda x, y: np.where(second, y, x)[~tie]
-            if len(d):
-                _send_removed(sender, pick(d, d2), pick(crc, crc2).astype(np.uint32), pick(line, line2), groups)
-        yield from sender.rest()
-
-    return pairs.join(contents, "u").join(right, "v").select("d", "crc", "line", "bytes", "d2", "crc2", "line2", "bytes2").mapInArrow(verify, B.SCHEMA)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["u", "hot", "d", "crc", "line", "bytes"])
+
+    met = wanted.select("u", "hot", "d", "crc", "line").mapInArrow(send_wanted, B.SCHEMA).union(send_rows(slim, "d", groups)).repartitionById(groups, F.col("part")).sortWithinPartitions("kind")
+    return met.mapInArrow(fetch, "u long, hot boolean, d long, crc long, line long, bytes binary")
+
+
+def _near(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Whether each pair of lines is within the tau of the one of fewer bytes."""
+    near = np.zeros(len(a), dtype=bool)
+    if not a:
+        return near
+    limit = tau(np.minimum([len(x) for x in a], [len(x) for x in b]))
+    plain = np.array([x.isascii() and y.isascii() for x, y in zip(a, b, strict=True)], dtype=bool)
+    for t in range(1, MAX_TAU + 1):
+        for ascii_, read in ((True, lambda x: x), (False, lambda x: x.decode("utf-8", "surrogateescape"))):
+            some = np.flatnonzero((limit == t) & (plain == ascii_))
+            if len(some):
+                near[some] = within([read(a[i]) for i in some], [read(b[i]) for i in some], t)
+    return near
+
+
+class _Walk:
+    """Groups of lines under one key, in the order of first occurrence: who has an earlier line within tau."""
+
+    def __init__(self) -> None:
+        self.kept: list[bytes] = []
+        self.open = {c: np.empty(0, dtype=np.int64) for c in ("k", "ix", "sk", "d", "crc", "line")}
+        self.lost = np.empty(0, dtype=bool)
+        self.done = 0  # rows of the open group that have been walked
+
+    def add(self, batch: pa.RecordBatch):
+        self.kept += batch.column("bytes").to_pylist()
+        for c in self.open:
+            self.open[c] = np.concatenate([self.open[c], batch.column(c).to_numpy()])
+        k = self.open["k"]
+        self.lost = np.append(self.lost, np.zeros(len(k) - len(self.lost), dtype=bool))
+        edges = np.append(np.flatnonzero(np.diff(k, prepend=~k[:1])), len(k))
+        last = int(edges[-2]) if len(k) else 0  # the last group may go on
+        if len(k) - last - (self.done if not last else 0) >= 4 * BLOCK:
+            self._block(last + (self.done if not last else 0), len(k), last)
+            walked = len(k) - last
+        else:
+            walked = self.done if not last else 0
+        return self._close(edges[:-1], last, walked)
+
+    def end(self):
+        k = self.open["k"]
+        edges = np.append(np.flatnonzero(np.diff(k, prepend=~k[:1])), len(k))
+        return self._close(edges, len(k), 0)
+
+    def _close(self, edges: np.ndarray, last: int, walked: int):
+        """Settle the groups before `last` and drop them: (d, crc, line) of those who lost."""
+        sizes = np.diff(edges)
+        size = np.repeat(np.where(sizes <= SMALL, sizes, 0), sizes)
+        end = np.repeat(edges[1:], sizes)
+        for s in range(1, SMALL):  # from the nearest earlier line outwards; those who have lost are asked no more
+            at = np.flatnonzero(size > s)
+            at = at[at + s < end[at]]
+            if not len(at):
+                break
+            self._ask(at[~self.lost[at + s]], s)
+        for g in np.flatnonzero(sizes > SMALL).tolist():
+            begin = self.done if not g else 0
+            self._block(int(edges[g]) + begin, int(edges[g + 1]), int(edges[g]))
+        lost = np.flatnonzero(self.lost[:last])
+        out = tuple(self.open[c][lost] for c in ("d", "crc", "line"))
+        if last:
+            self.kept = self.kept[last:]
+            self.lost = self.lost[last:]
+            for c in self.open:
+                self.open[c] = self.open[c][last:]
+        self.done = walked
+        return out[0], out[1].astype(np.uint32), out[2]
+
+    def _ask(self, earlier: np.ndarray, s: int) -> None:
+        later = earlier + s
+        o = self.open
+        ok = (o["ix"][earlier] | o["ix"][later]).astype(bool) & ((o["d"][earlier] < o["d"][later]) | (o["line"][earlier] < o["line"][later]))
+        earlier, later = earlier[ok], later[ok]
+        ok = _apart(o["sk"][earlier].astype(np.uint32), o["sk"][later].astype(np.uint32)) <= 2 * MAX_TAU
+        earlier, later = earlier[ok], later[ok]
+        near = _near([self.kept[i] for i in earlier.tolist()], [self.kept[i] for i in later.tolist()])
+        self.lost[later[near]] = True
+
+    def _block(self, lo: int, hi: int, begin: int) -> None:
+        """Ask the rows lo..hi of the group that begins at `begin` after all that are earlier, a block at a time."""
+        o = self.open
+        sk = o["sk"][begin:hi].astype(np.uint32)
+        for first in range(begin, hi, BLOCK):
+            stop = min(first + BLOCK, hi)
+            asked = np.arange(max(lo, first + 1), hi)
+            for at in range(0, len(asked), 4096):
+                later = asked[at : at + 4096]
+                later = later[~self.lost[later]]
+                early = np.arange(first, stop)
+                able = (o["ix"][later][:, None] | o["ix"][early][None, :]).astype(bool) & (early[None, :] < later[:, None])
+                able &= (o["d"][early][None, :] < o["d"][later][:, None]) | (o["line"][early][None, :] < o["line"][later][:, None])
+                able &= _apart(sk[later - begin][:, None], sk[early - begin][None, :]) <= 2 * MAX_TAU
+                take = 1
+                while able.any():
+                    rank = np.cumsum(able, axis=1)
+                    r, c = np.nonzero(able & (rank <= take))
+                    near = _near([self.kept[early[i]] for i in c.tolist()], [self.kept[later[i]] for i in r.tolist()])
+                    self.lost[later[r[near]]] = True
+                    able &= rank > take
+                    left = ~self.lost[later]
+                    later, able = later[left], able[left]
+                    take *= 2
 
 
 def _settle(rows: DataFrame, removed: DataFrame, number: str, text: str, groups: int, counts: str | None) -> DataFrame:

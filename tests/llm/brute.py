@@ -91,28 +91,34 @@ def edits(a, b):
 
 
 def line_dedup(docs):
-    """{doc: (n_lines, n_removed, kept text)}"""
+    """{doc: (n_lines, n_removed, kept text)}: exact repeats of any length; edits of code points, limits by UTF-8 bytes."""
     first = {}
     docs = sorted(docs, key=lambda r: r[0])
     for doc, text in docs:
-        for k, x in enumerate(x for x in (text or "").encode().split(b"\n") if x):
-            if len(x) >= 20:
-                first.setdefault(x, (doc, k))
+        for k, x in enumerate(x for x in (text or "").split("\n") if x):
+            first.setdefault(x, (doc, k))
+    size = {x: len(x.encode()) for x in first}
     tau = lambda n: 2 if n >= 40 else 1
-    lines = sorted(first, key=len)
-    lose = {max(a, b, key=first.get) for i, a in enumerate(lines) for b in lines[i + 1 :] if len(b) - len(a) <= tau(len(a)) and edits(a, b) <= tau(len(a))}
+    lines = sorted((x for x in first if size[x] >= 20), key=len)
+    lose = set()
+    for i, a in enumerate(lines):
+        for b in lines[i + 1 :]:
+            if len(b) - len(a) > 2:
+                break
+            t = tau(min(size[a], size[b]))
+            if len(b) - len(a) <= t and edits(a, b) <= t:
+                lose.add(max(a, b, key=first.get))
     out = {}
     for doc, text in docs:
         kept, k, gone = [], 0, 0
-        for x in (text or "").encode().split(b"\n"):
+        for x in (text or "").split("\n"):
             if x:
-                if len(x) >= 20 and (first[x] != (doc, k) or x in lose):
+                k += 1
+                if first[x] != (doc, k - 1) or x in lose:
                     gone += 1
-                    k += 1
                     continue
-                k += 1
             kept.append(x)
-        out[doc] = (k, gone, None if text is None else b"\n".join(kept).decode())
+        out[doc] = (k, gone, None if text is None else "\n".join(kept))
     return out
 
 
