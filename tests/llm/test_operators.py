@@ -165,6 +165,34 @@ def test_embeddings(spark, tile):
     assert near_duplicates(table.where("vec_id < 0")).count() == 0
 
 
+def test_vectors_of_repeated_ids_have_links_of_their_own(spark):
+    from splitaudit.llm.embeddings import near_duplicates
+
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [1.0, 0.01]), (7, [1.0, 0.0]), (7, [1.0, 0.0])]
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got)) == [(5, 0, 5, True), (5, 3, 5, True), (6, 3, 5, False), (7, 3, 5, False), (7, 3, 5, False)]
+
+
+def test_crowded_leaves_are_several_tiles():
+    from splitaudit.llm.embeddings import Tiles, Tree
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 12))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    tree = Tree(x[:500], 5)
+    y = x @ tree.rotation[:, : tree.dims]
+    tiles = Tiles(tree, np.bincount(tree.homes(y), minlength=5), 300)
+    homes = tiles.homes(y, np.arange(len(y)))
+    assert tiles.total >= 14 and np.bincount(homes).max() < 420
+    row, tile = tiles.visits(y, homes, 0.4)
+    met = set(zip(row.tolist(), tile.tolist(), strict=True))
+    near = np.argwhere(np.triu(x @ x.T >= 1 - 0.4**2 / 2, 1))
+    assert len(near) > 20
+    for a, b in near.tolist():  # one of the two visits the other's tile, or they share one
+        assert (homes[a] == homes[b]) != (((a, homes[b]) in met) != ((b, homes[a]) in met))
+    assert len(row) / len(x) <= tiles.total / 2
+
+
 def test_toxicity(spark, rows):
     from splitaudit.llm import toxicity
 
