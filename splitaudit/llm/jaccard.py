@@ -12,14 +12,18 @@ Around that join:
 * a first pass in hash order drops units that share fewer than l prefix tokens with anybody,
   so frequencies are counted for the rest only;
 * every unit names as hub the least unit of its posting lists that it meets most often.
-  Units of one hub, which hold the large groups of near copies, are joined in memory by counting
-  overlaps in blocks of bounded size, and give a spanning forest; prefixes then only have to
-  find pairs across hubs.  Hubs between which posting lists would give `MERGE_POSTINGS` pairs or
-  more are one hub.  So no group's pairs are ever put out.
+  Units of one hub, which hold the large groups of near copies, are joined in memory, with posting lists of their
+  prefixes that give candidates only between units not yet in one component; so a group gives a
+  spanning forest, not its pairs.  Between hubs posting lists give pairs; a list that would give
+  `MERGE_POSTINGS` or more makes one hub of its hubs.
 
 Scale: tokens travel as arrays in blocks, dealt by token or by unit into groups sized from
-the corpus; posting lists of a token hold a row a unit; blocks of a hub hold `BLOCK_TOKENS`.
-Components come from links by alternating stars; nothing but counts reaches the driver.
+the corpus.  A map task sends a token that several of its units hold once in the first pass, and
+marks one that more than `HOT_UNITS` of them hold as hot in the second: hot tokens come last in the order, so that
+prefixes avoid them, and are not gathered to be counted.  A hub of more than `BLOCK_TOKENS` tokens is joined block by
+block; a few units of each block then connect the blocks, and what is still outside the hub's largest
+component is compared with every block.  Components come from links by alternating stars; nothing but
+counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -49,7 +53,11 @@ VERIFY_COST = 4.0
 MERGE_POSTINGS = 1000
 #: Tokens in a block of a hub's units.
 BLOCK_TOKENS = 500_000
-_INFO, _TOKENS, _ALIVE, _TEXTS = 0, 1, 2, 3
+#: Units of a map task from which a token is hot, and the frequency that hot tokens are given.
+HOT_UNITS, HOT = 256, (1 << 32) - 1
+#: Units of each block that connect a hub's blocks.
+PIVOTS = 8
+_INFO, _TOKENS, _ALIVE, _TEXTS, _HITS = 0, 1, 2, 3, 4
 _NULL_ID = np.iinfo(np.int64).max
 
 
@@ -84,8 +92,8 @@ def _send(sender: B.Sender, kind: int, groups: int, by: np.ndarray, unit: np.nda
         sender.add(part, kind, B.pack(B.narrow(counts), *(x[u[begin]] for x in per_unit), *(x[at] for x in per_token)))
 
 
-def _gather(batches, kind: int, units: int, forward: B.Sender | None = None):
-    """All blobs of one kind: unit index a token, then the per-unit and per-token arrays."""
+def _gather(batches, kind: int, forward: B.Sender | None = None):
+    """All blobs of one kind: unit index a token, then the per-unit and per-token arrays; others are sent on."""
     stores: list[list[np.ndarray]] = []
     for batch in batches:
         for part, k, blob in zip(batch.column("part").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
@@ -152,19 +160,36 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     distinct = np.fromiter(seen, dtype=np.uint64, count=len(seen))
                     owners = _units_of(np.array([len(p) for p in prefixes]))
                     tokens = np.concatenate(prefixes)
-                    _send(sender, _TOKENS, groups, tokens, owners, [distinct], [tokens])
+                    order, df = _shared(tokens, owners)
+                    known = df > 1  # shared within the task: one unit tells the others, all count it here
+                    times = np.bincount(owners[order[known]], minlength=len(distinct))
+                    for part, at in B.split_by(_by(distinct, groups), groups):
+                        at = at[times[at] > 0]
+                        if len(at):
+                            sender.add(part, _HITS, B.pack(distinct[at], B.narrow(times[at])))
+                    one = np.ones(len(order), dtype=bool)
+                    one[1:] = tokens[order[1:]] != tokens[order[:-1]]
+                    sent = np.sort(order[one])
+                    shared = np.zeros(len(tokens), dtype=np.uint8)
+                    shared[order[known]] = 1
+                    _send(sender, _TOKENS, groups, tokens[sent], owners[sent], [distinct], [tokens[sent], shared[sent]])
                 yield from sender.full()
         yield from sender.rest()
 
     def count_shared(batches):
         sender = B.Sender()
-        got = _gather(batches, _TOKENS, 1, sender)
+        got = _gather(batches, _TOKENS, sender)
         if got:
-            owner, unit, token = got
+            owner, unit, token, shared = got
             order, df = _shared(token, unit[owner])
-            found, times = np.unique(unit[owner[order[df > 1]]], return_counts=True)
+            told = np.unique(token[shared > 0])
+            if len(told):
+                at = np.minimum(np.searchsorted(told, token[order]), len(told) - 1)
+                df = np.where(told[at] == token[order], 2, df)
+            hit = order[(df > 1) & (shared[order] == 0)]
+            found, times = np.unique(unit[owner[hit]], return_counts=True)
             for part, at in B.split_by(_by(found, groups), groups):
-                sender.add(part, _TOKENS, B.pack(found[at], B.narrow(times[at])))
+                sender.add(part, _HITS, B.pack(found[at], B.narrow(times[at])))
         yield from sender.rest()
 
     def survivors(batches):
@@ -215,8 +240,16 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         def deal():
             if sets:
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
-                tokens = np.concatenate(sets)
-                _send(sender, _TOKENS, groups, tokens, _units_of(sizes), [np.array(units, dtype=np.uint64), sizes], [tokens])
+                tokens, owner, names = np.concatenate(sets), _units_of(sizes), np.array(units, dtype=np.uint64)
+                order, df = _shared(tokens, owner)
+                hot = np.zeros(len(tokens), dtype=bool)
+                hot[order[df > HOT_UNITS]] = True
+                told = hot.copy()  # one of its units tells the others that a token is hot
+                told[order[1:][tokens[order[1:]] == tokens[order[:-1]]]] = False
+                by = names[owner[hot]]
+                _send(sender, _HITS, groups, by, owner[hot], [names, sizes], [tokens[hot], np.full(int(hot.sum()), HOT, dtype=np.uint32)])
+                sent = ~hot | told
+                _send(sender, _TOKENS, groups, tokens[sent], owner[sent], [names, sizes], [tokens[sent], hot[sent].astype(np.uint8)])
             units.clear()
             sets.clear()
 
@@ -246,19 +279,24 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def frequencies(batches):
         sender = B.Sender()
-        got = _gather(batches, _TOKENS, 2)
+        got = _gather(batches, _TOKENS, sender)
         if got:
-            owner, unit, size, token = got
+            owner, unit, size, token, hot = got
             order, df = _shared(token, unit[owner])
-            order, df = order[df > 1], df[df > 1]
+            told = np.unique(token[hot > 0])
+            if len(told):
+                at = np.minimum(np.searchsorted(told, token[order]), len(told) - 1)
+                df = np.where(told[at] == token[order], HOT, df)
+            keep = (df > 1) & (hot[order] == 0)
+            order, df = order[keep], df[keep]
             by_unit = np.argsort(unit[owner[order]], kind="stable")
             order, df = order[by_unit], df[by_unit]
             ids, index, at = np.unique(unit[owner[order]], return_index=True, return_inverse=True)
-            _send(sender, _TOKENS, groups, ids[at], at, [ids, size[owner[order[index]]]], [token[order], B.narrow(df).astype(np.uint32)])
+            _send(sender, _HITS, groups, ids[at], at, [ids, size[owner[order[index]]]], [token[order], df.astype(np.uint32)])
         yield from sender.rest()
 
     def ordered_units(batches):
-        got = _gather(batches, _TOKENS, 2)
+        got = _gather(batches, _HITS)
         if not got:
             return
         owner, unit, size, token, df = got
@@ -268,6 +306,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         mine = at[owner]
         order = np.lexsort((token, df, mine))
         mine, token, df = mine[order], token[order], df[order].astype(np.float64)
+        once = np.ones(len(mine), dtype=bool)
+        once[1:] = (mine[1:] != mine[:-1]) | (token[1:] != token[:-1])
+        mine, token, df = mine[once], token[once], df[once]
         edges = np.searchsorted(mine, np.arange(len(units) + 1))
         out: list[tuple] = []
         for i in range(len(units)):
@@ -320,7 +361,7 @@ def _links(units: DataFrame, groups: int, num: int, den: int) -> DataFrame:
         yield from sender.rest()
 
     def name_hubs(batches):
-        got = _gather(batches, _TOKENS, 1)
+        got = _gather(batches, _TOKENS)
         sender = B.Sender()
         if got:
             owner, unit, token = got
@@ -378,7 +419,8 @@ def _links(units: DataFrame, groups: int, num: int, den: int) -> DataFrame:
         yield from sender.rest()
 
     def hub_pairs(batches):
-        got = _gather(batches, _TOKENS, 4)
+        """Hubs that meet in a token, with the pairs of units that they would give; a list of many pairs chains its hubs."""
+        got = _gather(batches, _TOKENS)
         if not got:
             return
         owner, _, hub, _, _, token, _ = got
@@ -388,71 +430,42 @@ def _links(units: DataFrame, groups: int, num: int, den: int) -> DataFrame:
         new = np.ones(len(token), dtype=bool)
         new[1:] = (token[1:] != token[:-1]) | (of[1:] != of[:-1])
         at = np.flatnonzero(new)
-        times, token, of = np.diff(np.append(at, len(of))), token[at], of[at]
-        edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
-        held: list[tuple[np.ndarray, ...]] = []
-        pending = 0
-
-        def total():
-            x, y, w = (np.concatenate([h[i] for h in held]) for i in range(3))
-            o = np.lexsort((y, x))
-            x, y, w = x[o], y[o], w[o]
-            first = np.ones(len(x), dtype=bool)
-            first[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-            at = np.flatnonzero(first)
-            return [(x[at], y[at], np.add.reduceat(w, at))]
-
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            for i in range(a, b - 1 if b - a > 1 else a):
-                held.append((np.full(b - i - 1, of[i]), of[i + 1 : b], times[i] * times[i + 1 : b]))
-                pending += b - i - 1
-            if pending > 2_000_000:
-                held = total()
-                pending = 0
-        if held:
-            for x, y, w in total():
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(w)], names=["x", "y", "w"])
+        times, token, of = np.diff(np.append(at, len(of))).astype(np.int64), token[at], of[at]
+        begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        count = np.diff(np.append(begin, len(token)))
+        every, squares = np.add.reduceat(times, begin), np.add.reduceat(times * times, begin)
+        crowded = np.repeat((every * every - squares) // 2 >= MERGE_POSTINGS, count)
+        rest = np.repeat(begin + count, count) - np.arange(len(token)) - 1  # hubs that follow in the list
+        found = []
+        for s in range(1, int(count.max())):
+            able = np.flatnonzero((rest >= s) & (~crowded | (s == 1)))
+            if not len(able):
+                break
+            found.append((of[able], of[able + s], np.where(crowded[able], MERGE_POSTINGS, times[able] * times[able + s])))
+            if sum(len(f[0]) for f in found) > 2_000_000:
+                found = [total(found)]
+        if found:
+            x, y, w = total(found)
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(w)], names=["x", "y", "w"])
+
+    def total(found):
+        x, y, w = (np.concatenate([f[i] for f in found]) for i in range(3))
+        o = np.lexsort((y, x))
+        x, y, w = x[o], y[o], w[o]
+        first = np.ones(len(x), dtype=bool)
+        first[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        at = np.flatnonzero(first)
+        return x[at], y[at], np.add.reduceat(w, at) if len(at) else w
 
     postings = hubbed.mapInArrow(long_prefixes, B.SCHEMA).repartitionById(groups, F.col("part")).mapInArrow(hub_pairs, "x long, y long, w long")
     close = cut(postings.groupBy("x", "y").agg(F.sum("w").alias("w")).where(F.col("w") >= MERGE_POSTINGS), "hub-pairs")
     merged = components(close, "x", "y").select(F.col("node").alias("hub"), "component")
     hubbed = cut(hubbed.join(merged, "hub", "left").withColumn("hub", F.coalesce("component", "hub")).drop("component"), "merged-hubs")
 
-    sizes = hubbed.groupBy("hub").agg(F.sum("m").alias("tokens"), F.count("*").alias("rows")).where("rows > 1")
-    sizes = sizes.select("hub", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks"))
-    blocked = hubbed.join(sizes, "hub").withColumn("own", (F.xxhash64("u").bitwiseAND(F.lit(0x7FFFFFFF)) % F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    paired = blocked.select("hub", "own", "u", "n", "t", other).select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "u", "n", "t")
-
-    def join_blocks(batches):
-        name, members = None, []
-        out: list[tuple[int, int]] = []
-
-        def close():
-            if len(members) > 1:
-                out.extend(_forest(members, num, den))
-
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("hub", "i", "j", "u", "n", "t")]
-            for h, i, j, u, m, t in zip(*columns, strict=True):
-                if (h, i, j) != name:
-                    close()
-                    name, members = (h, i, j), []
-                members.append((u, m, t))
-            if out:
-                yield pair_batch(out)
-                out = []
-        close()
-        if out:
-            yield pair_batch(out)
-
-    def pair_batch(out):
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["u", "v"])
-
-    inside = paired.repartition(groups, "hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(join_blocks, "u long, v long")
+    inside = _inside(hubbed, groups, num, den)
 
     def cross_pairs(batches):
-        got = _gather(batches, _TOKENS, 4)
+        got = _gather(batches, _TOKENS)
         sender = B.Sender()
         if got:
             owner, unit, hub, size, ell, token, level = got
@@ -526,43 +539,179 @@ def _links(units: DataFrame, groups: int, num: int, den: int) -> DataFrame:
     return inside.union(across)
 
 
-def _forest(members: list[tuple[int, int, bytes]], num: int, den: int) -> list[tuple[int, int]]:
-    """Links that span the components of the members' link graph, from exact overlaps.
+class _Block:
+    """Units of one hub with posting lists of their prefixes; finds links between units of different labels."""
+
+    def __init__(self, members: list[tuple], num: int, den: int) -> None:
+        self.num, self.den = num, den
+        self.units = [m[0] for m in members]
+        self.size, self.base, self.ell = (np.array([m[k] for m in members], dtype=np.int64) for k in (1, 2, 3))
+        self.sets = [np.frombuffer(m[4], dtype="<u8") for m in members]
+        self.label = np.array([m[5] for m in members], dtype=np.int64) if members and len(members[0]) > 5 else np.arange(len(members))
+        heads = [s[: b + e] for s, b, e in zip(self.sets, self.base.tolist(), self.ell.tolist(), strict=True)]
+        n = np.array([len(h) for h in heads], dtype=np.int64)
+        owner = _units_of(n)
+        level = np.maximum(1, np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + 1 - self.base[owner])
+        token = np.concatenate(heads) if heads else np.empty(0, dtype=np.uint64)
+        order = np.argsort(token, kind="stable")
+        self.owner, self.level = owner[order], level[order]
+        self.token, first = np.unique(token[order], return_index=True)
+        self.edges = np.append(first, len(token))
+
+    def partners(self, size: int, base: int, ell: int, tokens: np.ndarray, label: int):
+        """Members of another label that link with a unit, a few at a time; labels may change in between."""
+        head = tokens[: base + ell]
+        at = np.minimum(np.searchsorted(self.token, head), max(0, len(self.token) - 1))
+        known = np.flatnonzero(self.token[at] == head) if len(self.token) else np.empty(0, dtype=int)
+        begin, count = self.edges[at[known]], self.edges[at[known] + 1] - self.edges[at[known]]
+        place = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
+        who = self.owner[place]
+        asked = np.minimum(ell, self.ell)
+        level = np.maximum(np.repeat(np.maximum(1, known + 1 - base), count), self.level[place])
+        shared = np.bincount(who[level <= asked[who]], minlength=len(self.units))
+        able = (shared >= asked) & (self.den * np.minimum(size, self.size) >= self.num * np.maximum(size, self.size)) & (self.label != label)
+        candidates = np.flatnonzero(able)
+        own = np.sort(tokens)
+        for lo in range(0, len(candidates), 1024):
+            some = candidates[lo : lo + 1024]
+            some = some[self.label[some] != label]
+            if not len(some):
+                continue
+            n = np.array([len(self.sets[i]) for i in some.tolist()])
+            every = np.concatenate([self.sets[i] for i in some.tolist()])
+            both = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+            overlap = np.add.reduceat(both.astype(np.int64), np.cumsum(n) - n)
+            yield some[linked(overlap, size, self.size[some], self.num, self.den)].tolist()
+
+    def link(self, x: int) -> list[tuple[int, int]]:
+        """Links from a member to one unit of each other component that it reaches."""
+        out = []
+        for some in self.partners(int(self.size[x]), int(self.base[x]), int(self.ell[x]), self.sets[x], int(self.label[x])):
+            for y in some:
+                if self.label[y] != self.label[x]:
+                    out.append((self.units[x], self.units[y]))
+                    self.label[self.label == self.label[y]] = self.label[x]
+        return out
+
+    def forest(self) -> list[tuple[int, int]]:
+        """Links that span the members' components.
+
+        Members are taken until all that are left lie in one component: links among those would join nothing.
+        """
+        left, out = np.ones(len(self.units), dtype=bool), []
+        while True:
+            rest = np.flatnonzero(left)
+            if not len(rest):
+                return out
+            found, sizes = np.unique(self.label[rest], return_counts=True)
+            if len(found) == 1:
+                return out
+            x = int(rest[np.argmax(self.label[rest] != found[np.argmax(sizes)])])
+            left[x] = False
+            out += self.link(x)
+
+    def main(self) -> np.ndarray:
+        """Members of the largest component."""
+        found, sizes = np.unique(self.label, return_counts=True)
+        return np.flatnonzero(self.label == found[np.argmax(sizes)])
+
+
+def _inside(hubbed: DataFrame, groups: int, num: int, den: int) -> DataFrame:
+    """Links (u, v) that span the components of each hub's units."""
+    fields = ["u", "n", "base", "ell", "t"]
+    sizes = hubbed.groupBy("hub").agg(F.sum("m").alias("tokens"), F.count("*").alias("rows")).where("rows > 1")
+    sizes = sizes.select("hub", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks"))
+    own = (F.xxhash64("u").bitwiseAND(F.lit(0x7FFFFFFF)) % F.col("blocks")).cast("int")
+    blocked = hubbed.join(sizes, "hub").withColumn("own", own).select("hub", "blocks", "own", *fields)
+
+    def batch_of(rows):
+        columns = zip(*rows, strict=True) if rows else [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["hub", "u", "v"])
+
+    def join_blocks(batches):
+        """A block's links, and (hub, unit, null) of the units that connect it with the hub's other blocks."""
+        name, members, pieces = None, [], 1
+        out: list[tuple] = []
 
-    Overlaps of one member with all are one count over posting lists.  Members are taken until
-    all that are left lie in one component: links among those would join nothing.
-    """
-    sets = [np.frombuffer(t, dtype="<u8") for _, _, t in members]
-    n = np.array([m for _, m, _ in members], dtype=np.int64)
-    owner = _units_of(np.array([len(s) for s in sets]))
-    _, token = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(token, kind="stable")
-    posting = owner[order]
-    edges = np.searchsorted(token[order], np.arange(token.max() + 2 if len(token) else 1))
-    bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-    label = np.arange(len(members))
-    left = np.ones(len(members), dtype=bool)
-    out = []
-    while True:
-        rest = np.flatnonzero(left)
-        if not len(rest):
-            break
-        found, sizes = np.unique(label[rest], return_counts=True)
-        if len(found) == 1:
-            break
-        main = found[np.argmax(sizes)]
-        x = int(rest[np.argmax(label[rest] != main)])
-        left[x] = False
-        mine = token[bounds[x] : bounds[x + 1]]
-        begin, count = edges[mine], edges[mine + 1] - edges[mine]
-        at = np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        overlap = np.bincount(posting[at], minlength=len(members))
-        near = np.flatnonzero(linked(overlap, n[x], n, num, den) & (label != label[x]))
-        for y in near.tolist():
-            if label[y] != label[x]:
-                out.append((members[x][0], members[y][0]))
-                label[label == label[y]] = label[x]
-    return out
+        def close():
+            if len(members) > 1 or pieces > 1:
+                block = _Block(members, num, den)
+                out.extend((name[0], u, v) for u, v in block.forest())
+                if pieces > 1:
+                    out.extend((name[0], block.units[i], None) for i in block.main()[:PIVOTS].tolist())
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("hub", "own", "blocks", *fields)]
+            for hub, own_, blocks, *member in zip(*columns, strict=True):
+                if (hub, own_) != name:
+                    if name:
+                        close()
+                    name, members, pieces = (hub, own_), [], blocks
+                members.append(tuple(member))
+            if out:
+                yield batch_of(out)
+                out.clear()
+        if name:
+            close()
+        yield batch_of(out)
+
+    def connect(batches):
+        """Links between the units that stand for a hub's blocks."""
+        name, members = None, []
+        out: list[tuple] = []
+        for batch in batches:
+            for hub, *member in zip(*(batch.column(c).to_pylist() for c in ("hub", *fields)), strict=True):
+                if hub != name:
+                    if members:
+                        out += [(name, *x) for x in _Block(members, num, den).forest()]
+                    name, members = hub, []
+                members.append(tuple(member))
+        if members:
+            out += [(name, *x) for x in _Block(members, num, den).forest()]
+        yield batch_of(out)
+
+    def meet_rest(batches):
+        """Links of the units outside a hub's largest component with the units of each block, which come first."""
+        name, members, block = None, [], None
+        out: list[tuple] = []
+        for batch in batches:
+            for hub, own_, outside, *member in zip(*(batch.column(c).to_pylist() for c in ("hub", "own", "outside", *fields, "label")), strict=True):
+                if (hub, own_) != name:
+                    name, members, block = (hub, own_), [], None
+                if not outside:
+                    members.append(tuple(member))
+                    continue
+                if block is None:
+                    block = _Block(members, num, den)
+                u, size, base, ell, t, label = member
+                seen = set()
+                for some in block.partners(size, base, ell, np.frombuffer(t, dtype="<u8"), label):
+                    for y in some:
+                        if int(block.label[y]) not in seen:
+                            seen.add(int(block.label[y]))
+                            out.append((hub, u, block.units[y]))
+            if out:
+                yield batch_of(out)
+                out = []
+        yield batch_of(out)
+
+    schema = "hub long, u long, v long"
+    found = cut(blocked.repartition(groups, "hub", "own").sortWithinPartitions("hub", "own").mapInArrow(join_blocks, schema), "blocks")
+    links = found.where("v is not null")
+    pivots = found.where("v is null").select("hub", "u")
+    if not pivots.limit(1).count():
+        return links.select("u", "v")
+    wide = blocked.where("blocks > 1")
+    links = links.union(cut(pivots.join(wide, ["hub", "u"]).repartition(groups, "hub").sortWithinPartitions("hub").mapInArrow(connect, schema), "pivots"))
+    comps = components(links.join(sizes.where("blocks > 1").select("hub"), "hub"), "u", "v").select(F.col("node").alias("u"), F.col("component").alias("label"))
+    wide = cut(wide.join(comps, "u", "left").withColumn("label", F.coalesce("label", "u")), "labelled")
+    counted = wide.groupBy("hub", "label").agg(F.count("*").alias("units"))
+    main = counted.groupBy("hub").agg(F.max_by("label", F.struct("units", "label")).alias("main"))
+    outside = wide.join(main, "hub").where("label <> main").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    names = ["hub", "own", "outside", *fields, "label"]
+    met = wide.withColumn("outside", F.lit(False)).select(*names).union(outside.withColumn("outside", F.lit(True)).select(*names))
+    rest = met.repartition(groups, "hub", "own").sortWithinPartitions("hub", "own", "outside").mapInArrow(meet_rest, schema)
+    return links.union(rest).select("u", "v")
 
 
 def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
