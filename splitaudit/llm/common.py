@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +20,8 @@ def work_root(spark: SparkSession) -> str:
     """The shared folder that spark.checkpoint.dir names; a folder of our own only where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         app = spark.sparkContext.applicationId
         if app not in _own_roots:
             _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="splitaudit-work-")
@@ -40,6 +42,18 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def rename(spark: SparkSession, path: str, old: str, new: str) -> None:
+    """Files of a folder that end in `old` end in `new` instead."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in system.listStatus(folder):
+        file = status.getPath()
+        if file.getName().endswith(old):
+            to = spark._jvm.org.apache.hadoop.fs.Path(folder, file.getName()[: -len(old)] + new)
+            if not system.rename(file, to):
+                raise OSError(f"{file} could not be renamed")
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder and read again: its lineage ends there and it is computed once."""
     spark = df.sparkSession
@@ -54,19 +68,32 @@ def fresh(df: DataFrame, name: str) -> str:
     return next(n for n in itertools.chain([name], (f"{name}_{i}" for i in itertools.count(1))) if n.lower() not in taken)
 
 
-def map_arrow(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:
-    """mapInArrow of a function from one record batch to any number of record batches or tables."""
-    out = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+def new_column(df: DataFrame, name: str | None, default: str) -> str:
+    """The name of a column to add: a free one by default; one that `df` has already is an error."""
+    if name is None:
+        return fresh(df, default)
+    if name.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"the documents already have a column {name}")
+    return name
+
+
+def release() -> None:
+    """Give freed memory back to the system: a Python worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: it keeps what it keeps
+
+
+def tidy(fn):
+    """A function for mapInArrow that leaves no freed memory with the worker."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for got in fn(batch):
-                if isinstance(got, pa.Table):
-                    yield from got.to_batches()
-                else:
-                    yield got
+    def run(batches):
+        yield from fn(batches)
+        release()
 
-    return df.mapInArrow(run, out)
+    return run
 
 
 def texts_of(batch: pa.RecordBatch, column: int | str) -> list[bytes | None]:

@@ -14,6 +14,7 @@ false positives, which the automaton rejects, and no false negatives.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens as K
-from .common import cut, fresh, texts_of
+from .common import cut, fresh, new_column, texts_of, tidy
 
 #: Words of benchmark text in one broadcast block.
 BLOCK_WORDS = 200_000
@@ -195,11 +196,11 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
     repeated gives its row again; other columns, whatever their names, stay as they are (a
     column already named `found` is an error).
     """
-    if found.lower() in (c.lower() for c in docs.columns):
-        raise ValueError(f"the documents already have a column {found}")
+    found = new_column(docs, found, "found")
     sc, out, names = docs.sparkSession.sparkContext, docs, docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField(found, _FOUND)])
-    for i, block in enumerate([*blocks(benchmark, item_id, item_text, block_words)] or [[]]):
+    found_blocks = blocks(benchmark, item_id, item_text, block_words)
+    for i, block in enumerate(itertools.chain([next(found_blocks, [])], found_blocks)):
         if i:
             out = cut(out, "matched")
         shared = sc.broadcast(block)
@@ -226,7 +227,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
                 columns = [batch.column(c) for c in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, kind)], names=[*names, found])
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(tidy(run), schema)
     return out
 
 
@@ -270,4 +271,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", act
             columns = [pa.array(new, pa.binary()).cast(pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return matched.mapInArrow(run, docs.schema)
+    return matched.mapInArrow(tidy(run), docs.schema)

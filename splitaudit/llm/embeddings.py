@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, shuffle_partitions
+from .common import components, cut, shuffle_partitions, tidy
 
 #: What a tile's residents take at most, and the least rows for which a tile is made to share work.
 TILE_BYTES, LEAST_ROWS = 24 << 20, 4096
@@ -270,7 +270,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
                 blobs.append(blob)
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(digests, pa.binary()), pa.array(blobs, pa.binary())], names=["k", "digest", "v"])
 
-    own = vectors.select(F.col(key).cast("long").alias("k"), F.col(embedding).alias("e")).mapInArrow(digest, "k long, digest binary, v binary")
+    own = vectors.select(F.col(key).cast("long").alias("k"), F.col(embedding).alias("e")).mapInArrow(tidy(digest), "k long, digest binary, v binary")
     classes = own.where("k is not null and digest is not null").groupBy("digest").agg(F.min("k").alias("rep"), F.count("*").alias("w"), F.first("v").alias("v"))
     classes = cut(classes.withColumn("dim", (F.octet_length("v") / width).cast("int")).withColumn("c", F.monotonically_increasing_id()), "classes")
     sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
@@ -328,7 +328,7 @@ def _count_homes(classes: DataFrame, tree, dim: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["leaf", "n"])
 
     counts = np.zeros(len(tree.value.low), dtype=np.int64)
-    for r in classes.select("v").mapInArrow(run, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect():
+    for r in classes.select("v").mapInArrow(tidy(run), "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect():
         counts[r["leaf"]] = r["n"]
     return counts
 
@@ -386,6 +386,6 @@ def _links(classes: DataFrame, tiles, dim: int, threshold: float, partitions: in
         if tile is not None:
             yield close()
 
-    dealt = classes.mapInArrow(deal, "tile long, visitor boolean, c long, w long, v binary")
+    dealt = classes.mapInArrow(tidy(deal), "tile long, visitor boolean, c long, w long, v binary")
     n = max(1, min(tiles.value.total, max(partitions, tiles.value.total // 16)))
-    return dealt.repartitionById(n, F.pmod(F.col("tile"), F.lit(n)).cast("int")).sortWithinPartitions("tile", "visitor").mapInArrow(meet, "c long, n long, root long")
+    return dealt.repartitionById(n, F.pmod(F.col("tile"), F.lit(n)).cast("int")).sortWithinPartitions("tile", "visitor").mapInArrow(tidy(meet), "c long, n long, root long")

@@ -31,13 +31,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blobs as B
 from . import tokens as K
-from .common import components, cut, shuffle_partitions, texts_of
-from .rowblocks import without_keys
+from .common import components, cut, fresh, shuffle_partitions, texts_of, tidy
 
 #: Prefix tokens that a group should hold on average.
 GROUP_TOKENS = 2_000_000
@@ -135,15 +134,27 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     a key are documents of their own with that key.  A null key takes part as the greatest
     key; a component of such rows alone has a null id.  Other columns are ignored.
     """
-    num, den = threshold
     kind = docs.schema[key].dataType.simpleString()
+    out = _components(docs, key, text, n, threshold).withColumn("c", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("d")))
+    clean = lambda c: F.when(F.col(c) != int(_NULL_ID), F.col(c)).cast(kind)
+    return out.select(clean("d").alias(key), F.col("n").alias("n_shingles"), clean("c").alias("component_id"))
+
+
+def _row_key(key: str, text: str):
+    """Columns d and x that tell a row: its key, nulls as the greatest, and a hash of its text."""
+    return F.coalesce(F.col(key).cast("long"), F.lit(int(_NULL_ID))).alias("d"), F.xxhash64(text).alias("x")
+
+
+def _components(docs: DataFrame, key: str, text: str, n: int, threshold: tuple[int, int]) -> DataFrame:
+    """A row for each document row: d and x, n, its component and that one's least d (both null for an empty set)."""
+    num, den = threshold
     groups = _groups(docs, text)
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(int(_NULL_ID))).alias("d"), F.col(text).alias("t"))
+    rows = docs.select(*_row_key(key, text), F.col(text).alias("t"))
 
     def first_pass(batches):
         sender = B.Sender()
         for batch in batches:
-            all_ids, all_data = batch.column("d").to_numpy(), [x or b"" for x in texts_of(batch, "t")]
+            all_ids, all_marks, all_data = batch.column("d").to_numpy(), batch.column("x").to_numpy(), [x or b"" for x in texts_of(batch, "t")]
             for lo, hi in K.chunks(all_data, LOCAL_BYTES):
                 sizes, units, prefixes, owners, seen = [], [], [], [], {}
                 for s, h in _sets(all_data[lo:hi], n):
@@ -153,9 +164,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
                         seen[h] = len(seen)
                         m = len(s) - need(len(s), num, den) + max(1, int(np.ceil(FIRST_SHARE * len(s))))
                         prefixes.append(s[:m])
-                ids, sizes, units = all_ids[lo:hi], np.array(sizes, dtype=np.int64), np.array(units, dtype=np.uint64)
+                ids, marks, sizes, units = all_ids[lo:hi], all_marks[lo:hi], np.array(sizes, dtype=np.int64), np.array(units, dtype=np.uint64)
                 for part, at in B.split_by(_by(units, groups), groups):
-                    sender.add(part, _INFO, B.pack(ids[at], sizes[at], units[at]))
+                    sender.add(part, _INFO, B.pack(ids[at], marks[at], sizes[at], units[at]))
                 if prefixes:
                     distinct = np.fromiter(seen, dtype=np.uint64, count=len(seen))
                     owners = _units_of(np.array([len(p) for p in prefixes]))
@@ -201,13 +212,13 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         if hits:
             u, inverse = np.unique(np.concatenate([h[0] for h in hits]), return_inverse=True)
             total = dict(zip(u.tolist(), np.bincount(inverse, weights=np.concatenate([h[1].astype(np.float64) for h in hits])).astype(int).tolist(), strict=True))
-        for ids, sizes, units in info:
+        for ids, marks, sizes, units in info:
             asked = np.maximum(1, np.ceil(FIRST_SHARE * sizes)).astype(np.int64)
             times = np.array([total.get(x, 0) for x in units.tolist()], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes), pa.array(units.view(np.int64)), pa.array((times >= asked) & (sizes > 0))], names=["d", "n", "u", "alive"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(marks), pa.array(sizes), pa.array(units.view(np.int64)), pa.array((times >= asked) & (sizes > 0))], names=["d", "x", "n", "u", "alive"])
 
-    dealt = rows.mapInArrow(first_pass, B.SCHEMA).repartitionById(groups, F.col("part")).mapInArrow(count_shared, B.SCHEMA)
-    info = cut(dealt.repartitionById(groups, F.col("part")).mapInArrow(survivors, "d long, n long, u long, alive boolean"), "sets")
+    dealt = rows.mapInArrow(tidy(first_pass), B.SCHEMA).repartitionById(groups, F.col("part")).mapInArrow(tidy(count_shared), B.SCHEMA)
+    info = cut(dealt.repartitionById(groups, F.col("part")).mapInArrow(tidy(survivors), "d long, x long, n long, u long, alive boolean"), "sets")
     classes = info.where("n > 0").groupBy("u").agg(F.min("d").alias("rep"), F.max("alive").alias("alive"))
 
     def send_alive(batches):
@@ -332,18 +343,16 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["u", "n", "base", "ell", "m", "t"])
 
-    alive = classes.where("alive").select("rep", "u").mapInArrow(send_alive, B.SCHEMA)
-    met = alive.union(rows.mapInArrow(send_texts, B.SCHEMA)).repartitionById(groups, F.col("part")).sortWithinPartitions("kind")
-    counted = met.mapInArrow(whole_sets, B.SCHEMA).repartitionById(groups, F.col("part")).mapInArrow(frequencies, B.SCHEMA)
-    units = cut(counted.repartitionById(groups, F.col("part")).mapInArrow(ordered_units, "u long, n long, base long, ell long, m long, t binary"), "units")
+    alive = classes.where("alive").select("rep", "u").mapInArrow(tidy(send_alive), B.SCHEMA)
+    met = alive.union(rows.mapInArrow(tidy(send_texts), B.SCHEMA)).repartitionById(groups, F.col("part")).sortWithinPartitions("kind")
+    counted = met.mapInArrow(tidy(whole_sets), B.SCHEMA).repartitionById(groups, F.col("part")).mapInArrow(tidy(frequencies), B.SCHEMA)
+    units = cut(counted.repartitionById(groups, F.col("part")).mapInArrow(tidy(ordered_units), "u long, n long, base long, ell long, m long, t binary"), "units")
     links = cut(_links(units, groups, num, den), "links")
     comps = components(links, "u", "v").select(F.col("node").alias("u"), "component")
     reps = classes.select("u", "rep").join(comps, "u", "left").select("u", "rep", F.coalesce("component", "u").alias("component"))
     least = reps.groupBy("component").agg(F.min("rep").alias("least"))
-    named = reps.join(least, "component").select("u", "least")
-    out = info.join(named, "u", "left").select("d", "n", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("d")).alias("c"))
-    clean = lambda c: F.when(F.col(c) != int(_NULL_ID), F.col(c)).cast(kind)
-    return out.select(clean("d").alias(key), F.col("n").alias("n_shingles"), clean("c").alias("component_id"))
+    named = reps.join(least, "component").select("u", "component", "least")
+    return info.join(named, "u", "left").select("d", "x", "n", *(F.when(F.col("n") > 0, F.col(c)).alias(c) for c in ("component", "least")))
 
 
 def _links(units: DataFrame, groups: int, num: int, den: int) -> DataFrame:
@@ -398,8 +407,8 @@ def _links(units: DataFrame, groups: int, num: int, den: int) -> DataFrame:
         first[1:] = u[1:] != u[:-1]
         yield pa.RecordBatch.from_arrays([pa.array(u[first]), pa.array(hub[first])], names=["u", "hub"])
 
-    by_token = units.select("u", "base", "t").mapInArrow(base_prefixes, B.SCHEMA).repartitionById(groups, F.col("part"))
-    hubs = by_token.mapInArrow(name_hubs, B.SCHEMA).repartitionById(groups, F.col("part")).mapInArrow(choose_hubs, "u long, hub long")
+    by_token = units.select("u", "base", "t").mapInArrow(tidy(base_prefixes), B.SCHEMA).repartitionById(groups, F.col("part"))
+    hubs = by_token.mapInArrow(tidy(name_hubs), B.SCHEMA).repartitionById(groups, F.col("part")).mapInArrow(tidy(choose_hubs), "u long, hub long")
     hubbed = cut(units.join(hubs, "u"), "hubs")
 
     def long_prefixes(batches):
@@ -457,7 +466,7 @@ def _links(units: DataFrame, groups: int, num: int, den: int) -> DataFrame:
         at = np.flatnonzero(first)
         return x[at], y[at], np.add.reduceat(w, at) if len(at) else w
 
-    postings = hubbed.mapInArrow(long_prefixes, B.SCHEMA).repartitionById(groups, F.col("part")).mapInArrow(hub_pairs, "x long, y long, w long")
+    postings = hubbed.mapInArrow(tidy(long_prefixes), B.SCHEMA).repartitionById(groups, F.col("part")).mapInArrow(tidy(hub_pairs), "x long, y long, w long")
     close = cut(postings.groupBy("x", "y").agg(F.sum("w").alias("w")).where(F.col("w") >= MERGE_POSTINGS), "hub-pairs")
     merged = components(close, "x", "y").select(F.col("node").alias("hub"), "component")
     hubbed = cut(hubbed.join(merged, "hub", "left").withColumn("hub", F.coalesce("component", "hub")).drop("component"), "merged-hubs")
@@ -531,11 +540,11 @@ def _links(units: DataFrame, groups: int, num: int, den: int) -> DataFrame:
                 keep.append(linked(len(both), na, nb, num, den))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    crossing = hubbed.mapInArrow(long_prefixes, B.SCHEMA).repartitionById(groups, F.col("part")).mapInArrow(cross_pairs, B.SCHEMA)
-    pairs = crossing.repartitionById(groups, F.col("part")).mapInArrow(candidates, "u long, v long")
+    crossing = hubbed.mapInArrow(tidy(long_prefixes), B.SCHEMA).repartitionById(groups, F.col("part")).mapInArrow(tidy(cross_pairs), B.SCHEMA)
+    pairs = crossing.repartitionById(groups, F.col("part")).mapInArrow(tidy(candidates), "u long, v long")
     left = units.select("u", F.col("n").alias("na"), F.col("t").alias("ta"))
     right = units.select(F.col("u").alias("v"), F.col("n").alias("nb"), F.col("t").alias("tb"))
-    across = pairs.join(left, "u").join(right, "v").select("u", "v", "na", "nb", "ta", "tb").mapInArrow(verify, "u long, v long")
+    across = pairs.join(left, "u").join(right, "v").select("u", "v", "na", "nb", "ta", "tb").mapInArrow(tidy(verify), "u long, v long")
     return inside.union(across)
 
 
@@ -696,13 +705,13 @@ def _inside(hubbed: DataFrame, groups: int, num: int, den: int) -> DataFrame:
         yield batch_of(out)
 
     schema = "hub long, u long, v long"
-    found = cut(blocked.repartition(groups, "hub", "own").sortWithinPartitions("hub", "own").mapInArrow(join_blocks, schema), "blocks")
+    found = cut(blocked.repartition(groups, "hub", "own").sortWithinPartitions("hub", "own").mapInArrow(tidy(join_blocks), schema), "blocks")
     links = found.where("v is not null")
     pivots = found.where("v is null").select("hub", "u")
     if not pivots.limit(1).count():
         return links.select("u", "v")
     wide = blocked.where("blocks > 1")
-    links = links.union(cut(pivots.join(wide, ["hub", "u"]).repartition(groups, "hub").sortWithinPartitions("hub").mapInArrow(connect, schema), "pivots"))
+    links = links.union(cut(pivots.join(wide, ["hub", "u"]).repartition(groups, "hub").sortWithinPartitions("hub").mapInArrow(tidy(connect), schema), "pivots"))
     comps = components(links.join(sizes.where("blocks > 1").select("hub"), "hub"), "u", "v").select(F.col("node").alias("u"), F.col("component").alias("label"))
     wide = cut(wide.join(comps, "u", "left").withColumn("label", F.coalesce("label", "u")), "labelled")
     counted = wide.groupBy("hub", "label").agg(F.count("*").alias("units"))
@@ -710,14 +719,26 @@ def _inside(hubbed: DataFrame, groups: int, num: int, den: int) -> DataFrame:
     outside = wide.join(main, "hub").where("label <> main").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     names = ["hub", "own", "outside", *fields, "label"]
     met = wide.withColumn("outside", F.lit(False)).select(*names).union(outside.withColumn("outside", F.lit(True)).select(*names))
-    rest = met.repartition(groups, "hub", "own").sortWithinPartitions("hub", "own", "outside").mapInArrow(meet_rest, schema)
+    rest = met.repartition(groups, "hub", "own").sortWithinPartitions("hub", "own", "outside").mapInArrow(tidy(meet_rest), schema)
     return links.union(rest).select("u", "v")
 
 
-def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of `docs` whose key is their component's least: one document of each group stays.
+def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: tuple[int, int] = (75, 100)) -> DataFrame:
+    """One row of `docs` for each component: the one of the least key (nulls last), of several texts under it one.
 
-    Documents with an empty set, and rows with a null key, stay.
+    Documents with an empty set all stay.  Rows that repeat key and text are copies of each other: one of them stays.
     """
-    found = jaccard_components(docs, key, text, **options)
-    return without_keys(docs, key, found.where(F.col(key) != F.col("component_id")).select(key))
+    found = cut(_components(docs, key, text, n, threshold).where("component is not null"), "members")
+    first = found.groupBy("component").agg(F.min(F.struct("d", "x")).alias("first"))
+    gone = found.join(first, "component").where((F.col("d") != F.col("first.d")) | (F.col("x") != F.col("first.x"))).select("d", "x").distinct()
+    names = [fresh(docs, "row_d"), fresh(docs, "row_x")]
+    marked = docs.select("*", *(c.alias(m) for c, m in zip(_row_key(key, text), names, strict=True)))
+    same = lambda other: (marked[names[0]] == other["d"]) & (marked[names[1]] == other["x"])
+    kept = marked.join(gone, same(gone), "left_anti")
+    again = found.groupBy("d", "x").agg(F.count("*").alias("rows")).where("rows > 1").select("d", "x")
+    if not again.limit(1).count():
+        return kept.drop(*names)
+    place = fresh(docs, "row_place")
+    copies = kept.join(again, (kept[names[0]] == again["d"]) & (kept[names[1]] == again["x"]), "left_semi")
+    one = copies.withColumn(place, F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0)))).where(F.col(place) == 1).drop(place)
+    return kept.join(again, (kept[names[0]] == again["d"]) & (kept[names[1]] == again["x"]), "left_anti").unionByName(one).drop(*names)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens as K
-from .common import fresh, texts_of
+from .common import new_column, texts_of, tidy
 
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
@@ -159,7 +159,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
             found = [counts(x) for x in texts_of(batch, "t")]
             yield pa.RecordBatch.from_arrays([batch.column("l"), batch.column("u"), pa.array([a.tolist() for a, _ in found], pa.list_(pa.int32())), pa.array([c.tolist() for _, c in found], pa.list_(pa.int32()))], names=["l", "u", "a", "c"])
 
-    got = drawn.mapInArrow(run, "l string, u double, a array<int>, c array<int>").toArrow()
+    got = drawn.mapInArrow(tidy(run), "l string, u double, a array<int>, c array<int>").toArrow()
     order = np.lexsort((got["u"].to_numpy(), np.array(got["l"].to_pylist(), dtype=object).astype(str)))
     lists = [(x.as_py(), np.array(a.as_py(), dtype=np.int32), np.array(c.as_py(), dtype=np.int32)) for x, a, c in zip(got["l"], got["a"], got["c"], strict=True)]
     return train([lists[i] for i in order], **options)
@@ -174,7 +174,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", out: str | None
     learned language every text is `und`.  Repeated rows give the same answer; other columns
     stay as they are.
     """
-    out = out or fresh(docs, "language")
+    out = new_column(docs, out, "language")
     names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("confident", T.BooleanType())])
@@ -191,4 +191,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text", out: str | None
             answer = pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(letters & (score >= m.reject_below))], names=["lang", "score", "confident"])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], answer], names=[*names, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, kind)]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(out, kind)]))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import tokens as K
-from .common import fresh, texts_of
+from .common import new_column, texts_of, tidy
 from .licence_templates import TEMPLATES
 
 MIN_DICE = 0.9
@@ -224,7 +224,7 @@ def scan_licences(docs: DataFrame, text: str = "text", min_dice: float = MIN_DIC
 (scope `words`; templates of one word have none).  Repeated rows
     give the same answer; other columns stay as they are.
     """
-    out = out or fresh(docs, "licences")
+    out = new_column(docs, out, "licences")
     names = docs.columns
     scanner = docs.sparkSession.sparkContext.broadcast(Scanner(TEMPLATES if templates is None else templates, min_dice))
     fields = [("licence", T.StringType(), pa.string()), ("dice", T.DoubleType(), pa.float64()), ("scope", T.StringType(), pa.string()), ("start", T.LongType(), pa.int64()), ("end", T.LongType(), pa.int64())]
@@ -238,4 +238,4 @@ def scan_licences(docs: DataFrame, text: str = "text", min_dice: float = MIN_DIC
             rows = [[dict(zip([n for n, _ in arrow], m, strict=True)) for m in matches] for matches in scanner.value.scan(data)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(rows, pa.list_(pa.struct(arrow)))], names=[*names, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, kind)]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(out, kind)]))

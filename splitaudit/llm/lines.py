@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from . import blobs as B
 from . import tokens as K
-from .common import cut, shuffle_partitions, texts_of
+from .common import cut, new_column, shuffle_partitions, texts_of, tidy
 from .rowblocks import by_key, numbered, read_rows, send_rows
 
 MIN_BYTES = 20
@@ -409,12 +409,11 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", counts
     text are one document given several times and lose the same lines.  An empty table gives an
     empty result; other columns stay as they are (one named like `counts` is an error).
     """
-    if counts and counts.lower() in (c.lower() for c in docs.columns):
-        raise ValueError(f"the documents already have a column {counts}")
+    counts = counts and new_column(docs, counts, counts)
     groups = _groups(docs, text)
     rows, number = numbered(docs, key)
     slim = rows.select(F.col(number).alias("d"), F.col(text).alias("t"))
-    seen = cut(_joined(slim.mapInArrow(_scan(groups), B.SCHEMA), groups, HOT), "line-keys")
+    seen = cut(_joined(slim.mapInArrow(tidy(_scan(groups)), B.SCHEMA), groups, HOT), "line-keys")
     losers = _near_losers(slim, seen, groups)
     removed = seen.where(F.col("kind") == _REMOVED).select("part", "kind", "blob").union(losers)
     return _settle(rows, removed, number, text, groups, counts)
@@ -567,7 +566,7 @@ def _joined(sent: DataFrame, groups: int, hot: int | None) -> DataFrame:
                 yield from sender.full()
         yield from sender.rest()
 
-    return sent.repartitionById(groups, F.col("part")).mapInArrow(join_keys, B.SCHEMA)
+    return sent.repartitionById(groups, F.col("part")).mapInArrow(tidy(join_keys), B.SCHEMA)
 
 
 def _exploded(seen: DataFrame, kind: int, names: list[str]) -> DataFrame:
@@ -579,7 +578,7 @@ def _exploded(seen: DataFrame, kind: int, names: list[str]) -> DataFrame:
                 columns = [c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64) for c in B.unpack(blob)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    return seen.where(F.col("kind") == kind).select("blob").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return seen.where(F.col("kind") == kind).select("blob").mapInArrow(tidy(run), ", ".join(f"{n} long" for n in names))
 
 
 def _near_losers(slim: DataFrame, seen: DataFrame, groups: int) -> DataFrame:
@@ -602,7 +601,7 @@ def _near_losers(slim: DataFrame, seen: DataFrame, groups: int) -> DataFrame:
         yield from sender.rest()
 
     if hot.limit(1).count():
-        finer = _joined(contents.where("hot").select("u", "bytes").mapInArrow(fine_keys, B.SCHEMA), groups, None)
+        finer = _joined(contents.where("hot").select("u", "bytes").mapInArrow(tidy(fine_keys), B.SCHEMA), groups, None)
         members = members.union(_exploded(cut(finer, "fine-keys"), _MEMBER, ["k", "u", "ix", "sk"]))
 
     def verify(batches):
@@ -619,7 +618,7 @@ def _near_losers(slim: DataFrame, seen: DataFrame, groups: int) -> DataFrame:
         yield from sender.rest()
 
     met = members.join(contents.drop("hot"), "u").select("k", "ix", "sk", "d", "crc", "line", "bytes")
-    return met.repartition("k").sortWithinPartitions("k", "d", "line").mapInArrow(verify, B.SCHEMA)
+    return met.repartition("k").sortWithinPartitions("k", "d", "line").mapInArrow(tidy(verify), B.SCHEMA)
 
 
 def _contents(slim: DataFrame, wanted: DataFrame, groups: int) -> DataFrame:
@@ -654,8 +653,8 @@ def _contents(slim: DataFrame, wanted: DataFrame, groups: int) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["u", "hot", "d", "crc", "line", "bytes"])
 
-    met = wanted.select("u", "hot", "d", "crc", "line").mapInArrow(send_wanted, B.SCHEMA).union(send_rows(slim, "d", groups)).repartitionById(groups, F.col("part")).sortWithinPartitions("kind")
-    return met.mapInArrow(fetch, "u long, hot boolean, d long, crc long, line long, bytes binary")
+    met = wanted.select("u", "hot", "d", "crc", "line").mapInArrow(tidy(send_wanted), B.SCHEMA).union(send_rows(slim, "d", groups)).repartitionById(groups, F.col("part")).sortWithinPartitions("kind")
+    return met.mapInArrow(tidy(fetch), "u long, hot boolean, d long, crc long, line long, bytes binary")
 
 
 def _near(a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -798,4 +797,4 @@ def _settle(rows: DataFrame, removed: DataFrame, number: str, text: str, groups:
                 yield pa.RecordBatch.from_arrays(columns, names=out)
 
     both = removed.union(send_rows(rows, number, groups)).repartitionById(groups, F.col("part")).sortWithinPartitions("kind")
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(tidy(run), schema)

@@ -24,14 +24,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as K
-from .common import shuffle_partitions, texts_of
+from .common import shuffle_partitions, texts_of, tidy
 
 DIMS, DIM_BITS = 3, 10
 SAMPLE_ROWS = 8192
+#: Bytes of text in a range at most on average, and what a document weighs beside its bytes.
+RANGE_BYTES, ROW_WEIGHT = 128 << 20, 256
 #: Parts of a range's sequence ids: range number, then the sequence in it.
 _RANGE_SHIFT = 40
 #: How byte-level vocabularies are split before merging (fixed value of the public format).
 _SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Where a text may be cut before splitting, and the characters that are encoded at a time.
+_BREAK = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+PIECE_CHARS = 1 << 19
 _PROBES = ["Plain words, 12345 and  double  spaces.", "don't we'll\n\n\tnew lines éñ中\U0001f600 !!", ""]
 
 _encoders: dict[str, object] = {}
@@ -74,11 +79,23 @@ def encoder(path: str):
         pass
     else:
 
-        def by_tiktoken(texts: list[str]) -> list[list[int]]:
-            return [fast.encode(t, allowed_special="all") if any(x in t for x in special) else fast.encode_ordinary(t) for t in texts]
+        def by_tiktoken(texts: list[str]) -> list[list[int] | np.ndarray]:
+            return [piece(t) if len(t) <= PIECE_CHARS else np.concatenate([np.array(piece(p), dtype=np.uint32) for p in pieces(t)]) for t in texts]
+
+        def piece(t: str) -> list[int]:
+            return fast.encode(t, allowed_special="all") if any(x in t for x in special) else fast.encode_ordinary(t)
+
+        def pieces(t: str):
+            """Parts that the split never joins: they end before a space between letters."""
+            at = 0
+            while at < len(t):
+                end = _BREAK.search(t, at + PIECE_CHARS) if len(t) - at > PIECE_CHARS else None
+                stop = end.start() if end else len(t)
+                yield t[at:stop]
+                at = stop
 
         probes = [*_PROBES, *(p for x in special for p in (x, f"one {x} two", f"one  {x}\n {x}{x}two", f"a{x}b"))]
-        if by_tiktoken(probes) == by_tokenizers(probes):
+        if by_tiktoken(probes) == by_tokenizers(probes) and not any(_BREAK.search(x) for x in special):
             found = by_tiktoken
     _encoders[path] = found
     return found
@@ -129,21 +146,25 @@ def _keys(data: list[bytes], salt: np.ndarray) -> np.ndarray:
     return (places(data) << 32) | (salt & 0xFFFFFFFF)
 
 
-def range_bounds(docs: DataFrame, key: str, text: str, ranges: int, rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """Upper bounds of the ranges but the last: weighted quantiles of sampled keys."""
-    total = docs.count()
+def range_bounds(docs: DataFrame, key: str, text: str, ranges: int | None = None, rows: int = SAMPLE_ROWS) -> np.ndarray:
+    """Upper bounds of the ranges but the last: weighted quantiles of sampled keys.
+
+    Without a number of ranges it follows from the bytes, and is at least that of shuffle partitions.
+    """
+    total, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    ranges = ranges or max(shuffle_partitions(docs.sparkSession), size // RANGE_BYTES + 1)
     if not total or ranges < 2:
         return np.empty(0, dtype=np.int64)
-    share = min(1.0, rows / total)
-    drawn = docs.select(F.col(text).alias("t"), F.xxhash64(F.col(key)).alias("s")).where((F.xxhash64("s").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)) < share)
+    share = min(1.0, max(rows, 8 * ranges) / total)
+    drawn = docs.select(F.col(text).alias("t"), F.xxhash64(F.col(key)).alias("s")).where((F.xxhash64("s", F.xxhash64("t")).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)) < share)
 
     def run(batches):
         for batch in batches:
             data = [x or b"" for x in texts_of(batch, "t")]
             keys = _keys(data, batch.column("s").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([len(x) + 4 for x in data], pa.int64())], names=["k", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([len(x) + ROW_WEIGHT for x in data], pa.int64())], names=["k", "n"])
 
-    got = drawn.mapInArrow(run, "k long, n long").limit(4 * rows).toArrow()
+    got = drawn.mapInArrow(tidy(run), "k long, n long").toArrow()
     keys, weights = got["k"].to_numpy(), got["n"].to_numpy()
     if not len(keys):
         return np.empty(0, dtype=np.int64)
@@ -170,7 +191,6 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     """
     if size < 1 or size & (size - 1):
         raise ValueError("the sequence size must be a power of two")
-    ranges = ranges or shuffle_partitions(docs.sparkSession)
     bounds = range_bounds(docs, key, text, ranges)
     kind = docs.schema[key].dataType.simpleString()
 
@@ -182,7 +202,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
             for lo, hi in K.chunks(data, 2 << 20):
                 keys = _keys(data[lo:hi], salts[lo:hi])
                 found = encode([x.decode("utf-8", "replace") for x in data[lo:hi]])
-                arrays = [np.array([*x, end_id], dtype="<u4") for x in found]
+                arrays = [np.append(np.array(x, dtype="<u4"), np.array([end_id], dtype="<u4")) for x in found]
                 counts = [len(x) for x in arrays]
                 narrow = [(x.astype("<u2") if x.max() < 65536 else x).tobytes() for x in arrays]
                 part = np.searchsorted(bounds, keys).astype(np.int32)
@@ -253,10 +273,10 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
     rows = docs.select(F.col(key).alias("d"), F.col(text).alias("t"), F.xxhash64(F.col(key)).alias("s"))
-    tokens = rows.mapInArrow(tokenise, f"d {kind}, part int, k long, n long, ids binary")
+    tokens = rows.mapInArrow(tidy(tokenise), f"d {kind}, part int, k long, n long, ids binary")
     dealt = tokens.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "k", "d", "n")
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if ids else "")
-    return dealt.mapInArrow(packed, schema)
+    return dealt.mapInArrow(tidy(packed), schema)
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

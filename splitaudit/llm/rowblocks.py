@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from . import blobs as B
 from . import tokens as K
-from .common import fresh, shuffle_partitions
+from .common import fresh, tidy
 
 NULL_ID = np.iinfo(np.int64).max
-_KEYS, ROWS = 0, 7
+ROWS = 7
 #: Rows in one block.
 BLOCK_ROWS = 256
 
@@ -38,7 +38,7 @@ def send_rows(rows: DataFrame, number: str, groups: int) -> DataFrame:
                 yield from sender.full()
         yield from sender.rest()
 
-    return rows.mapInArrow(run, B.SCHEMA)
+    return rows.mapInArrow(tidy(run), B.SCHEMA)
 
 
 def read_rows(blob: bytes) -> pa.Table:
@@ -49,34 +49,3 @@ def numbered(docs: DataFrame, key: str) -> tuple[DataFrame, str]:
     """`docs` with a long column that holds the key, nulls as the greatest long."""
     number = fresh(docs, "row_key")
     return docs.withColumn(number, F.coalesce(F.col(key).cast("long"), F.lit(int(NULL_ID)))), number
-
-
-def without_keys(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
-    """The rows of `docs` whose key is not in the first column of `gone` (integers; nulls match nothing)."""
-    groups = shuffle_partitions(docs.sparkSession)
-    rows, number = numbered(docs, key)
-    names = docs.columns
-
-    def send_keys(batches):
-        sender = B.Sender()
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for part, at in B.split_by(by_key(ids, groups), groups):
-                sender.add(part, _KEYS, B.pack(ids[at]))
-        yield from sender.rest()
-
-    def run(batches):
-        keys: set[int] = set()
-        for batch in batches:
-            for k, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                if k == _KEYS:
-                    keys.update(B.unpack(blob)[0].tolist())
-                    continue
-                table = read_rows(blob)
-                ids = table.column(number).to_pylist()
-                left = table.select(names).filter(pa.array([i not in keys for i in ids], pa.bool_()))
-                yield from left.combine_chunks().to_batches()
-
-    dealt = gone.select(F.col(gone.columns[0]).cast("long").alias("k")).where("k is not null").mapInArrow(send_keys, B.SCHEMA)
-    both = dealt.union(send_rows(rows, number, groups)).repartitionById(groups, F.col("part")).sortWithinPartitions("kind")
-    return both.mapInArrow(run, docs.schema)

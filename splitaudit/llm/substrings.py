@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import blobs as B
 from . import tokens as K
-from .common import shuffle_partitions, texts_of
+from .common import shuffle_partitions, texts_of, tidy
 
 #: Suffixes that a group holds at most (but for one node of full depth), and below which none is split.
 GROUP_SUFFIXES, SMALL_GROUP = 2_000_000, 20_000
@@ -256,7 +256,7 @@ def _prefixes(rows: DataFrame, window: int, partitions: int) -> tuple[Prefixes,
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*found.items(), strict=True)], names=["node", "n"])
 
-        got = rows.mapInArrow(count, B.SCHEMA).repartitionById(size // 4096 + 1, F.col("part")).mapInArrow(total, "node long, n long").toArrow()
+        got = rows.mapInArrow(tidy(count), B.SCHEMA).repartitionById(size // 4096 + 1, F.col("part")).mapInArrow(tidy(total), "node long, n long").toArrow()
         trie.count[got["node"].to_numpy()] = got["n"].to_numpy()
         every = int(trie.count[trie._leaves()].sum())
         groups = max(1, partitions, -(-every // GROUP_SUFFIXES))
@@ -388,14 +388,14 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window
         width = 5 if kept_text else 4
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[:width], types, strict=False)], names=["d", "n_words", "n_removed", "kept_sha256", "kept_text"][:width])
 
-    dealt = rows.mapInArrow(suffixes, B.SCHEMA)
+    dealt = rows.mapInArrow(tidy(suffixes), B.SCHEMA)
     if again > 1:
-        whole = dealt.where(F.col("kind") == _SUFFIXES).repartitionById(parts, F.col("part")).mapInArrow(deal_again, B.SCHEMA)
+        whole = dealt.where(F.col("kind") == _SUFFIXES).repartitionById(parts, F.col("part")).mapInArrow(tidy(deal_again), B.SCHEMA)
         dealt = dealt.where(F.col("kind") != _SUFFIXES).union(whole)
-    repeats = dealt.repartitionById(parts * again, F.pmod(F.col("part"), F.lit(parts * again))).mapInArrow(subtrees, B.SCHEMA)
-    both = repeats.union(rows.mapInArrow(texts, B.SCHEMA)).repartitionById(groups, F.col("part")).sortWithinPartitions("kind")
+    repeats = dealt.repartitionById(parts * again, F.pmod(F.col("part"), F.lit(parts * again))).mapInArrow(tidy(subtrees), B.SCHEMA)
+    both = repeats.union(rows.mapInArrow(tidy(texts), B.SCHEMA)).repartitionById(groups, F.col("part")).sortWithinPartitions("kind")
     schema = "d long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if kept_text else "")
-    found = both.mapInArrow(settle, schema)
+    found = both.mapInArrow(tidy(settle), schema)
     return found.select(F.when(F.col("d") != int(_NULL_ID), F.col("d")).cast(kind).alias(key), *found.columns[1:])
 
 

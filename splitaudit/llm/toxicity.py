@@ -26,13 +26,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens as K
-from .common import fresh, texts_of
+from .common import new_column, texts_of, tidy
 
 FEATURE_BITS = 17
 #: Training documents of each label, drawn by a hash of the id, and the most bytes of one.
 SAMPLE_TOXIC = 800
 SAMPLE_CLEAN = 1800
 SAMPLE_TEXT_BYTES = 65_536
+#: Bytes of all training texts at most.
+SAMPLE_BYTES = 24 << 20
 #: Of features that mark toxicity: the least log-likelihood ratio, about 2 ln(distinct features of a sample), and the least lift.
 MARK_RATIO = 24.0
 MARK_LIFT = 12.0
@@ -295,7 +297,11 @@ def calibrate(z: np.ndarray, toxic: np.ndarray, share: float | None) -> tuple[fl
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", toxic_rows: int = SAMPLE_TOXIC, clean_rows: int = SAMPLE_CLEAN, text_bytes: int = SAMPLE_TEXT_BYTES, **options) -> Model:
-    """Train on a bounded sample of labelled documents; a null label or text counts as no row."""
+    """Train on a bounded sample of labelled documents; a null label or text counts as no row.
+
+    The sample is drawn by a hash of the key, and cut (where keys repeat) in the order of hashes; of
+    its texts those are taken, in that order, that together have at most `SAMPLE_BYTES` bytes.
+    """
     marked = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y is not null").groupBy("k").agg(F.max("y").alias("y"))
     sizes = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0.0)
@@ -303,7 +309,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         share = F.when(F.col("y") == y, F.lit(min(1.0, (toxic_rows if y else clean_rows) / n))).otherwise(share)
     drawn = marked.withColumn("u", F.xxhash64("k").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)).where(F.col("u") < share)
     pool = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t")).where(F.col("t").isNotNull() & (F.octet_length("t") <= text_bytes))
-    got = sorted((r["k"], r["y"], bytes(r["t"])) for r in pool.join(F.broadcast(drawn), "k").select("k", "y", "t").limit(2 * (toxic_rows + clean_rows)).toLocalIterator())
+    chosen = pool.join(F.broadcast(drawn), "k").select("k", "y", "t").orderBy(F.xxhash64("k"), F.xxhash64("t")).limit(2 * (toxic_rows + clean_rows))
+    got, size = [], 0
+    for r in chosen.toLocalIterator():
+        size += len(r["t"])
+        if size > SAMPLE_BYTES:
+            break
+        got.append((r["k"], r["y"], bytes(r["t"])))
+    got.sort()
     return train([t for _, _, t in got], [y for _, y, _ in got], share=sizes.get(1, 0) / max(1, sum(sizes.values())), **options)
 
 
@@ -313,7 +326,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str | None = N
     A null text or one without words has the score of a text whose words are all surely O, and
     no spans.  Repeated rows give the same answer; other columns stay as they are.
     """
-    out = out or fresh(docs, "toxicity")
+    out = new_column(docs, out, "toxicity")
     names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("marginal", T.DoubleType())])
@@ -326,4 +339,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str | None = N
             rows = [{"score": s, "spans": [{"start": a, "end": b, "marginal": p} for a, b, p in spans]} for s, spans in shared.value.tag(data)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(rows, arrow)], names=[*names, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, kind)]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(out, kind)]))

@@ -12,8 +12,9 @@ version line, goes on from there, and logs the bytes between as a quarantined ga
 
 Scale: equal payloads are found by digest with a minimum row per digest (combined before
 the shuffle); the join back is on the digest against digests that occur twice or more, and
-its hot partitions can be split.  `records_per_file` bounds the archives, which are read
-whole, one at a time.
+its hot partitions can be split.  Archives are read whole, one at a time, so the writer bounds
+their bytes: members go out in bundles of about `BUNDLE_BYTES`, of which a file holds
+`BUNDLES_PER_FILE` at most.  Archives of others must be of sizes that a worker can hold.
 """
 
 from __future__ import annotations
@@ -28,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, texts_of
+from .common import drop_path, rename, texts_of, tidy
 
 MIN_REVISIT_BYTES = 1000
+#: Bytes of members in a bundle (or one larger member), and bundles in an archive at most.
+BUNDLE_BYTES, BUNDLES_PER_FILE = 4 << 20, 16
 _DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -214,20 +217,32 @@ def with_record_types(pages: DataFrame, page_id: str = "page_id", html: str = "h
     return joined.withColumn("refers_to", F.when(F.col("page_id") < F.col("response"), F.col("response"))).drop("response")
 
 
-def write_warc(records: DataFrame, path: str, records_per_file: int = 50_000) -> None:
-    """Write the rows of `with_record_types` to `.warc.gz` files under `path`."""
+def write_warc(records: DataFrame, path: str, bundle_bytes: int = BUNDLE_BYTES, bundles_per_file: int = BUNDLES_PER_FILE) -> None:
+    """Write the rows of `with_record_types` to `.warc.gz` files under `path`; an empty table gives no archive."""
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
-            ids, urls, refers, digests = (batch.column(c).to_pylist() for c in ("page_id", "url", "refers_to", "payload_digest"))
-            for lo in range(0, len(ids), 500):
-                rows = zip(ids[lo : lo + 500], urls[lo : lo + 500], texts_of(batch.slice(lo, 500), "html"), digests[lo : lo + 500], refers[lo : lo + 500], strict=True)
-                members = [gzip_member(record_bytes(i, u, data or b"", d, r)) for i, u, data, d, r in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], names=["member"])
-
-    members = records.mapInArrow(run, "member binary").select(F.col("member").cast("string").alias("value"))
-    writer = members.write.option("encoding", "ISO-8859-1").option("lineSep", _EMPTY_MEMBER.decode("latin-1"))
-    writer.option("maxRecordsPerFile", records_per_file).text(path)
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                columns = (part.column(c).to_pylist() for c in ("page_id", "url", "refers_to", "payload_digest"))
+                for i, url, refers, digest, data in zip(*columns, texts_of(part, "html"), strict=True):
+                    member = gzip_member(record_bytes(i, url, data or b"", digest, refers))
+                    if held and size + len(member) > bundle_bytes:
+                        yield bundle(held)
+                        held, size = [], 0
+                    held.append(member)
+                    size += len(member)
+        if held:
+            yield bundle(held)
+
+    def bundle(members):
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], names=["bundle"])
+
+    bundles = records.mapInArrow(tidy(run), "bundle binary").select(F.col("bundle").cast("string").alias("value"))
+    writer = bundles.write.option("encoding", "ISO-8859-1").option("lineSep", _EMPTY_MEMBER.decode("latin-1"))
+    writer.option("maxRecordsPerFile", bundles_per_file).text(path)
+    rename(records.sparkSession, path, ".txt", ".warc.gz")
 
 
 _COLUMNS = "archive string, offset long, gap_end long, gap_reason string, page_id long, record_type string, url string, refers_to long, payload_digest string, payload_bytes long"
@@ -271,8 +286,8 @@ def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFram
         columns = list(zip(*rows, strict=True))[:width]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=names[:width])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, _COLUMNS + (", payload binary" if payload else ""))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("path", "content")
+    return files.mapInArrow(tidy(run), _COLUMNS + (", payload binary" if payload else ""))
 
 
 def remove_archives(spark: SparkSession, path: str) -> None:

@@ -126,6 +126,8 @@ def test_jaccard_of_a_large_near_group_and_null_keys(spark):
         jaccard.BLOCK_TOKENS = block
     assert got == brute.jaccard(rows)
     odd = spark.createDataFrame([(None, "a b c"), (3, "a b c"), (3, "a b c"), (None, "x")], "doc_id long, text string")
+    both = odd.union(spark.createDataFrame([(3, "other words"), (None, "x"), (None, ""), (None, None), (None, "")], "doc_id long, text string"))
+    assert sorted(map(tuple, jaccard.one_per_component(both).collect()), key=str) == sorted([(3, "a b c"), (3, "other words"), (None, "x"), (None, ""), (None, None), (None, "")], key=str)
     assert sorted(map(tuple, jaccard.jaccard_components(odd).collect()), key=str) == sorted([(None, 1, 3), (3, 1, 3), (3, 1, 3), (None, 1, None)], key=str)
 
 
@@ -297,7 +299,9 @@ def test_warc_round_trip(spark, tmp_path):
     pages = [(1, "http://a\r\nX: y", big), (2, None, big), (9, "u", big), (3, "u", other), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (7, "u", "a\r\n\r\nWARC/1.0\r\n\r\n"), (None, "u", big), (8, "u", "z" * 3_000_000), (10, "", "")]
     table = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, digest string")
     path = f"file://{tmp_path}/w"
-    warc.write_warc(warc.with_record_types(table), path, records_per_file=4)
+    warc.write_warc(warc.with_record_types(table), path, bundle_bytes=3000, bundles_per_file=2)
+    names = [f.name for f in (tmp_path / "w").iterdir() if f.name.startswith("part")]
+    assert len(names) > 1 and all(n.endswith(".warc.gz") for n in names)
     got = {r["page_id"]: r for r in warc.read_warc(spark, path, payload=True).collect()}
     assert len(got) == len(pages) and all(r["gap_end"] is None for r in got.values())
     for i, _, html in pages:
