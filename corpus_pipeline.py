@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from splitaudit.llm import decontaminate, jaccard, lines, packing, toxicity
 from splitaudit.llm.common import crc_mod, cut, fresh
-from splitaudit.session import ship
+from splitaudit.session import prepare
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under the cut; learned from labels outside the held-out fold."""
-    ship(spark)
+    prepare(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(crc_mod(F.col("doc_id"), 3) != 1)
     model = toxicity.fit(docs, labels)
     scored = fresh(docs, "toxicity")
@@ -26,25 +26,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, less their duplicate lines."""
-    ship(spark)
+    prepare(spark)
     return lines.deduplicate(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links at Jaccard 0.75 of 5-word shingles."""
-    ship(spark)
+    prepare(spark)
     return jaccard.one_per_component(docs, n=5, threshold=(75, 100))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words benchmark windows cover less than a twentieth."""
-    ship(spark)
+    prepare(spark)
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), action="drop")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences, with their ids."""
-    ship(spark)
+    prepare(spark)
     return packing.pack(docs, packing.tokenizer_path("byte_bpe_50k.json"), ids=True)
 
 

@@ -12,16 +12,23 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
-#: Rows in a batch between the JVM and Python at most; both sides hold whole batches.
-BATCH_ROWS = 2500
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of a batch between the JVM and Python; both sides hold whole batches, and long texts count by their length.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """For applications (registered queries, the pipeline): ship the package and bound the session's Arrow batches.
+
+    Operators themselves change no setting of a caller's session.
+    """
+    ship(spark)
+    if spark.conf.get(_BATCH, "64m") in ("64m", "67108864", "67108864b"):  # Spark's default; a caller's own value stays
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a context, so that they can import it from any folder, and
-    bound the session's Arrow batches."""
-    if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    """Send this package to the executors once a context, so that they can import it from any folder."""
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
