@@ -110,6 +110,10 @@ def crc_mod(column: Column, m: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % m
 
 
+#: Edges that a task of a round takes at least, where there are more than a few tasks.
+TASK_EDGES = 50_000
+
+
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 40) -> DataFrame:
     """Connected components of an edge list: (node, component), component the smallest node.
 
@@ -133,15 +137,18 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 40) -> DataFr
         if now == state or not now[0]:
             break
         state = now
+        tasks = max(8, now[0] // TASK_EDGES)  # a short list is not dealt over more tasks than it fills
+        few = lambda df: df.coalesce(tasks)  # noqa: E731, B023
+        e = few(e)
         both = e.union(e.select("v", "u"))  # large star: greater neighbours move to the least neighbour
-        least = both.groupBy(F.col("u").alias("k")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))  # small star
-        joined = large.join(low, F.col("u") == F.col("k"))
+        least = few(both.groupBy(F.col("u").alias("k")).agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = few(both.where("v > u").join(least, F.col("u") == F.col("k"))).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = few(large.where("u <> v").distinct())
+        low = few(large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")))  # small star
+        joined = few(large.join(low, F.col("u") == F.col("k")))
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
         old, path = path, new_path(spark, "edges")
-        small.where("u <> v").distinct().write.parquet(path)
+        few(small.where("u <> v").distinct()).write.parquet(path)
         drop_path(spark, old)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
