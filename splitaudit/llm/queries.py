@@ -137,7 +137,77 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op3_substring_dedup, op4_embedding_near_dedup, op5_toxicity, op6_license_scan, op7_warc, op8_line_dedup, op9_packing, op10_language_id)}
+#: A-Z lowered, nothing else.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES: dict[str, str] = {
+    "op1_benchmark_decontamination": rf"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+        ), b AS (
+            SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+        ), bw AS (
+            SELECT item, ws, least(13, len(ws)) AS n, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0
+        ), win AS (
+            SELECT DISTINCT item, n, array_to_string(ws[i:i + n - 1], ' ') AS g FROM bw
+        ), w AS (
+            SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM d
+        ), grams AS (
+            SELECT doc_id, pos, list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS ahead FROM w
+        ), runs AS (
+            SELECT doc_id, pos, n, array_to_string(ahead[1:n], ' ') AS g FROM grams CROSS JOIN (SELECT DISTINCT n FROM win) WHERE len(ahead) >= n
+        ), found AS (
+            SELECT doc_id, pos, n, item FROM runs JOIN win USING (n, g)
+        ), hit AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS p FROM found) GROUP BY doc_id
+        ), items AS (
+            SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
+    "op2_ngram_jaccard_join": rf"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ), w AS (
+            SELECT doc_id, len(ws) AS n, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM d
+        ), g AS (
+            SELECT doc_id, n, pos, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s FROM w
+        ), s AS (
+            SELECT DISTINCT doc_id, s FROM g WHERE pos <= n - 4 OR (n < 5 AND pos = 1)
+        ), z AS (
+            SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id
+        ), o AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+        ), l AS (
+            SELECT x, y FROM o JOIN z a ON a.doc_id = x JOIN z b ON b.doc_id = y WHERE 100 * shared >= 75 * (a.size + b.size - shared)
+        ), reach(x, y) AS (
+            SELECT x, y FROM l
+            UNION
+            SELECT r.x, l.y FROM reach r JOIN l ON r.y = l.x
+        ), c AS (
+            SELECT x, min(y) AS least FROM reach GROUP BY x
+        )
+        SELECT d.doc_id, CAST(coalesce(size, 0) AS BIGINT) AS n_shingles, CAST(least(d.doc_id, coalesce(c.least, d.doc_id)) AS BIGINT) AS component_id
+        FROM d LEFT JOIN z USING (doc_id) LEFT JOIN c ON c.x = d.doc_id
+    """,
+    "op3_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ), w AS (
+            SELECT doc_id, len(ws) AS n, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM d
+        ), g AS (
+            SELECT doc_id, n, pos, word, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS s FROM w
+        ), r AS (
+            SELECT doc_id, pos, word, pos <= n - 19 AND row_number() OVER (PARTITION BY pos <= n - 19, s ORDER BY doc_id, pos) > 1 AS again FROM g
+        ), k AS (
+            SELECT doc_id, pos, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM r
+        ), t AS (
+            SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM k GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN t USING (doc_id)
+    """,
     "op4_embedding_near_dedup": """
         WITH RECURSIVE v AS (
             SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings

@@ -145,3 +145,52 @@ def check_packing(pieces, ids, size=2048):
             assert offset == end
             end += length
         assert end <= size and end & (end - 1) == 0
+
+
+def crf_score(text, model):
+    """A document's toxicity, word by word, by sums over both tags."""
+    import math
+
+    from splitaudit.llm import tokens as K
+    from splitaudit.llm import toxicity
+
+    w = K.words_of([(text or "").encode()], K.ALNUM_LOWER)
+    most, tagged = 1e-6, 0
+    if len(w.hash):
+        emit = [model.bias + sum(float(model.weights[f]) for f in column) for column in toxicity.features(w).T]
+        n, t = len(emit), model.trans
+        forward = [[0.0, min(30, max(-30, emit[0]))]]
+        add = lambda a, b: max(a, b) + math.log1p(math.exp(-abs(a - b)))
+        for e in emit[1:]:
+            a, b = forward[-1]
+            forward.append([add(a + t[0, 0], b + t[1, 0]), add(a + t[0, 1], b + t[1, 1]) + min(30, max(-30, e))])
+        back = [[0.0, 0.0]]
+        for e in reversed(emit[1:]):
+            a, b = back[0][0], back[0][1] + min(30, max(-30, e))
+            back.insert(0, [add(t[0, 0] + a, t[0, 1] + b), add(t[1, 0] + a, t[1, 1] + b)])
+        p = [1 / (1 + math.exp(min(700, f[0] + b[0] - f[1] - b[1]))) for f, b in zip(forward, back, strict=True)]
+        assert n == len(p)
+        most, tagged = max(p), sum(x > 0.5 for x in p)
+    most = min(1 - 1e-6, max(1e-6, most))
+    z = math.log(most / (1 - most)) + math.log1p(tagged)
+    return 1 / (1 + math.exp(-(model.scale * z + model.shift)))
+
+
+def language(text, model):
+    """Probabilities of a document's languages, gram by gram."""
+    from splitaudit.llm import langid
+
+    data = (text or "").encode()
+    fold = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in data) + b"   "
+    total = [0.0] * len(model.langs)
+    for i in range(len(data)):
+        for n in (2, 3, 4):
+            code = 0
+            for b in fold[i : i + n]:
+                code = code * 257 + b
+            h = (code + (n << 40)) * 0x9E3779B97F4A7C15 % (1 << 64) >> (64 - langid.BUCKET_BITS)
+            total = [s + float(x) for s, x in zip(total, model.table[h], strict=True)]
+    z = [(s / (3 * max(1, len(data))) + float(b)) / model.temperature for s, b in zip(total, model.bias, strict=True)]
+    top = max(z)
+    e = [2.718281828459045 ** (x - top) for x in z]
+    return [x / sum(e) for x in e]
