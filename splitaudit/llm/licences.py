@@ -10,6 +10,7 @@ what is left is compared with each template in bounds.
 The best run for a template begins and ends with one of its bigrams, holds at least s t / (2 - t) of
 its s bigrams and at most s (2 / t - 2) others.  Only a text with so many of them is looked at, and
 there each beginning, up to where the others are too many; runs of any length and form are found.
+Of licences whose texts are alike (`RIVALS`) only the best match of a place is reported.
 
 Scale: the templates are a fixed list, sent to the executors once; documents take one map-only
 pass, and bounds are array expressions over all segments of a batch.
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 
 from . import tokens as K
 from .common import new_column, texts_of, tidy
-from .licence_templates import TEMPLATES
+from .licence_templates import RIVALS, TEMPLATES
 
 MIN_DICE = 0.9
 _BITS = 20
@@ -83,7 +84,7 @@ class Scanner:
             if len(kept):
                 self._runs(K.gram_hashes(w.hash[kept], 2), w.start[kept], w.end[kept], doc[kept], base, found)
             for matches in found:
-                yield sorted(((n, *m) for n, m in matches.items()), key=lambda m: (-m[1], m[3], m[0]))
+                yield _without_rivals(sorted(((n, *m) for n, m in matches.items()), key=lambda m: (-m[1], m[3], m[0])))
 
     def _segments(self, data: list[bytes]):
         """Arrays of segments a scope: owner, first byte and end byte in the owner's text."""
@@ -216,6 +217,15 @@ class Scanner:
         return best
 
 
+def _without_rivals(matches: list[tuple]) -> list[tuple]:
+    """Matches, best first, less those that overlap a better one of a licence of like text."""
+    kept: list[tuple] = []
+    for m in matches:
+        if not any(m[3] < k[4] and k[3] < m[4] and any(m[0] in r and k[0] in r for r in RIVALS) for k in kept):
+            kept.append(m)
+    return kept
+
+
 def scan_licences(docs: DataFrame, text: str = "text", min_dice: float = MIN_DICE, templates: list[tuple[str, str]] | None = None, out: str | None = None) -> DataFrame:
     """`docs` with an array column of structs: licence, dice, scope, start, end (byte offsets), best first.
 
