@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 DICOM_SUFFIXES = [".dcm", ".dicom"]
 RASTER_SUFFIXES = [".bmp", ".jpeg", ".jpg", ".png", ".tif", ".tiff"]
 DUMMY_PATIENT_IDS = ["0", "anon", "anonymous", "anonymized", "deidentified", "dummy", "na", "none", "null", "patient", "removed", "test", "unknown", "unk", "withheld"]
-UID_PATTERN = r"^(0|[1-9][0-9]*)(\.(0|[1-9][0-9]*))*$"
+UID_PATTERN = r"(0|[1-9][0-9]*)(\.(0|[1-9][0-9]*))*"
 UID_LENGTH = 64
 
 
@@ -33,13 +33,15 @@ def has_dicom_preamble(content: Column) -> Column:
 
 def patient_id_status(value: Column) -> Column:
     """missing, dummy or usable."""
-    compact = F.lower(F.regexp_replace(value, r"(?U)[\s_./-]+", ""))
-    return F.when(value.isNull(), "missing").when(compact.isin(DUMMY_PATIENT_IDS) | compact.rlike("^(0+|x+)$"), "dummy").otherwise("usable")
+    compact = F.translate(F.lower(F.regexp_replace(value, r"(?U)[\s_./-]+", "")), "\u017f", "s")
+    for joined, letters in (("\ufb01", "fi"), ("\ufb05", "st"), ("\ufb06", "st")):  # what case folding takes apart
+        compact = F.replace(compact, F.lit(joined), F.lit(letters))
+    return F.when(value.isNull(), "missing").when(compact.isin(DUMMY_PATIENT_IDS) | compact.rlike(r"\A(0+|x+)\z"), "dummy").otherwise("usable")
 
 
 def valid_uid(value: Column) -> Column:
     """The UID, or null if it has not a UID's form."""
-    return F.when((F.length(value) <= UID_LENGTH) & value.rlike(UID_PATTERN), value)
+    return F.when((F.length(value) <= UID_LENGTH) & value.rlike(rf"\A{UID_PATTERN}\z"), value)
 
 
 def frames(value: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable
 from pathlib import Path
 
 import pyspark
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -89,6 +90,10 @@ def audit(spec: DatasetSpec, config: AuditConfig | None = None, policy: Policy =
         found = [r.asDict(recursive=True) for r in E.ordered(E.findings(catalog, rules, declared)).collect()]
         told = diagnostics_frame(catalog, [c for c, _ in coverage.issue_counts]).collect()
         paths = {r["alias"]: bytes(r["path"]) for r in catalog.select("alias", "path").toLocalIterator()}
+    except PySparkException as e:
+        if DiscoveryError.__name__ not in str(e):
+            raise
+        return _failed(spark, spec, config, policy, "discovery_failed", "The declared inputs could not be listed: a split folder could not be traversed.")
     finally:
         for df in kept:
             df.unpersist()

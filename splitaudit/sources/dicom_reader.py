@@ -37,25 +37,82 @@ class NotDicom(ValueError):
     """The bytes are no data set."""
 
 
+class Window:
+    """Bytes that come in order, of which only those from the last place asked for are held."""
+
+    def __init__(self) -> None:
+        self.start, self.held = 0, b""
+
+    def pull(self) -> bytes:
+        """The next bytes; none at the end."""
+        raise NotImplementedError
+
+    def get(self, at: int, size: int) -> bytes:
+        """Up to `size` bytes from `at` on, fewer only at the end; nothing before `at` can be asked for again."""
+        while self.start + len(self.held) < at + size:
+            more = self.pull()
+            if not more:
+                break
+            keep = max(0, at - self.start)
+            self.start, self.held = self.start + min(keep, len(self.held)), self.held[keep:] + more
+        return self.held[max(0, at - self.start) : max(0, at - self.start + size)]
+
+    def reaches(self, end: int) -> bool:
+        """There are bytes up to `end`."""
+        return end == 0 or len(self.get(end - 1, 1)) == 1
+
+
+class Held(Window):
+    def __init__(self, data: bytes) -> None:
+        self.start, self.held = 0, data
+
+    def pull(self) -> bytes:
+        return b""
+
+
+class _Inflated(Window):
+    """What a deflated stream holds, from a place of another window on."""
+
+    def __init__(self, source: Window, at: int) -> None:
+        super().__init__()
+        self.source, self.at, self.unpack, self.left = source, at, zlib.decompressobj(-15), b""
+
+    def pull(self) -> bytes:
+        while not self.unpack.eof:
+            packed = self.left or self.source.get(self.at, 1 << 16)
+            if not packed:
+                return self.unpack.flush()
+            if not self.left:
+                self.at += len(packed)
+            try:
+                out = self.unpack.decompress(packed, 1 << 20)
+            except zlib.error as e:
+                raise NotDicom("the deflated data set is damaged") from e
+            self.left = self.unpack.unconsumed_tail
+            if out:
+                return out
+        return b""
+
+
 class _Elements:
-    """Data elements of a byte string from an offset on."""
+    """Data elements of a window from an offset on."""
 
-    def __init__(self, data: bytes, at: int, explicit: bool, big: bool) -> None:
+    def __init__(self, data: Window, at: int, explicit: bool, big: bool) -> None:
         self.data, self.at, self.explicit, self.order = data, at, explicit, ">" if big else "<"
 
     def _take(self, form: str) -> tuple:
         size = struct.calcsize(form)
-        if self.at + size > len(self.data):
+        got = self.data.get(self.at, size)
+        if len(got) < size:
             raise NotDicom("an element is cut short")
-        out = struct.unpack_from(self.order + form, self.data, self.at)
         self.at += size
-        return out
+        return struct.unpack(self.order + form, got)
 
     def head(self) -> tuple[tuple[int, int], bytes, int]:
         tag = self._take("HH")
         if tag[0] == 0xFFFE or not self.explicit:
             return tag, b"", self._take("I")[0]
-        form = self.data[self.at : self.at + 2]
+        form = self.data.get(self.at, 2)
         self.at += 2
         if form not in _VALUE_FORMS:
             raise NotDicom("an element has no value form")
@@ -86,18 +143,22 @@ class _Elements:
                 else:
                     self.at += size
 
-    def until(self, stop: int):
-        """(tag, value) of elements below a group number."""
-        while self.at < len(self.data):
-            if struct.unpack(self.order + "H", self.data[self.at : self.at + 2].ljust(2, b"\0"))[0] >= stop:
+    def until(self, stop: int, wanted):
+        """(tag, value) of the wanted elements below a group number; the others are passed over unheld."""
+        while first := self.data.get(self.at, 2):
+            if struct.unpack(self.order + "H", first.ljust(2, b"\0"))[0] >= stop:
                 return  # what follows may be of another form
             tag, _, size = self.head()
             if size == _UNDEFINED:
                 self.skip_sequence()
                 continue
-            if self.at + size > len(self.data):
+            if tag in wanted:
+                value = self.data.get(self.at, size)
+                if len(value) < size:
+                    raise NotDicom("a value is cut short")
+                yield tag, value
+            elif not self.data.reaches(self.at + size):
                 raise NotDicom("a value is cut short")
-            yield tag, self.data[self.at : self.at + size]
             self.at += size
 
 
@@ -105,28 +166,30 @@ def _text(value: bytes, encoding: str) -> str:
     return value.decode(encoding, "replace").rstrip("\0 ")
 
 
-def read_metadata(data: bytes) -> dict[str, object]:
-    """Values of the tags that are present, by keyword: texts, and numbers for Rows and Columns."""
+def read_metadata(data: bytes | Window) -> dict[str, object]:
+    """Values of the tags that are present, by keyword: texts, and numbers for Rows and Columns.
+
+    Reads no further than to the pixels, and holds one wanted value at a time.
+    """
+    if isinstance(data, bytes):
+        data = Held(data)
     at, explicit, big = 0, None, False
-    if data[128:132] == b"DICM":
+    head = data.get(0, 132)
+    if head[128:] == b"DICM":
         meta = _Elements(data, 132, True, False)
         syntax = ""
-        for tag, value in meta.until(0x0003):
-            if tag == (0x0002, 0x0010):
-                syntax = _text(value, "ascii")
+        for _, value in meta.until(0x0003, {(0x0002, 0x0010)}):
+            syntax = _text(value, "ascii")
         at = meta.at
         explicit, big = syntax != _IMPLICIT, syntax == _BIG
         if syntax == _DEFLATED:
-            try:
-                data, at = zlib.decompressobj(-15).decompress(data[at:]), 0
-            except zlib.error as e:
-                raise NotDicom("the deflated data set is damaged") from e
+            data, at = _Inflated(data, at), 0
     if explicit is None:
-        explicit = data[4:6] in _VALUE_FORMS
+        explicit = head[4:6] in _VALUE_FORMS
     found: dict[str, object] = {}
     charset = "ascii"
     elements = _Elements(data, at, explicit, big)
-    for tag, value in elements.until(_PIXELS):
+    for tag, value in elements.until(_PIXELS, {*TAGS, _CHARSET}):
         if tag == _CHARSET:
             names = [n.strip() for n in _text(value, "ascii").split("\\")]
             charset = next((_ENCODINGS[n.replace("ISO 2022 IR", "ISO_IR")] for n in names if n.replace("ISO 2022 IR", "ISO_IR") in _ENCODINGS), "ascii")

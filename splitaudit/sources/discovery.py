@@ -1,8 +1,9 @@
 """Which files an audit covers: a loss-free listing of split folders and CSV manifests.
 
 Spark's own file listing drops hidden, underscored and empty files and follows links, so the
-listing is a Python data source of our own, `split_files`: one input partition a folder to
-walk, each entry a row, nothing left out.  Paths travel as file-system bytes, since they need not
+listing is a Python data source of our own, `split_files`, each entry a row, nothing left out.
+The driver lists folders from the top only until there are enough of them for one input partition
+each; executors walk these.  Paths travel as file-system bytes, since they need not
 be text.  Folders are local to the machine that lists them (or mounted on all).
 """
 
@@ -61,6 +62,17 @@ def walk(root: bytes) -> Iterator[tuple[bytes, str | None]]:
                 raise DiscoveryError("a split folder could not be traversed") from e
 
 
+def entries(folder: bytes) -> tuple[list[tuple[bytes, str | None]], list[bytes]]:
+    """(path, issue) of a folder's own entries, and its plain subfolders."""
+    try:
+        names = sorted(os.listdir(folder))
+        paths = [os.path.join(folder, n) for n in names]
+        inner = [p for p in paths if os.path.isdir(p) and not os.path.islink(p)]
+        return [(p, entry_issue(p)) for p in paths if p not in set(inner)], inner
+    except OSError as e:
+        raise DiscoveryError("a split folder could not be traversed") from e
+
+
 def _absolute(path: str | Path) -> bytes:
     return os.fsencode(Path(path).expanduser().absolute())
 
@@ -101,9 +113,15 @@ def _manifest_item(base: Path, number: int, row: dict) -> tuple[bytes, str, str,
     return path, split, namespace, None if folder or os.path.isfile(path) else SPECIAL, folder
 
 
+#: Folders that the driver looks for before executors walk them.
+WALKS = 256
+
+
 class _Part(InputPartition):
-    def __init__(self, first: int, items: list[list]) -> None:
-        self.first, self.items = first, items
+    """Items to list, of a number of its own; an item is path, split, namespace, issue and how to list it."""
+
+    def __init__(self, number: int, items: list[list]) -> None:
+        self.number, self.items = number, items
 
 
 class _Reader(DataSourceReader):
@@ -112,21 +130,26 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         """Folders alone; files of a manifest in runs."""
-        parts, run = [], []
-        for n, item in enumerate(self.items):
-            if item[4]:
-                parts.append(_Part(n, [item]))
-            else:
-                run.append((n, item))
-        parts += [_Part(run[i][0], [x for _, x in run[i : i + 10_000]]) for i in range(0, len(run), 10_000)]
-        return parts or [_Part(0, [])]
+        whole = [x for x in self.items if x[4]]
+        flat: list[list] = []
+        while whole and len(whole) < WALKS:  # take the folders apart, a level at a time
+            deeper = []
+            for path, split, namespace, issue, _ in whole:
+                flat.append([path, split, namespace, issue, "flat"])
+                deeper += [[p.hex(), split, namespace, issue, "walk"] for p in entries(bytes.fromhex(path))[1]]
+            whole = deeper
+        plain = [[*x[:4], "file"] for x in self.items if not x[4]]
+        runs = [flat[i : i + 16] for i in range(0, len(flat), 16)] + [[x] for x in whole] + [plain[i : i + 10_000] for i in range(0, len(plain), 10_000)]
+        return [_Part(n, run) for n, run in enumerate(runs)] or [_Part(0, [])]
 
     def read(self, partition: _Part):
-        for n, (path, split, namespace, issue, folder) in enumerate(partition.items):
+        k = 0
+        for path, split, namespace, issue, how in partition.items:
             place = bytes.fromhex(path)
-            found = walk(place) if folder else [(place, issue)]
-            for k, (entry, why) in enumerate(found):
-                yield ((partition.first + n << 32) + k, entry, split, namespace, split.casefold(), namespace.casefold(), why)
+            found = walk(place) if how == "walk" else entries(place)[0] if how == "flat" else [(place, issue)]
+            for entry, why in found:
+                yield ((partition.number << 32) + k, entry, split, namespace, split.casefold(), namespace.casefold(), why)
+                k += 1
 
 
 class SplitFiles(DataSource):
@@ -154,8 +177,6 @@ def artifacts(spark: SparkSession, spec: DatasetSpec) -> tuple[DataFrame, list[s
     for path, _, _, _, folder in items:
         if folder:
             check_root(path)
-            for _ in walk(path):  # what cannot be traversed is known before any job starts
-                pass
     spark.dataSource.register(SplitFiles)
     data = json.dumps([[path.hex(), split, namespace, issue, folder] for path, split, namespace, issue, folder in items])
     return spark.read.format("split_files").option("items", data).load(), declared

@@ -20,8 +20,6 @@ from pyspark.sql import DataFrame
 from splitaudit.functions.scalars import DICOM_SUFFIXES, DUMMY_PATIENT_IDS, RASTER_SUFFIXES, UID_LENGTH, UID_PATTERN
 from splitaudit.sources import dicom_reader
 
-#: Bytes of a file that are read for metadata at most; pixels come last in a data set.
-METADATA_BYTES = 64 << 20
 MIN_KEY_BYTES = 16
 _UID = re.compile(UID_PATTERN)
 _COLUMNS = ["media_type", "access_issue", "file_sha256", "hash_failed", "parse_error", "patient_id_status", "patient_group_token", "study_uid_token", "series_uid_token", "sop_uid_token", "modality", "number_of_frames"]
@@ -55,7 +53,7 @@ def patient_id_status(value: str | None) -> str:
 
 
 def valid_uid(value: str | None) -> str | None:
-    return value if value is not None and len(value) <= UID_LENGTH and _UID.match(value) else None
+    return value if value is not None and len(value) <= UID_LENGTH and _UID.fullmatch(value) else None
 
 
 def number_of_frames(value: str | None) -> int | None:
@@ -65,38 +63,60 @@ def number_of_frames(value: str | None) -> int | None:
         return None
 
 
+class FileBytes(dicom_reader.Window):
+    """A file's bytes in chunks, with the digest of what has been read: one opening serves all that is asked of it."""
+
+    def __init__(self, path: bytes, chunk: int) -> None:
+        super().__init__()
+        self.file, self.chunk, self.digest = open(path, "rb"), chunk, hashlib.sha256()  # noqa: SIM115
+
+    def __enter__(self) -> FileBytes:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.file.close()
+
+    def pull(self) -> bytes:
+        data = self.file.read(self.chunk)
+        self.digest.update(data)
+        return data
+
+    def fingerprint(self) -> str:
+        """SHA-256 of the whole file; what is left of it is read and not held."""
+        self.held = b""
+        while self.pull():
+            pass
+        return self.digest.hexdigest()
+
+
+def _has_preamble(data: dicom_reader.Window) -> bool:
+    return data.get(0, 132)[128:] == b"DICM"
+
+
 def classify(path: bytes) -> tuple[str, str | None]:
     """Media type by suffix, or by the preamble of a file without one; and why it could not be told."""
-    suffix = PurePath(os.fsdecode(path)).suffix.casefold()
-    if suffix in DICOM_SUFFIXES:
-        return "dicom", None
-    if suffix in RASTER_SUFFIXES:
-        return "raster", None
-    if suffix:
-        return "unsupported", None
+    kind = kind_of(path)
+    if kind:
+        return kind, None
     try:
-        with open(path, "rb") as f:
-            return ("dicom", None) if f.read(132)[128:] == b"DICM" else ("unsupported", None)
+        with FileBytes(path, 132) as data:
+            return ("dicom", None) if _has_preamble(data) else ("unsupported", None)
     except OSError:
         return "unreadable", "file_probe_failed"
 
 
-def fingerprint(path: bytes, chunk: int) -> str | None:
-    total = hashlib.sha256()
-    try:
-        with open(path, "rb") as f:
-            while data := f.read(chunk):
-                total.update(data)
-    except OSError:
-        return None
-    return total.hexdigest()
+def kind_of(path: bytes) -> str | None:
+    """Media type by suffix; None where the content decides."""
+    suffix = PurePath(os.fsdecode(path)).suffix.casefold()
+    if suffix in DICOM_SUFFIXES:
+        return "dicom"
+    return "raster" if suffix in RASTER_SUFFIXES else "unsupported" if suffix else None
 
 
-def metadata(path: bytes) -> tuple[dict | None, str | None]:
+def metadata(data: dicom_reader.Window) -> tuple[dict | None, str | None]:
     """Metadata, or the code of what went wrong."""
     try:
-        with open(path, "rb") as f:
-            found = dicom_reader.read_metadata(f.read(METADATA_BYTES))
+        found = dicom_reader.read_metadata(data)
     except Exception:  # any text of the error may hold an identifier
         return None, "dicom_parse_failed"
     if all(found.get(k) is None for k in STRUCTURE):
@@ -104,16 +124,34 @@ def metadata(path: bytes) -> tuple[dict | None, str | None]:
     return found, None
 
 
+def read_file(path: bytes, chunk: int) -> tuple[dict, dict | None]:
+    """Media type, issue, digest and parse error of a file, and its metadata; the file is opened once."""
+    kind, found = kind_of(path), None
+    out: dict = {"media_type": kind or "unreadable", "access_issue": None if kind else "file_probe_failed", "hash_failed": False}
+    if kind == "unsupported":
+        return out, None
+    try:
+        with FileBytes(path, chunk) as data:
+            if kind is None:
+                kind = "dicom" if _has_preamble(data) else "unsupported"
+                out |= {"media_type": kind, "access_issue": None}
+                if kind == "unsupported":
+                    return out, None
+            if kind == "dicom":
+                found, out["parse_error"] = metadata(data)
+            out["file_sha256"] = data.fingerprint()
+    except OSError:
+        if kind:
+            out["hash_failed"] = True
+            if kind == "dicom" and "parse_error" not in out:
+                out["parse_error"] = "dicom_parse_failed"
+    return out, found
+
+
 def inspect_file(path: bytes, namespace: str, chunk: int, tokens: Tokenizer) -> dict:
     """The inspected columns of one file."""
-    kind, issue = classify(path)
-    out: dict = dict.fromkeys(_COLUMNS) | {"media_type": kind, "access_issue": issue, "hash_failed": False}
-    if kind in ("dicom", "raster"):
-        out["file_sha256"] = fingerprint(path, chunk)
-        out["hash_failed"] = out["file_sha256"] is None
-    if kind != "dicom":
-        return out
-    found, out["parse_error"] = metadata(path)
+    facts, found = read_file(path, chunk)
+    out: dict = dict.fromkeys(_COLUMNS) | facts
     if found is None:
         return out
     text = {k: clean_text(found.get(k)) for k in ("PatientID", "IssuerOfPatientID", "Modality", "NumberOfFrames")}
