@@ -10,7 +10,7 @@ def __getattr__(name: str):
     homes = {
         "splitaudit.plans.audit": ("audit", "audit_manifest", "audit_split_roots"),
         "splitaudit.config": ("AuditConfig", "DatasetSpec", "SplitSpec"),
-        "splitaudit.plans.report": ("AuditResult", "Diagnostic", "terminal_summary", "write_json"),
+        "splitaudit.plans.report": ("AuditResult", "Diagnostic", "EvidenceCategory", "Finding", "terminal_summary", "write_json"),
         "splitaudit.plans.policy": ("Outcome", "conservative"),
     }
     for home, names in homes.items():

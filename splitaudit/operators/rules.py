@@ -110,7 +110,6 @@ BY_ID = {r.rule_id: r for r in RULES}
 
 #: What each issue code is told as.
 MESSAGES = {
-    "dicom_dependency_unavailable": "DICOM metadata could not be evaluated because pydicom is unavailable.",
     "dicom_modality_missing": "The DICOM modality is missing, so the v0.1 primary profile could not be confirmed.",
     "dicom_modality_outside_primary_profile": "The DICOM modality is outside the v0.1 primary CR/DX profile.",
     "dicom_multiframe_inventory": "A multi-frame DICOM object was inventoried outside the v0.1 primary profile.",

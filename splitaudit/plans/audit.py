@@ -18,7 +18,7 @@ from splitaudit.operators import catalog as C
 from splitaudit.operators import evidence as E
 from splitaudit.operators.rules import BY_ID, DATASET_CODES, MESSAGES, UNKNOWN_MESSAGE
 from splitaudit.plans.policy import Outcome, conservative
-from splitaudit.plans.report import AuditResult, Diagnostic
+from splitaudit.plans.report import AuditResult, Diagnostic, Finding
 from splitaudit.session import ship
 from splitaudit.sources.discovery import DiscoveryError, artifacts
 from splitaudit.sources.inspect import Tokenizer, inspect
@@ -101,7 +101,7 @@ def audit(spec: DatasetSpec, config: AuditConfig | None = None, policy: Policy =
         tool_version=__version__,
         config_digest=config.digest(),
         splits=tuple(declared),
-        findings=tuple(found),
+        findings=tuple(map(Finding.of, found)),
         catalog_coverage=coverage,
         detector_coverage=tuple(detectors),
         diagnostics=tuple(Diagnostic(r["code"], r["severity"], r["message"], r["record_alias"]) for r in told),

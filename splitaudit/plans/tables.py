@@ -102,13 +102,11 @@ def q_scoped_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lineitem_groups(rule_id: str, column: str, *keys: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        items = _read(spark, sf_dir, "lineitem")
         token = F.sha2(F.concat_ws(".", *[F.col(k).cast("string") for k in keys]), 256)
-        rows = _catalog(items, "l_partkey", _padded("l_orderkey"), media_type="dicom", patient_id_status="usable", **{column: token})
-        long = rows.where(BY_ID[rule_id].evaluated()).groupBy(F.col(column).alias("key"))
-        counted = long.agg(F.count("*").alias("records"), F.count_distinct("split").alias("split_count"))
-        # rows of lineitem are not unique, so groups are told by key, not by aliases
-        return counted.where("split_count >= 2").select("key", "records", "split_count", F.format_string(BY_ID[rule_id].observed, "records", "split_count").alias("observed_fact"))
+        # rows of lineitem are not unique: those of equal path and number have equal keys and splits, so their order among them shows nowhere
+        path = F.concat_ws("-", _padded("l_orderkey"), _padded("l_linenumber"), _padded("l_suppkey"))
+        rows = _catalog(_read(spark, sf_dir, "lineitem"), "l_partkey", path, media_type="dicom", patient_id_status="usable", **{column: token})
+        return _found(_numbered(rows), rule_id)
 
     query.__doc__ = f"Line items that share {', '.join(keys)} across splits of their parts."
     return query
@@ -120,15 +118,30 @@ q_instance = _lineitem_groups("ML104", "sop_uid_token", "l_orderkey", "l_linenum
 
 
 def q_no_finding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations by turn: all turns are in one split, so nothing crosses."""
-    rows = _catalog(_read(spark, sf_dir, "conversations"), "turn", _padded("conv_id"), file_sha256=F.sha2(F.col("conv_id").cast("string"), 256))
-    return _found(_numbered(rows), "ML001")
+    """Conversations by turn: all turns are in one split, so nothing crosses, though keys are shared; by conversation some would."""
+    rows = [_catalog(_read(spark, sf_dir, "conversations"), n, _padded("conv_id"), file_sha256=F.sha2(F.col("role"), 256)) for n in ("turn", "conv_id")]
+    rule = BY_ID["ML001"]
+
+    def counted(name: str, records: DataFrame) -> DataFrame:
+        catalog = records.withColumn("alias", F.col("path"))
+        shared = catalog.where(rule.evaluated()).groupBy(rule.key).count().where("count > 1").agg(F.count("*").alias("shared_keys"))
+        crossing = E.findings(catalog, [rule], SPLITS).agg(F.count("*").alias("findings"))
+        return shared.crossJoin(crossing).select(F.lit(name).alias("split_by"), "shared_keys", "findings")
+
+    return counted("turn", rows[0]).union(counted("conversation", rows[1]))
+
+
+def _sentences(df: DataFrame, number: str) -> DataFrame:
+    """(n, place, sentence) of the texts' sentences of some length."""
+    parts = df.select(F.col(number).alias("n"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "[.\n]")).alias("place", "sentence"))
+    return parts.select("n", "place", F.trim("sentence").alias("sentence")).where(F.length("sentence") >= 20)
 
 
 def q_benchmark_contam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and benchmark items of equal text: the source table is the split."""
-    sides = [(_read(spark, sf_dir, "documents").select(F.col("doc_id").alias("n"), "text"), "train"), (_read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("n"), "text"), "test")]
-    parts = [_catalog(df, "n", _padded("n"), split=F.lit(name), file_sha256=F.sha2(F.col("text").cast("binary"), 256)) for df, name in sides]
+    """Sentences that documents and benchmark items share: the source table is the split."""
+    sides = [(_sentences(_read(spark, sf_dir, "documents"), "doc_id"), "train"), (_sentences(_read(spark, sf_dir, "benchmark"), "item_id"), "test")]
+    path = F.concat_ws("-", _padded("n"), _padded("place"))
+    parts = [_catalog(df, "n", path, split=F.lit(name), file_sha256=F.sha2(F.col("sentence").cast("binary"), 256)) for df, name in sides]
     return _found(_numbered(parts[0].unionByName(parts[1])), "ML001")
 
 
@@ -214,14 +227,31 @@ def q_all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("rule_id", "category", "evidence_strength", F.array_join("splits", "|").alias("splits")).agg(F.count("*").alias("findings"), F.sum(F.size("record_aliases")).alias("records"))
 
 
+_WHOLE = "media_type = 'dicom' AND parse_error IS NULL AND patient_id_status = 'usable' AND sop_uid_token IS NOT NULL AND modality = 'DX' AND number_of_frames IS NULL"
+#: Parts of the mixed catalog and rules that lead to each outcome: (name, records, rules, whether something broke).
+_POLICY_CASES = [
+    ("mixed", "TRUE", [r.rule_id for r in RULES], False),
+    ("one_split", "split = 'train'", [r.rule_id for r in RULES], False),
+    ("nothing", "FALSE", [r.rule_id for r in RULES], False),
+    ("whole", _WHOLE, ["ML104"], False),
+    ("copies", "media_type = 'raster' AND file_sha256 IS NOT NULL", ["ML001"], False),
+    ("gaps", f"({_WHOLE}) OR media_type = 'unsupported'", ["ML104"], False),
+    ("not_comparable", "media_type = 'raster'", ["ML104"], False),
+    ("broken", "split = 'test'", ["ML001"], True),
+]
+
+
 def q_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcome of the mixed catalog."""
-    catalog = _keep(mixed_records(spark, sf_dir).withColumn("alias", F.col("path")))
-    coverage = C.coverage(catalog, SPLITS)
-    detectors = [r.asDict() for r in E.detector_coverage(catalog, RULES).collect()]
-    out = conservative(len(E.findings(catalog, RULES, SPLITS).select("rule_id").take(1)), coverage, detectors)
+    """Outcomes of parts of the mixed catalog, one for each way that the decision can go."""
+    catalog = mixed_records(spark, sf_dir).withColumn("alias", F.col("path")).persist(StorageLevel.MEMORY_AND_DISK)
+    out = []
+    for name, part, rule_ids, broke in _POLICY_CASES:
+        records, rules = catalog.where(part), [BY_ID[i] for i in rule_ids]
+        detectors = [r.asDict() for r in E.detector_coverage(records, rules).collect()]
+        found = conservative(len(E.findings(records, rules, SPLITS).select("rule_id").take(1)), C.coverage(records, SPLITS), detectors, operational_error=broke)
+        out.append((name, found.finding_status, found.coverage_status, found.audit_state, found.exit_code))
     catalog.unpersist()
-    return spark.createDataFrame([(out.finding_status, out.coverage_status, out.audit_state, out.exit_code)], "finding_status string, coverage_status string, audit_state string, exit_code int")
+    return spark.createDataFrame(out, "case string, finding_status string, coverage_status string, audit_state string, exit_code int")
 
 
 QUERIES: dict[str, Query] = {
@@ -265,13 +295,8 @@ def _records_sql(table: str, number: str, key: str, ns: str = "'local'", path: s
 
 
 def _lineitem_sql(rule_id: str, *keys: str) -> str:
-    before, middle, after = BY_ID[rule_id].observed.split("%d")
-    key = " || '.' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
-    return f"""
-        SELECT sha256({key}) AS key, CAST(count(*) AS BIGINT) AS records, CAST(count(DISTINCT s) AS BIGINT) AS split_count,
-               '{before}' || count(*) || '{middle}' || count(DISTINCT s) || '{after}' AS observed_fact
-        FROM (SELECT *, {_SPLIT.format("l_partkey")} AS s FROM lineitem) GROUP BY {", ".join(keys)} HAVING count(DISTINCT s) >= 2
-    """
+    path = " || '-' || ".join(f"lpad(CAST({k} AS VARCHAR), 12, '0')" for k in ("l_orderkey", "l_linenumber", "l_suppkey"))
+    return _findings_sql(_records_sql("lineitem", "l_partkey", " || '.' || ".join(f"CAST({k} AS VARCHAR)" for k in keys), path=path), rule_id)
 
 
 _PID = "CASE user_id % 20 WHEN 0 THEN NULL WHEN 1 THEN 'Anon' WHEN 2 THEN '00-0' WHEN 3 THEN 'x_x' WHEN 4 THEN '---' ELSE 'P-' || user_id END"
@@ -317,6 +342,21 @@ def _messages_sql() -> str:
     return ", ".join("('{}', '{}')".format(c, t.replace("'", "''")) for c, t in MESSAGES.items())
 
 
+def _case_sql(part: str, rule_ids: list[str]) -> str:
+    """What the policy looks at, of a part of the mixed catalog: findings, splits and gaps."""
+    for name, own in (("media_type", "media"), ("parse_error IS NULL", "parsed"), ("patient_id_status", "status"), ("sop_uid_token", "k104"), ("number_of_frames IS NULL", "NOT multiframe"), ("file_sha256", "k001")):
+        part = part.replace(name, own)
+    rules = [(e, k) for r, e, k in _EACH_RULE if r in rule_ids]
+    found = " + ".join(f"(SELECT count(*) FROM (SELECT 1 FROM p WHERE {e} AND {k} IS NOT NULL GROUP BY {k} HAVING count(DISTINCT split) >= 2))" for e, k in rules)
+    comparable = " + ".join(f"(SELECT CAST(count(DISTINCT split) >= 2 AS INT) FROM p WHERE {e} AND {k} IS NOT NULL)" for e, k in rules)
+    missing = " + ".join(f"count_if({e} AND {k} IS NULL)" for e, k in rules)
+    gap = lambda category: f"(SELECT count(DISTINCT event_id) FROM issues JOIN p USING (event_id) WHERE category = '{category}')"
+    return f"""WITH p AS (SELECT * FROM m WHERE {part})
+        SELECT count(*) AS records, count(DISTINCT split) AS populated, {found} AS findings, {comparable} AS comparable, {missing} AS unavailable,
+               {gap("unsupported")} AS unsupported, {gap("unreadable")} AS unreadable, {gap("outside_primary_profile")} AS outside
+        FROM p"""
+
+
 ORACLES: dict[str, str] = {
     "q_exact_content": _findings_sql(_records_sql("documents", "doc_id", "sha256(text)", "source"), "ML001"),
     "q_aliases": f"WITH {_alias_sql(_records_sql('documents', 'doc_id', 'NULL', 'source'))} SELECT ord AS doc_id, alias, split, ns AS source_namespace FROM a",
@@ -325,8 +365,17 @@ ORACLES: dict[str, str] = {
     "q_study": _lineitem_sql("ML102", "l_orderkey"),
     "q_series": _lineitem_sql("ML103", "l_orderkey", "l_suppkey"),
     "q_instance": _lineitem_sql("ML104", "l_orderkey", "l_linenumber"),
-    "q_no_finding": _findings_sql(_records_sql("conversations", "turn", "conv_id", path="lpad(CAST(conv_id AS VARCHAR), 12, '0')"), "ML001"),
-    "q_benchmark_contam": _findings_sql(_records_sql("documents", "doc_id", "sha256(text)", split="'train'") + " UNION ALL " + _records_sql("benchmark", "item_id", "sha256(text)", split="'test'"), "ML001"),
+    "q_no_finding": " UNION ALL ".join(
+        f"SELECT '{name}' AS split_by, count_if(n > 1) AS shared_keys, count_if(n_splits > 1) AS findings FROM (SELECT count(*) AS n, count(DISTINCT {_SPLIT.format(by)}) AS n_splits FROM conversations WHERE role IS NOT NULL GROUP BY role)"
+        for name, by in (("turn", "turn"), ("conversation", "conv_id"))
+    ),
+    "q_benchmark_contam": _findings_sql(
+        " UNION ALL ".join(
+            f"SELECT n AS ord, '{split}' AS split, 'local' AS ns, lpad(CAST(n AS VARCHAR), 12, '0') || '-' || lpad(CAST(place AS VARCHAR), 12, '0') AS path, sha256(s) AS key FROM (SELECT n, place - 1 AS place, trim(x, ' ') AS s FROM (SELECT {number} AS n, unnest(string_split_regex(coalesce(text, ''), '[.\n]')) AS x, unnest(range(1, 1 + len(string_split_regex(coalesce(text, ''), '[.\n]')))) AS place FROM {table})) WHERE length(s) >= 20"
+            for table, number, split in (("documents", "doc_id", "train"), ("benchmark", "item_id", "test"))
+        ),
+        "ML001",
+    ),
     "q_media_type": """
         SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'dicom' WHEN 1 THEN 'dicom' WHEN 2 THEN 'raster' WHEN 3 THEN 'raster' WHEN 5 THEN CASE WHEN page_id % 2 = 0 THEN 'dicom' ELSE 'unsupported' END ELSE 'unsupported' END AS media_type,
                list_extract(['.dcm', '.dicom', '.png', '.tiff', '.txt', '', '.gz'], CAST(page_id % 7 + 1 AS INT)) AS suffix
@@ -366,5 +415,17 @@ ORACLES: dict[str, str] = {
         for r, e, k in _EACH_RULE
     )
     + ") SELECT rule_id, category, evidence_strength, splits, count(*) AS findings, CAST(sum(n) AS BIGINT) AS records FROM g GROUP BY ALL",
-    "q_policy": "SELECT 'potential_risk_detected' AS finding_status, 'partial' AS coverage_status, 'partial' AS audit_state, CAST(1 AS INTEGER) AS exit_code",
+    "q_policy": f"WITH {_MIXED}, "
+    + ", ".join(f"case_{name} AS ({_case_sql(part, rule_ids)})" for name, part, rule_ids, _ in _POLICY_CASES)
+    + """, told AS ("""
+    + " UNION ALL ".join(f"SELECT '{name}' AS name, {broke} AS broke, * FROM case_{name}" for name, _, _, broke in _POLICY_CASES)
+    + """), seen AS (
+            SELECT *, CASE WHEN broke THEN 'operational_error' WHEN records = 0 OR comparable = 0 THEN 'inconclusive'
+                           WHEN populated < 3 OR unsupported + unreadable + outside + unavailable > 0 THEN 'partial' ELSE 'complete' END AS coverage_status
+            FROM told
+        )
+        SELECT name AS "case", CASE WHEN findings > 0 THEN 'potential_risk_detected' ELSE 'no_findings' END AS finding_status, coverage_status,
+               CASE WHEN coverage_status <> 'complete' THEN coverage_status WHEN findings > 0 THEN 'complete_with_findings' ELSE 'complete_no_findings' END AS audit_state,
+               CAST(CASE WHEN broke THEN 2 WHEN findings > 0 THEN 1 WHEN coverage_status = 'complete' THEN 0 ELSE 3 END AS INTEGER) AS exit_code
+        FROM seen""",
 }

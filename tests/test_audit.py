@@ -26,7 +26,7 @@ def run(root: Path, config=None, **namespaces):
 
 
 def rules(result):
-    return [f["rule_id"] for f in result.findings]
+    return [f.rule_id for f in result.findings]
 
 
 def put(root: Path, **files: bytes) -> None:
@@ -39,7 +39,7 @@ def test_exact_duplicate_matches_the_published_report(roots):
     put(roots, train__first_dot_png=b"golden", test__renamed_dot_png=b"golden")
     result = run(roots)
     assert rules(result) == ["ML001"] and result.exit_code == 1 and result.audit_state == "complete_with_findings"
-    found = result.findings[0]
+    found = result.findings[0].shown()
     assert found["component_id"] == "component-5d7a4195e4bf862d"
     assert found["record_aliases"] == ["record-000001", "record-000002"] and found["splits"] == ["test", "train"]
     assert result.config_digest == "b95844b91e6029e87c26b415979760b5c19875c2c3a90c0a75727c7f8ebdf8f0"
