@@ -66,9 +66,9 @@ class Sender:
 
 
 def split_by(part: np.ndarray, n: int):
-    """(value, positions) for each value below n that occurs, positions ascending."""
+    """(value, positions) for each value below n that occurs, positions ascending; takes no longer for values that do not occur."""
     order = np.argsort(part, kind="stable")
-    edges = np.searchsorted(part[order], np.arange(n + 1))
-    for p in range(n):
-        if edges[p] < edges[p + 1]:
-            yield p, order[edges[p] : edges[p + 1]]
+    ordered = part[order]
+    edges = np.append(np.flatnonzero(np.diff(ordered, prepend=-1)), len(ordered))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield int(ordered[a]), order[a:b]

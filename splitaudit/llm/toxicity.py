@@ -82,32 +82,107 @@ def features(w: K.Words) -> np.ndarray:
     return np.stack(list(feature_rows(w)))
 
 
+#: Words from which a text is walked in parts, side by side.
+PART = 512
+
+
+def _apply(m: np.ndarray, x: float) -> float:
+    return float((m[0] * x + m[1]) / (m[2] * x + m[3]))
+
+
+def _products(steps, n: int) -> np.ndarray:
+    """Products of 2 x 2 matrices, one a column, each scaled so that nothing over- or underflows.
+
+    `steps` gives (columns, entries): what is multiplied from the left onto some columns next.
+    """
+    out = np.zeros((4, n))
+    out[0] = out[3] = 1.0
+    for at, (a, b, c, d) in steps:
+        p, q, r, s = out[:, at]
+        new = np.stack([a * p + b * r, a * q + b * s, c * p + d * r, c * q + d * s])
+        out[:, at] = new / new.sum(axis=0)
+    return out
+
+
+def _parts(e: np.ndarray, first: np.ndarray, t: np.ndarray):
+    """Begins and lengths of the texts' parts, and the odds that enter each from the left and from the right (nan at a text's ends).
+
+    A walk over a word maps the odds by a 2 x 2 matrix.  The products over parts, of all parts side by side, are
+    chained text by text; so a text of n words takes about PART + n / PART steps, not n.
+    """
+    length = np.diff(first)
+    if not len(length) or length.max() <= PART:
+        none = np.full(len(length), np.nan)
+        return first[:-1], length, none, none
+    counts = np.maximum(1, -(-length // PART))
+    text = np.repeat(np.arange(len(length)), counts)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+    begin = first[text] + number * PART
+    size = np.minimum(first[text + 1] - begin, PART)
+    left, right = np.full(len(text), np.nan), np.full(len(text), np.nan)
+    some = np.flatnonzero(counts[text] > 1)
+    lead, last = number[some] == 0, number[some] == counts[text[some]] - 1
+
+    def forward():
+        for s in range(PART):
+            at = np.flatnonzero((size[some] > s) & ~(lead & (s == 0)))
+            x = e[begin[some[at]] + s]
+            yield at, (t[1, 1] * x, t[0, 1] * x, np.full(len(at), t[1, 0]), np.full(len(at), t[0, 0]))
+
+    def backward():
+        for s in range(1, PART + 1):  # the word s from the end takes what comes from the one behind it
+            at = np.flatnonzero((size[some] >= s) & ~(last & (s == 1)))
+            x = e[begin[some[at]] + size[some[at]] - s + 1]
+            yield at, (t[1, 1] * x, np.full(len(at), t[1, 0]), t[0, 1] * x, np.full(len(at), t[0, 0]))
+
+    m, w = _products(forward(), len(some)), _products(backward(), len(some))
+    odds = 0.0
+    for k, i in enumerate(some.tolist()):
+        if lead[k]:
+            odds = float(e[begin[i]])
+        else:
+            left[i] = odds
+        odds = _apply(m[:, k], odds)
+    for k, i in zip(range(len(some) - 1, -1, -1), some[::-1].tolist(), strict=True):
+        if last[k]:
+            odds = 1.0
+        else:
+            right[i] = odds
+        odds = _apply(w[:, k], odds)
+    return begin, size, left, right
+
+
 def marginals(emit: np.ndarray, first: np.ndarray, trans: np.ndarray, pairs: bool = False):
     """P(T) of each word by forward-backward; with `pairs`, also the expected transitions.
 
     `emit` is the log weight of T against O of each word, `first` the texts' offsets, `trans`
     the 2 x 2 log weights [from, to].  Messages are kept as the odds of T, so no sum under- or
-    overflows; texts are walked side by side, longest first.
+    overflows; texts, and the parts of long ones, are walked side by side, longest first.
     """
     t = np.exp(trans)
     e = np.exp(np.clip(emit, -30, 30))
-    length = np.diff(first)
+    begin, length, left, right = _parts(e, first, t)
     order = np.argsort(-length, kind="stable")
-    begin, length = first[:-1][order], length[order]
+    begin, length, left, right = begin[order], length[order], left[order], right[order]
     f, b = np.empty(len(emit)), np.ones(len(emit))
     steps = int(length[0]) if len(length) else 0
-    live = np.searchsorted(-length, -np.arange(steps), side="left")  # texts longer than each step
+    live = np.searchsorted(-length, -np.arange(steps), side="left")  # parts longer than each step
+    forward = lambda odds, at: (t[0, 1] + odds * t[1, 1]) / (t[0, 0] + odds * t[1, 0]) * e[at]
     odds = None
     for s in range(steps):
         at = begin[: live[s]] + s
         if s:
-            odds = odds[: live[s]]
-            odds = (t[0, 1] + odds * t[1, 1]) / (t[0, 0] + odds * t[1, 0]) * e[at]
+            odds = forward(odds[: live[s]], at)
         else:
-            odds = e[at]
+            enter = left[: live[s]]
+            odds = np.where(np.isnan(enter), e[at], forward(np.nan_to_num(enter), at))
         f[at] = odds
     end = begin + length - 1
+    inner = np.flatnonzero(~np.isnan(right))
+    q = e[end[inner] + 1] * right[inner]
     odds = np.ones(len(length))
+    odds[inner] = (t[1, 0] + t[1, 1] * q) / (t[0, 0] + t[0, 1] * q)
+    b[end[inner]] = odds[inner]
     for s in range(1, steps):
         at = end[: live[s]] - s
         q = e[at + 1] * odds[: live[s]]

@@ -244,6 +244,20 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(p, want) and np.allclose(joint, pairs)
 
 
+def test_long_texts_are_walked_in_parts(monkeypatch):
+    from splitaudit.llm import toxicity
+
+    rng = np.random.default_rng(5)
+    first = np.cumsum([0, 0, 3, 900, 1, 64, 65, 4000, 7, 63, 0])
+    emit, trans = rng.normal(size=first[-1]) * 6, rng.normal(size=(2, 2)) * 2
+    monkeypatch.setattr(toxicity, "PART", 10_000)
+    want, pairs = toxicity.marginals(emit, first, trans, pairs=True)
+    for part in (64, 7, 1):
+        monkeypatch.setattr(toxicity, "PART", part)
+        got, joint = toxicity.marginals(emit, first, trans, pairs=True)
+        assert np.allclose(got, want, rtol=1e-9, atol=1e-12) and np.allclose(joint, pairs)
+
+
 def test_licences(spark, rows):
     from splitaudit.llm.licence_templates import RIVALS, TEMPLATES
     from splitaudit.llm.licences import scan_licences
