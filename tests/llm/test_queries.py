@@ -255,3 +255,17 @@ def test_near_copies_are_found_by_prefixes(spark):
     assert found == links and len(links) > 100
     forest = _Block(members, 75, 100).forest()
     assert set(forest) <= links and brute.union(forest, range(60)) == brute.union(links, range(60)) and len(forest) < 60
+
+
+def test_repeated_rows_get_the_same_answer(spark, tables):
+    from splitaudit.llm import decontaminate, langid, licences, toxicity
+
+    docs = spark.read.parquet(f"{tables[0]}/documents.parquet").where("length(text) < 5000 or text is null").select("doc_id", "text", "lang")
+    twice = docs.union(docs).repartition(5)
+    bench = spark.read.parquet(f"{tables[0]}/benchmark.parquet")
+    tox = toxicity.fit(docs, spark.read.parquet(f"{tables[0]}/labels.parquet"))
+    lang = langid.fit(docs)
+    for add in (lambda d: decontaminate.match_benchmark(d, bench), lambda d: toxicity.score(d, tox, out="found"), lambda d: licences.scan_licences(d, out="found"), lambda d: langid.identify(d, lang, out="found")):
+        once = {r["doc_id"]: r["found"] for r in add(docs).collect()}
+        got = [(r["doc_id"], r["found"]) for r in add(twice).collect()]
+        assert len(got) == 2 * len(once) and all(once[i] == x for i, x in got)
