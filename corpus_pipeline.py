@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of `documents`.  `run` writes each stage's result to the shared folder and reads it
 again as the next one's documents.
+
+In every stage a null or empty text is a document without words: it is not toxic, has no lines, is no
+copy, is not contaminated, and is packed as its end token.  Null keys are allowed; rows that repeat a key
+are documents of their own, and rows that repeat key and text are copies.  Texts of any length are taken whole.
+Further columns, whatever their names, are carried along by all stages but the last.  An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
