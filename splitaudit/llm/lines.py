@@ -20,7 +20,8 @@ ones.  All is judged on the input, not on what is left.
 Scale: a map task settles its own exact repeats and sends each distinct line once, so a line
 that a third of all documents hold is a row a task.  Keys travel as arrays dealt by key; a task
 that joins keys gives up those that turn out hot as it reads, so they are never gathered there.
-A line has at most about 20 keys, and some 220 more if one of them is hot.  Documents meet the
+A line has at most about 20 keys, and some 220 more if one of them is hot.  Beyond `MAX_PARTS` groups keys
+are dealt in two steps, so that blocks do not shrink with the corpus.  Documents meet the
 lines asked for, and later the lines removed, in shuffles of compressed blocks.  Equal lines are
 those of equal 64-bit hash and CRC-32.
 """
@@ -47,6 +48,8 @@ ONE_EDIT, TWO_EDITS = 20, 40
 MAX_TAU = 2
 #: Keys that a group should hold on average.
 GROUP_KEYS = 2_000_000
+#: Groups that keys are dealt to at once; more are dealt to again from these.
+MAX_PARTS = 4096
 #: Lines under one key from which it is hot, and the segments that its lines are cut into instead.
 HOT, FINE = 512, 8
 #: Lines of a group that are compared with each other at once; larger groups are walked in blocks.
@@ -391,8 +394,44 @@ def _by(h: np.ndarray, groups: int) -> np.ndarray:
 
 
 def _groups(docs: DataFrame, text: str) -> int:
+    """Groups that hold about `GROUP_KEYS` each: a number up to `MAX_PARTS`, or a multiple of it."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(shuffle_partitions(docs.sparkSession), int(size / 400 * 12 / GROUP_KEYS) + 1)
+    groups = max(shuffle_partitions(docs.sparkSession), int(size / 400 * 12 / GROUP_KEYS) + 1)
+    return groups if groups <= MAX_PARTS else -(-groups // MAX_PARTS) * MAX_PARTS
+
+
+def _dealt(sent: DataFrame, groups: int) -> DataFrame:
+    """Blobs by their groups; those of keys and lines, which come dealt to `MAX_PARTS` at most, are cut anew and so stay large."""
+    if groups > MAX_PARTS:
+
+        def again(batches):
+            sender = B.Sender()
+            held: dict[int, list[list[np.ndarray]]] = {}
+            size = 0
+
+            def deal():
+                for kind, blobs in held.items():
+                    columns = [np.concatenate([b[i] for b in blobs]) for i in range(len(blobs[0]))]
+                    for part, at in B.split_by(_by(columns[0], groups), groups):
+                        sender.add(part, kind, B.pack(*(c[at] for c in columns)))
+                held.clear()
+
+            for batch in batches:
+                for part, k, blob in zip(batch.column("part").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                    if k == _REMOVED:
+                        sender.add(part, k, blob)
+                        continue
+                    held.setdefault(k, []).append(B.unpack(blob))
+                    size += len(held[k][-1][0])
+                    if size >= 2 * GROUP_KEYS:
+                        deal()
+                        size = 0
+                yield from sender.full()
+            deal()
+            yield from sender.rest()
+
+        sent = sent.repartitionById(MAX_PARTS, F.col("part") % MAX_PARTS).mapInArrow(tidy(again), B.SCHEMA)
+    return sent.repartitionById(groups, F.col("part"))
 
 
 def _send_removed(sender: B.Sender, ids: np.ndarray, crcs: np.ndarray, ordinals: np.ndarray, groups: int) -> None:
@@ -425,7 +464,7 @@ def _send_keys(sender: B.Sender, x: Lines, once: np.ndarray, index, probes, grou
     for kind, found in ((_INDEX, list(index)), (_PROBE, list(probes))):
         if found:
             line, keys = (np.concatenate([f[i] for f in found]) for i in range(2))
-            for part, at in B.split_by(_by(keys, groups), groups):
+            for part, at in B.split_by(_by(keys, min(groups, MAX_PARTS)), groups):
                 sender.add(part, kind, B.pack(keys[at], x.hash[line[at]], sketch[line[at]]))
 
 
@@ -449,7 +488,7 @@ def _scan(groups: int):
                 same = np.sort(same[real])
                 _send_removed(sender, ids[x.doc[same]], crcs[x.doc[same]], x.ordinal[same], groups)
                 once = np.sort(by_hash[~again])
-                for part, at in B.split_by(_by(x.hash[once], groups), groups):
+                for part, at in B.split_by(_by(x.hash[once], min(groups, MAX_PARTS)), groups):
                     at = once[at]
                     sender.add(part, _OCCUR, B.pack(x.hash[at], x.check[at], ids[x.doc[at]], crcs[x.doc[at]], B.narrow(x.ordinal[at]).astype(np.uint32)))
                 _send_keys(sender, x, once, x.index(once), x.probes(once), groups)
@@ -566,7 +605,7 @@ def _joined(sent: DataFrame, groups: int, hot: int | None) -> DataFrame:
                 yield from sender.full()
         yield from sender.rest()
 
-    return sent.repartitionById(groups, F.col("part")).mapInArrow(tidy(join_keys), B.SCHEMA)
+    return _dealt(sent, groups).mapInArrow(tidy(join_keys), B.SCHEMA)
 
 
 def _exploded(seen: DataFrame, kind: int, names: list[str]) -> DataFrame:
