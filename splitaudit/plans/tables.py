@@ -7,6 +7,7 @@ split follows from its number: eight of ten train, one validation, one test.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -244,12 +245,17 @@ _POLICY_CASES = [
 def q_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes of parts of the mixed catalog, one for each way that the decision can go."""
     catalog = mixed_records(spark, sf_dir).withColumn("alias", F.col("path")).persist(StorageLevel.MEMORY_AND_DISK)
-    out = []
-    for name, part, rule_ids, broke in _POLICY_CASES:
+
+    def outcome(case: tuple) -> tuple:
+        name, part, rule_ids, broke = case
         records, rules = catalog.where(part), [BY_ID[i] for i in rule_ids]
         detectors = [r.asDict() for r in E.detector_coverage(records, rules).collect()]
         found = conservative(len(E.findings(records, rules, SPLITS).select("rule_id").take(1)), C.coverage(records, SPLITS), detectors, operational_error=broke)
-        out.append((name, found.finding_status, found.coverage_status, found.audit_state, found.exit_code))
+        return name, found.finding_status, found.coverage_status, found.audit_state, found.exit_code
+
+    catalog.count()  # kept before the cases, which run side by side, read it
+    with ThreadPoolExecutor(4) as pool:
+        out = list(pool.map(outcome, _POLICY_CASES))
     catalog.unpersist()
     return spark.createDataFrame(out, "case string, finding_status string, coverage_status string, audit_state string, exit_code int")
 
