@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import tidy
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -72,3 +78,79 @@ def split_by(part: np.ndarray, n: int):
     edges = np.append(np.flatnonzero(np.diff(ordered, prepend=-1)), len(ordered))
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         yield int(ordered[a]), order[a:b]
+
+
+#: Partitions that blobs are dealt to at once; beyond, a partition holds several groups, one after the other.
+MAX_PARTS = 4096
+#: Bytes of small blobs that are gathered before they are cut anew.
+RECUT_BYTES = 16 << 20
+
+
+def whole_groups(n: int) -> int:
+    """At least n groups: a number up to `MAX_PARTS`, or a multiple of it."""
+    return n if n <= MAX_PARTS else -(-n // MAX_PARTS) * MAX_PARTS
+
+
+def dealt_to(groups: int) -> int:
+    """Parts that a map task deals to where `by_group` cuts its blobs anew."""
+    return min(groups, MAX_PARTS)
+
+
+def _recut(cuts: dict, groups: int):
+    def run(batches):
+        sender = Sender()
+        held: dict[int, list[list[np.ndarray]]] = {}
+        size = 0
+        for batch in batches:
+            for part, k, blob in zip(batch.column("part").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                if k not in cuts:
+                    sender.add(part, k, blob)
+                    continue
+                held.setdefault(k, []).append(unpack(blob))
+                size += len(blob)
+                if size >= RECUT_BYTES:
+                    for kind, some in held.items():
+                        cuts[kind](sender, kind, groups, some)
+                    held.clear()
+                    size = 0
+            yield from sender.full()
+        for kind, some in held.items():
+            cuts[kind](sender, kind, groups, some)
+        yield from sender.rest()
+
+    return run
+
+
+def _each(fn):
+    """A function of one group's batches, for batches in the order of their groups."""
+
+    def pieces(batches):
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            edges = np.append(np.flatnonzero(np.diff(part, prepend=~part[:1])), len(part)).tolist()
+            for a, b in itertools.pairwise(edges):
+                yield int(part[a]), batch.slice(a, b - a)
+
+    def run(batches):
+        for _, group in itertools.groupby(pieces(batches), key=lambda piece: piece[0]):
+            yield from fn(batch for _, batch in group)
+
+    return run
+
+
+def by_group(sent: DataFrame, groups: int, fn, schema: str, cuts: dict | None = None, ordered: bool = False) -> DataFrame:
+    """`fn` over the batches of each group of (part, kind, blob); kinds in ascending order if `ordered`.
+
+    Up to `MAX_PARTS` groups are partitions.  Beyond, a partition holds every group of like remainder: Spark sorts it
+    by group, spilling, and groups stream through `fn` one at a time, so partitions and blocks of the shuffle stay
+    bounded however many groups there are.  `cuts` names kinds that map tasks deal to `dealt_to(groups)` parts only, with
+    a function (sender, kind, groups, unpacked blobs) that deals them to groups before the sort; `groups` is then one
+    of `whole_groups`.
+    """
+    if groups <= MAX_PARTS:
+        sent = sent.repartitionById(groups, F.col("part"))
+        return (sent.sortWithinPartitions("kind") if ordered else sent).mapInArrow(tidy(fn), schema)
+    sent = sent.repartitionById(MAX_PARTS, F.col("part") % MAX_PARTS)
+    if cuts:
+        sent = sent.mapInArrow(tidy(_recut(cuts, groups)), SCHEMA)
+    return sent.sortWithinPartitions("part", *(["kind"] if ordered else [])).mapInArrow(tidy(_each(fn)), schema)

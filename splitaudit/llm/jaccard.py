@@ -18,7 +18,8 @@ Around that join:
   `MERGE_POSTINGS` or more makes one hub of its hubs.
 
 Scale: tokens travel as arrays in blocks, dealt by token or by unit into groups sized from
-the corpus.  A map task sends a token that several of its units hold once in the first pass, and
+the corpus; beyond `blobs.MAX_PARTS` groups they are dealt in two steps and stream through bounded partitions
+group by group.  A map task sends a token that several of its units hold once in the first pass, and
 marks one that more than `HOT_UNITS` of them hold as hot in the second: hot tokens come last in the order, so that
 prefixes avoid them, and are not gathered to be counted.  A hub of more than `BLOCK_TOKENS` tokens is joined block by
 block; a few units of each block then connect the blocks, and what is still outside the hub's largest
@@ -71,7 +72,7 @@ def linked(overlap, n_a, n_b, num: int, den: int):
 
 def _groups(docs: DataFrame, text: str) -> int:
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(shuffle_partitions(docs.sparkSession), int(size / 6 * 0.33 / GROUP_TOKENS) + 1)
+    return B.whole_groups(max(shuffle_partitions(docs.sparkSession), int(size / 6 * 0.33 / GROUP_TOKENS) + 1))
 
 
 def _by(h: np.ndarray, groups: int) -> np.ndarray:
@@ -91,6 +92,47 @@ def _send(sender: B.Sender, kind: int, groups: int, by: np.ndarray, unit: np.nda
         sender.add(part, kind, B.pack(B.narrow(counts), *(x[u[begin]] for x in per_unit), *(x[at] for x in per_token)))
 
 
+def _cut_by(column: int, mixed: bool = False):
+    """Arrays of equal length to their groups by one of them, for `blobs.by_group`."""
+
+    def run(sender: B.Sender, kind: int, groups: int, blobs: list[list[np.ndarray]]) -> None:
+        columns = [np.concatenate([b[i] for b in blobs]) for i in range(len(blobs[0]))]
+        by = columns[column].astype(np.uint64)
+        for part, at in B.split_by(_by(K.mix(by) if mixed else by, groups), groups):
+            sender.add(part, kind, B.pack(*(c[at] for c in columns)))
+
+    return run
+
+
+def _cut_sent(per_unit: int, by_unit: bool = False):
+    """What `_send` sent to its groups by token or unit, for `blobs.by_group`."""
+
+    def run(sender: B.Sender, kind: int, groups: int, blobs: list[list[np.ndarray]]) -> None:
+        counts, *columns = (np.concatenate([b[i] for b in blobs]) for i in range(len(blobs[0])))
+        unit = _units_of(counts)
+        by = columns[0][unit] if by_unit else columns[per_unit]
+        _send(sender, kind, groups, by, unit, columns[:per_unit], columns[per_unit:])
+
+    return run
+
+
+def _send_texts(sender: B.Sender, kind: int, groups: int, ids: np.ndarray, data: list[bytes]) -> None:
+    squeeze = zstandard.ZstdCompressor(level=1)
+    for part, at in B.split_by(_by(K.mix(ids.astype(np.uint64)), groups), groups):
+        some = [data[i] for i in at]
+        sender.add(part, kind, B.pack(ids[at], np.array([len(x) for x in some], dtype=np.int64), np.frombuffer(squeeze.compress(b"".join(some)), dtype=np.uint8)))
+
+
+def _texts(lengths: np.ndarray, packed: np.ndarray) -> list[bytes]:
+    data = zstandard.ZstdDecompressor().decompress(packed.tobytes(), max_output_size=int(lengths.sum()) + 1)
+    return [data[e - m : e] for e, m in zip(np.cumsum(lengths).tolist(), lengths.tolist(), strict=True)]
+
+
+def _cut_texts(sender: B.Sender, kind: int, groups: int, blobs: list[list[np.ndarray]]) -> None:
+    """What `_send_texts` sent to its groups, for `blobs.by_group`."""
+    _send_texts(sender, kind, groups, np.concatenate([b[0] for b in blobs]), [x for b in blobs for x in _texts(b[1], b[2])])
+
+
 def _gather(batches, kind: int, forward: B.Sender | None = None):
     """All blobs of one kind: unit index a token, then the per-unit and per-token arrays; others are sent on."""
     stores: list[list[np.ndarray]] = []
@@ -149,6 +191,7 @@ def _components(docs: DataFrame, key: str, text: str, n: int, threshold: tuple[i
     """A row for each document row: d and x, n, its component and that one's least d (both null for an empty set)."""
     num, den = threshold
     groups = _groups(docs, text)
+    parts = B.dealt_to(groups)
     rows = docs.select(*_row_key(key, text), F.col(text).alias("t"))
 
     def first_pass(batches):
@@ -165,7 +208,7 @@ def _components(docs: DataFrame, key: str, text: str, n: int, threshold: tuple[i
                         m = len(s) - need(len(s), num, den) + max(1, int(np.ceil(FIRST_SHARE * len(s))))
                         prefixes.append(s[:m])
                 ids, marks, sizes, units = all_ids[lo:hi], all_marks[lo:hi], np.array(sizes, dtype=np.int64), np.array(units, dtype=np.uint64)
-                for part, at in B.split_by(_by(units, groups), groups):
+                for part, at in B.split_by(_by(units, parts), parts):
                     sender.add(part, _INFO, B.pack(ids[at], marks[at], sizes[at], units[at]))
                 if prefixes:
                     distinct = np.fromiter(seen, dtype=np.uint64, count=len(seen))
@@ -174,7 +217,7 @@ def _components(docs: DataFrame, key: str, text: str, n: int, threshold: tuple[i
                     order, df = _shared(tokens, owners)
                     known = df > 1  # shared within the task: one unit tells the others, all count it here
                     times = np.bincount(owners[order[known]], minlength=len(distinct))
-                    for part, at in B.split_by(_by(distinct, groups), groups):
+                    for part, at in B.split_by(_by(distinct, parts), parts):
                         at = at[times[at] > 0]
                         if len(at):
                             sender.add(part, _HITS, B.pack(distinct[at], B.narrow(times[at])))
@@ -183,7 +226,7 @@ def _components(docs: DataFrame, key: str, text: str, n: int, threshold: tuple[i
                     sent = np.sort(order[one])
                     shared = np.zeros(len(tokens), dtype=np.uint8)
                     shared[order[known]] = 1
-                    _send(sender, _TOKENS, groups, tokens[sent], owners[sent], [distinct], [tokens[sent], shared[sent]])
+                    _send(sender, _TOKENS, parts, tokens[sent], owners[sent], [distinct], [tokens[sent], shared[sent]])
                 yield from sender.full()
         yield from sender.rest()
 
@@ -199,7 +242,7 @@ def _components(docs: DataFrame, key: str, text: str, n: int, threshold: tuple[i
                 df = np.where(told[at] == token[order], 2, df)
             hit = order[(df > 1) & (shared[order] == 0)]
             found, times = np.unique(unit[owner[hit]], return_counts=True)
-            for part, at in B.split_by(_by(found, groups), groups):
+            for part, at in B.split_by(_by(found, parts), parts):
                 sender.add(part, _HITS, B.pack(found[at], B.narrow(times[at])))
         yield from sender.rest()
 
@@ -217,27 +260,25 @@ def _components(docs: DataFrame, key: str, text: str, n: int, threshold: tuple[i
             times = np.array([total.get(x, 0) for x in units.tolist()], dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(marks), pa.array(sizes), pa.array(units.view(np.int64)), pa.array((times >= asked) & (sizes > 0))], names=["d", "x", "n", "u", "alive"])
 
-    dealt = rows.mapInArrow(tidy(first_pass), B.SCHEMA).repartitionById(groups, F.col("part")).mapInArrow(tidy(count_shared), B.SCHEMA)
-    info = cut(dealt.repartitionById(groups, F.col("part")).mapInArrow(tidy(survivors), "d long, x long, n long, u long, alive boolean"), "sets")
+    cuts = {_INFO: _cut_by(3), _HITS: _cut_by(0), _TOKENS: _cut_sent(1)}
+    dealt = B.by_group(rows.mapInArrow(tidy(first_pass), B.SCHEMA), groups, count_shared, B.SCHEMA, cuts)
+    info = cut(B.by_group(dealt, groups, survivors, "d long, x long, n long, u long, alive boolean", cuts), "sets")
     classes = info.where("n > 0").groupBy("u").agg(F.min("d").alias("rep"), F.max("alive").alias("alive"))
 
     def send_alive(batches):
         sender = B.Sender()
         for batch in batches:
             d, u = batch.column("rep").to_numpy(), batch.column("u").to_numpy()
-            for part, at in B.split_by(_by(K.mix(d.astype(np.uint64)), groups), groups):
+            for part, at in B.split_by(_by(K.mix(d.astype(np.uint64)), parts), parts):
                 sender.add(part, _ALIVE, B.pack(d[at], u[at]))
         yield from sender.rest()
 
     def send_texts(batches):
         sender = B.Sender()
-        squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             ids, data = batch.column("d").to_numpy(), [x or b"" for x in texts_of(batch, "t")]
             for lo, hi in K.chunks(data, LOCAL_BYTES):
-                for part, at in B.split_by(_by(K.mix(ids[lo:hi].astype(np.uint64)), groups), groups):
-                    some = [data[lo + i] for i in at]
-                    sender.add(part, _TEXTS, B.pack(ids[lo + at], np.array([len(x) for x in some], dtype=np.int64), np.frombuffer(squeeze.compress(b"".join(some)), dtype=np.uint8)))
+                _send_texts(sender, _TEXTS, parts, ids[lo:hi], data[lo:hi])
                 yield from sender.full()
         yield from sender.rest()
 
@@ -258,9 +299,9 @@ def _components(docs: DataFrame, key: str, text: str, n: int, threshold: tuple[i
                 told = hot.copy()  # one of its units tells the others that a token is hot
                 told[order[1:][tokens[order[1:]] == tokens[order[:-1]]]] = False
                 by = names[owner[hot]]
-                _send(sender, _HITS, groups, by, owner[hot], [names, sizes], [tokens[hot], np.full(int(hot.sum()), HOT, dtype=np.uint32)])
+                _send(sender, _HITS, parts, by, owner[hot], [names, sizes], [tokens[hot], np.full(int(hot.sum()), HOT, dtype=np.uint32)])
                 sent = ~hot | told
-                _send(sender, _TOKENS, groups, tokens[sent], owner[sent], [names, sizes], [tokens[sent], hot[sent].astype(np.uint8)])
+                _send(sender, _TOKENS, parts, tokens[sent], owner[sent], [names, sizes], [tokens[sent], hot[sent].astype(np.uint8)])
             units.clear()
             sets.clear()
 
@@ -273,9 +314,7 @@ def _components(docs: DataFrame, key: str, text: str, n: int, threshold: tuple[i
                 ids, lengths, packed = B.unpack(blob)
                 if not any(d in alive for d in ids.tolist()):
                     continue
-                data = zstandard.ZstdDecompressor().decompress(packed.tobytes(), max_output_size=int(lengths.sum()) + 1)
-                ends = np.cumsum(lengths)
-                some = [(d, data[e - m : e]) for d, e, m in zip(ids.tolist(), ends.tolist(), lengths.tolist(), strict=True) if d in alive]
+                some = [(d, x) for d, x in zip(ids.tolist(), _texts(lengths, packed), strict=True) if d in alive]
                 for (d, _), (s, h) in zip(some, _sets([x for _, x in some], n), strict=True):
                     if len(s) and int(np.uint64(h).astype(np.int64)) in alive[d]:
                         units.append(h)
@@ -303,7 +342,7 @@ def _components(docs: DataFrame, key: str, text: str, n: int, threshold: tuple[i
             by_unit = np.argsort(unit[owner[order]], kind="stable")
             order, df = order[by_unit], df[by_unit]
             ids, index, at = np.unique(unit[owner[order]], return_index=True, return_inverse=True)
-            _send(sender, _HITS, groups, ids[at], at, [ids, size[owner[order[index]]]], [token[order], df.astype(np.uint32)])
+            _send(sender, _HITS, parts, ids[at], at, [ids, size[owner[order[index]]]], [token[order], df.astype(np.uint32)])
         yield from sender.rest()
 
     def ordered_units(batches):
@@ -344,9 +383,11 @@ def _components(docs: DataFrame, key: str, text: str, n: int, threshold: tuple[i
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["u", "n", "base", "ell", "m", "t"])
 
     alive = classes.where("alive").select("rep", "u").mapInArrow(tidy(send_alive), B.SCHEMA)
-    met = alive.union(rows.mapInArrow(tidy(send_texts), B.SCHEMA)).repartitionById(groups, F.col("part")).sortWithinPartitions("kind")
-    counted = met.mapInArrow(tidy(whole_sets), B.SCHEMA).repartitionById(groups, F.col("part")).mapInArrow(tidy(frequencies), B.SCHEMA)
-    units = cut(counted.repartitionById(groups, F.col("part")).mapInArrow(tidy(ordered_units), "u long, n long, base long, ell long, m long, t binary"), "units")
+    met = alive.union(rows.mapInArrow(tidy(send_texts), B.SCHEMA))
+    sets = B.by_group(met, groups, whole_sets, B.SCHEMA, {_ALIVE: _cut_by(0, mixed=True), _TEXTS: _cut_texts}, ordered=True)
+    cuts = {_HITS: _cut_sent(2, by_unit=True), _TOKENS: _cut_sent(2)}
+    counted = B.by_group(sets, groups, frequencies, B.SCHEMA, cuts)
+    units = cut(B.by_group(counted, groups, ordered_units, "u long, n long, base long, ell long, m long, t binary", cuts), "units")
     links = cut(_links(units, groups, num, den), "links")
     comps = components(links, "u", "v").select(F.col("node").alias("u"), "component")
     reps = classes.select("u", "rep").join(comps, "u", "left").select("u", "rep", F.coalesce("component", "u").alias("component"))
@@ -357,6 +398,7 @@ def _components(docs: DataFrame, key: str, text: str, n: int, threshold: tuple[i
 
 def _links(units: DataFrame, groups: int, num: int, den: int) -> DataFrame:
     """Links (u, v) between units that span all components."""
+    parts = B.dealt_to(groups)
 
     def base_prefixes(batches):
         sender = B.Sender()
@@ -365,7 +407,7 @@ def _links(units: DataFrame, groups: int, num: int, den: int) -> DataFrame:
             if len(u):
                 heads = [np.frombuffer(x, dtype="<u8", count=int(b) + 1) for x, b in zip(t, base, strict=True)]
                 tokens = np.concatenate(heads)
-                _send(sender, _TOKENS, groups, tokens, _units_of(np.array([len(h) for h in heads])), [u], [tokens])
+                _send(sender, _TOKENS, parts, tokens, _units_of(np.array([len(h) for h in heads])), [u], [tokens])
             yield from sender.full()
         yield from sender.rest()
 
@@ -386,7 +428,7 @@ def _links(units: DataFrame, groups: int, num: int, den: int) -> DataFrame:
             new[1:] = (u[1:] != u[:-1]) | (hub[1:] != hub[:-1])
             edges = np.append(np.flatnonzero(new), len(u))
             u, hub, times = u[new], hub[new], np.diff(edges)
-            for part, at in B.split_by(_by(u, groups), groups):
+            for part, at in B.split_by(_by(u, parts), parts):
                 sender.add(part, _TOKENS, B.pack(u[at], hub[at], B.narrow(times[at]).astype(np.uint32)))
         yield from sender.rest()
 
@@ -407,8 +449,8 @@ def _links(units: DataFrame, groups: int, num: int, den: int) -> DataFrame:
         first[1:] = u[1:] != u[:-1]
         yield pa.RecordBatch.from_arrays([pa.array(u[first]), pa.array(hub[first])], names=["u", "hub"])
 
-    by_token = units.select("u", "base", "t").mapInArrow(tidy(base_prefixes), B.SCHEMA).repartitionById(groups, F.col("part"))
-    hubs = by_token.mapInArrow(tidy(name_hubs), B.SCHEMA).repartitionById(groups, F.col("part")).mapInArrow(tidy(choose_hubs), "u long, hub long")
+    named = B.by_group(units.select("u", "base", "t").mapInArrow(tidy(base_prefixes), B.SCHEMA), groups, name_hubs, B.SCHEMA, {_TOKENS: _cut_sent(1)})
+    hubs = B.by_group(named, groups, choose_hubs, "u long, hub long", {_TOKENS: _cut_by(0)})
     hubbed = cut(units.join(hubs, "u"), "hubs")
 
     def long_prefixes(batches):
@@ -423,7 +465,7 @@ def _links(units: DataFrame, groups: int, num: int, den: int) -> DataFrame:
                 place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 level = np.maximum(1, place + 1 - base[owner])  # the least l whose prefix holds the token
                 tokens = np.concatenate(heads)
-                _send(sender, _TOKENS, groups, tokens, owner, [u, hub, m, ell], [tokens, level.astype(np.uint32)])
+                _send(sender, _TOKENS, parts, tokens, owner, [u, hub, m, ell], [tokens, level.astype(np.uint32)])
             yield from sender.full()
         yield from sender.rest()
 
@@ -466,12 +508,13 @@ def _links(units: DataFrame, groups: int, num: int, den: int) -> DataFrame:
         at = np.flatnonzero(first)
         return x[at], y[at], np.add.reduceat(w, at) if len(at) else w
 
-    postings = hubbed.mapInArrow(tidy(long_prefixes), B.SCHEMA).repartitionById(groups, F.col("part")).mapInArrow(tidy(hub_pairs), "x long, y long, w long")
+    prefixes = {_TOKENS: _cut_sent(4)}
+    postings = B.by_group(hubbed.mapInArrow(tidy(long_prefixes), B.SCHEMA), groups, hub_pairs, "x long, y long, w long", prefixes)
     close = cut(postings.groupBy("x", "y").agg(F.sum("w").alias("w")).where(F.col("w") >= MERGE_POSTINGS), "hub-pairs")
     merged = components(close, "x", "y").select(F.col("node").alias("hub"), "component")
     hubbed = cut(hubbed.join(merged, "hub", "left").withColumn("hub", F.coalesce("component", "hub")).drop("component"), "merged-hubs")
 
-    inside = _inside(hubbed, groups, num, den)
+    inside = _inside(hubbed, parts, num, den)
 
     def cross_pairs(batches):
         got = _gather(batches, _TOKENS)
@@ -493,7 +536,7 @@ def _links(units: DataFrame, groups: int, num: int, den: int) -> DataFrame:
                     new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
                     times = np.diff(np.append(np.flatnonzero(new), len(x)))
                     x, y, asked = x[new], y[new], asked[new]
-                    for part, at in B.split_by(_by(K.mix(x.view(np.uint64)), groups), groups):
+                    for part, at in B.split_by(_by(K.mix(x.view(np.uint64)), parts), parts):
                         sender.add(part, _TOKENS, B.pack(x[at], y[at], B.narrow(asked[at]).astype(np.uint32), B.narrow(times[at]).astype(np.uint32)))
                     held.clear()
 
@@ -540,8 +583,8 @@ def _links(units: DataFrame, groups: int, num: int, den: int) -> DataFrame:
                 keep.append(linked(len(both), na, nb, num, den))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    crossing = hubbed.mapInArrow(tidy(long_prefixes), B.SCHEMA).repartitionById(groups, F.col("part")).mapInArrow(tidy(cross_pairs), B.SCHEMA)
-    pairs = crossing.repartitionById(groups, F.col("part")).mapInArrow(tidy(candidates), "u long, v long")
+    crossing = B.by_group(hubbed.mapInArrow(tidy(long_prefixes), B.SCHEMA), groups, cross_pairs, B.SCHEMA, prefixes)
+    pairs = B.by_group(crossing, groups, candidates, "u long, v long", {_TOKENS: _cut_by(0, mixed=True)})
     left = units.select("u", F.col("n").alias("na"), F.col("t").alias("ta"))
     right = units.select(F.col("u").alias("v"), F.col("n").alias("nb"), F.col("t").alias("tb"))
     across = pairs.join(left, "u").join(right, "v").select("u", "v", "na", "nb", "ta", "tb").mapInArrow(tidy(verify), "u long, v long")
@@ -625,8 +668,8 @@ class _Block:
         return np.flatnonzero(self.label == found[np.argmax(sizes)])
 
 
-def _inside(hubbed: DataFrame, groups: int, num: int, den: int) -> DataFrame:
-    """Links (u, v) that span the components of each hub's units."""
+def _inside(hubbed: DataFrame, parts: int, num: int, den: int) -> DataFrame:
+    """Links (u, v) that span the components of each hub's units, whose blocks stream through `parts` partitions."""
     fields = ["u", "n", "base", "ell", "t"]
     sizes = hubbed.groupBy("hub").agg(F.sum("m").alias("tokens"), F.count("*").alias("rows")).where("rows > 1")
     sizes = sizes.select("hub", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks"))
@@ -705,13 +748,13 @@ def _inside(hubbed: DataFrame, groups: int, num: int, den: int) -> DataFrame:
         yield batch_of(out)
 
     schema = "hub long, u long, v long"
-    found = cut(blocked.repartition(groups, "hub", "own").sortWithinPartitions("hub", "own").mapInArrow(tidy(join_blocks), schema), "blocks")
+    found = cut(blocked.repartition(parts, "hub", "own").sortWithinPartitions("hub", "own").mapInArrow(tidy(join_blocks), schema), "blocks")
     links = found.where("v is not null")
     pivots = found.where("v is null").select("hub", "u")
     if not pivots.limit(1).count():
         return links.select("u", "v")
     wide = blocked.where("blocks > 1")
-    links = links.union(cut(pivots.join(wide, ["hub", "u"]).repartition(groups, "hub").sortWithinPartitions("hub").mapInArrow(tidy(connect), schema), "pivots"))
+    links = links.union(cut(pivots.join(wide, ["hub", "u"]).repartition(parts, "hub").sortWithinPartitions("hub").mapInArrow(tidy(connect), schema), "pivots"))
     comps = components(links.join(sizes.where("blocks > 1").select("hub"), "hub"), "u", "v").select(F.col("node").alias("u"), F.col("component").alias("label"))
     wide = cut(wide.join(comps, "u", "left").withColumn("label", F.coalesce("label", "u")), "labelled")
     counted = wide.groupBy("hub", "label").agg(F.count("*").alias("units"))
@@ -719,7 +762,7 @@ def _inside(hubbed: DataFrame, groups: int, num: int, den: int) -> DataFrame:
     outside = wide.join(main, "hub").where("label <> main").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     names = ["hub", "own", "outside", *fields, "label"]
     met = wide.withColumn("outside", F.lit(False)).select(*names).union(outside.withColumn("outside", F.lit(True)).select(*names))
-    rest = met.repartition(groups, "hub", "own").sortWithinPartitions("hub", "own", "outside").mapInArrow(tidy(meet_rest), schema)
+    rest = met.repartition(parts, "hub", "own").sortWithinPartitions("hub", "own", "outside").mapInArrow(tidy(meet_rest), schema)
     return links.union(rest).select("u", "v")
 
 

@@ -108,6 +108,15 @@ def test_jaccard(docs, rows):
     assert jaccard_components(docs.where("doc_id < 0")).count() == 0
 
 
+def test_jaccard_dealt_in_two_steps(docs, rows, monkeypatch):
+    from splitaudit.llm import blobs, jaccard
+
+    monkeypatch.setattr(blobs, "MAX_PARTS", 3)
+    monkeypatch.setattr(blobs, "RECUT_BYTES", 20_000)
+    monkeypatch.setattr(jaccard, "_groups", lambda docs, text: blobs.whole_groups(10))
+    assert {r[0]: (r[1], r[2]) for r in jaccard.jaccard_components(docs).collect()} == brute.jaccard(rows)
+
+
 def test_jaccard_of_a_large_near_group_and_null_keys(spark):
     from splitaudit.llm import jaccard
 
