@@ -96,17 +96,29 @@ def dealt_to(groups: int) -> int:
     return min(groups, MAX_PARTS)
 
 
+def cut_by(column: int, mix=None):
+    """Deals arrays of equal length by one of them, mixed first if need be."""
+
+    def run(sender: Sender, kind: int, groups: int, blobs: list[bytes]) -> None:
+        columns = [np.concatenate(c) for c in zip(*map(unpack, blobs), strict=True)]
+        by = columns[column].astype(np.uint64)
+        for part, at in split_by(((by if mix is None else mix(by)) % np.uint64(groups)).astype(np.int32), groups):
+            sender.add(part, kind, pack(*(c[at] for c in columns)))
+
+    return run
+
+
 def _recut(cuts: dict, groups: int):
     def run(batches):
         sender = Sender()
-        held: dict[int, list[list[np.ndarray]]] = {}
+        held: dict[int, list[bytes]] = {}
         size = 0
         for batch in batches:
             for part, k, blob in zip(batch.column("part").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 if k not in cuts:
                     sender.add(part, k, blob)
                     continue
-                held.setdefault(k, []).append(unpack(blob))
+                held.setdefault(k, []).append(blob)
                 size += len(blob)
                 if size >= RECUT_BYTES:
                     for kind, some in held.items():
@@ -121,7 +133,7 @@ def _recut(cuts: dict, groups: int):
     return run
 
 
-def _each(fn):
+def each(fn):
     """A function of one group's batches, for batches in the order of their groups."""
 
     def pieces(batches):
@@ -144,7 +156,7 @@ def by_group(sent: DataFrame, groups: int, fn, schema: str, cuts: dict | None =
     Up to `MAX_PARTS` groups are partitions.  Beyond, a partition holds every group of like remainder: Spark sorts it
     by group, spilling, and groups stream through `fn` one at a time, so partitions and blocks of the shuffle stay
     bounded however many groups there are.  `cuts` names kinds that map tasks deal to `dealt_to(groups)` parts only, with
-    a function (sender, kind, groups, unpacked blobs) that deals them to groups before the sort; `groups` is then one
+    a function (sender, kind, groups, blobs) that deals them to groups before the sort; `groups` is then one
     of `whole_groups`.
     """
     if groups <= MAX_PARTS:
@@ -153,4 +165,4 @@ def by_group(sent: DataFrame, groups: int, fn, schema: str, cuts: dict | None =
     sent = sent.repartitionById(MAX_PARTS, F.col("part") % MAX_PARTS)
     if cuts:
         sent = sent.mapInArrow(tidy(_recut(cuts, groups)), SCHEMA)
-    return sent.sortWithinPartitions("part", *(["kind"] if ordered else [])).mapInArrow(tidy(_each(fn)), schema)
+    return sent.sortWithinPartitions("part", *(["kind"] if ordered else [])).mapInArrow(tidy(each(fn)), schema)

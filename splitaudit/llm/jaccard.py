@@ -92,23 +92,11 @@ def _send(sender: B.Sender, kind: int, groups: int, by: np.ndarray, unit: np.nda
         sender.add(part, kind, B.pack(B.narrow(counts), *(x[u[begin]] for x in per_unit), *(x[at] for x in per_token)))
 
 
-def _cut_by(column: int, mixed: bool = False):
-    """Arrays of equal length to their groups by one of them, for `blobs.by_group`."""
-
-    def run(sender: B.Sender, kind: int, groups: int, blobs: list[list[np.ndarray]]) -> None:
-        columns = [np.concatenate([b[i] for b in blobs]) for i in range(len(blobs[0]))]
-        by = columns[column].astype(np.uint64)
-        for part, at in B.split_by(_by(K.mix(by) if mixed else by, groups), groups):
-            sender.add(part, kind, B.pack(*(c[at] for c in columns)))
-
-    return run
-
-
 def _cut_sent(per_unit: int, by_unit: bool = False):
     """What `_send` sent to its groups by token or unit, for `blobs.by_group`."""
 
-    def run(sender: B.Sender, kind: int, groups: int, blobs: list[list[np.ndarray]]) -> None:
-        counts, *columns = (np.concatenate([b[i] for b in blobs]) for i in range(len(blobs[0])))
+    def run(sender: B.Sender, kind: int, groups: int, blobs: list[bytes]) -> None:
+        counts, *columns = (np.concatenate(c) for c in zip(*map(B.unpack, blobs), strict=True))
         unit = _units_of(counts)
         by = columns[0][unit] if by_unit else columns[per_unit]
         _send(sender, kind, groups, by, unit, columns[:per_unit], columns[per_unit:])
@@ -128,9 +116,10 @@ def _texts(lengths: np.ndarray, packed: np.ndarray) -> list[bytes]:
     return [data[e - m : e] for e, m in zip(np.cumsum(lengths).tolist(), lengths.tolist(), strict=True)]
 
 
-def _cut_texts(sender: B.Sender, kind: int, groups: int, blobs: list[list[np.ndarray]]) -> None:
+def _cut_texts(sender: B.Sender, kind: int, groups: int, blobs: list[bytes]) -> None:
     """What `_send_texts` sent to its groups, for `blobs.by_group`."""
-    _send_texts(sender, kind, groups, np.concatenate([b[0] for b in blobs]), [x for b in blobs for x in _texts(b[1], b[2])])
+    ids, lengths, packed = zip(*map(B.unpack, blobs), strict=True)
+    _send_texts(sender, kind, groups, np.concatenate(ids), [x for some in zip(lengths, packed, strict=True) for x in _texts(*some)])
 
 
 def _gather(batches, kind: int, forward: B.Sender | None = None):
@@ -260,7 +249,7 @@ def _components(docs: DataFrame, key: str, text: str, n: int, threshold: tuple[i
             times = np.array([total.get(x, 0) for x in units.tolist()], dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(marks), pa.array(sizes), pa.array(units.view(np.int64)), pa.array((times >= asked) & (sizes > 0))], names=["d", "x", "n", "u", "alive"])
 
-    cuts = {_INFO: _cut_by(3), _HITS: _cut_by(0), _TOKENS: _cut_sent(1)}
+    cuts = {_INFO: B.cut_by(3), _HITS: B.cut_by(0), _TOKENS: _cut_sent(1)}
     dealt = B.by_group(rows.mapInArrow(tidy(first_pass), B.SCHEMA), groups, count_shared, B.SCHEMA, cuts)
     info = cut(B.by_group(dealt, groups, survivors, "d long, x long, n long, u long, alive boolean", cuts), "sets")
     classes = info.where("n > 0").groupBy("u").agg(F.min("d").alias("rep"), F.max("alive").alias("alive"))
@@ -384,7 +373,7 @@ def _components(docs: DataFrame, key: str, text: str, n: int, threshold: tuple[i
 
     alive = classes.where("alive").select("rep", "u").mapInArrow(tidy(send_alive), B.SCHEMA)
     met = alive.union(rows.mapInArrow(tidy(send_texts), B.SCHEMA))
-    sets = B.by_group(met, groups, whole_sets, B.SCHEMA, {_ALIVE: _cut_by(0, mixed=True), _TEXTS: _cut_texts}, ordered=True)
+    sets = B.by_group(met, groups, whole_sets, B.SCHEMA, {_ALIVE: B.cut_by(0, K.mix), _TEXTS: _cut_texts}, ordered=True)
     cuts = {_HITS: _cut_sent(2, by_unit=True), _TOKENS: _cut_sent(2)}
     counted = B.by_group(sets, groups, frequencies, B.SCHEMA, cuts)
     units = cut(B.by_group(counted, groups, ordered_units, "u long, n long, base long, ell long, m long, t binary", cuts), "units")
@@ -450,7 +439,7 @@ def _links(units: DataFrame, groups: int, num: int, den: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(u[first]), pa.array(hub[first])], names=["u", "hub"])
 
     named = B.by_group(units.select("u", "base", "t").mapInArrow(tidy(base_prefixes), B.SCHEMA), groups, name_hubs, B.SCHEMA, {_TOKENS: _cut_sent(1)})
-    hubs = B.by_group(named, groups, choose_hubs, "u long, hub long", {_TOKENS: _cut_by(0)})
+    hubs = B.by_group(named, groups, choose_hubs, "u long, hub long", {_TOKENS: B.cut_by(0)})
     hubbed = cut(units.join(hubs, "u"), "hubs")
 
     def long_prefixes(batches):
@@ -584,7 +573,7 @@ def _links(units: DataFrame, groups: int, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     crossing = B.by_group(hubbed.mapInArrow(tidy(long_prefixes), B.SCHEMA), groups, cross_pairs, B.SCHEMA, prefixes)
-    pairs = B.by_group(crossing, groups, candidates, "u long, v long", {_TOKENS: _cut_by(0, mixed=True)})
+    pairs = B.by_group(crossing, groups, candidates, "u long, v long", {_TOKENS: B.cut_by(0, K.mix)})
     left = units.select("u", F.col("n").alias("na"), F.col("t").alias("ta"))
     right = units.select(F.col("u").alias("v"), F.col("n").alias("nb"), F.col("t").alias("tb"))
     across = pairs.join(left, "u").join(right, "v").select("u", "v", "na", "nb", "ta", "tb").mapInArrow(tidy(verify), "u long, v long")

@@ -20,8 +20,8 @@ ones.  All is judged on the input, not on what is left.
 Scale: a map task settles its own exact repeats and sends each distinct line once, so a line
 that a third of all documents hold is a row a task.  Keys travel as arrays dealt by key; a task
 that joins keys gives up those that turn out hot as it reads, so they are never gathered there.
-A line has at most about 20 keys, and some 220 more if one of them is hot.  Beyond `MAX_PARTS` groups keys
-are dealt in two steps, so that blocks do not shrink with the corpus.  Documents meet the
+A line has at most about 20 keys, and some 220 more if one of them is hot.  Beyond `blobs.MAX_PARTS` groups
+blobs are dealt in two steps and groups stream through bounded partitions.  Documents meet the
 lines asked for, and later the lines removed, in shuffles of compressed blocks.  Equal lines are
 those of equal 64-bit hash and CRC-32.
 """
@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from . import blobs as B
 from . import tokens as K
 from .common import cut, new_column, shuffle_partitions, texts_of, tidy
-from .rowblocks import by_key, numbered, read_rows, send_rows
+from .rowblocks import ROWS, by_key, cut_rows, numbered, read_rows, send_rows
 
 MIN_BYTES = 20
 #: Lines of so many bytes on allow one edit, two edits.
@@ -48,8 +48,6 @@ ONE_EDIT, TWO_EDITS = 20, 40
 MAX_TAU = 2
 #: Keys that a group should hold on average.
 GROUP_KEYS = 2_000_000
-#: Groups that keys are dealt to at once; more are dealt to again from these.
-MAX_PARTS = 4096
 #: Lines under one key from which it is hot, and the segments that its lines are cut into instead.
 HOT, FINE = 512, 8
 #: Lines of a group that are compared with each other at once; larger groups are walked in blocks.
@@ -394,48 +392,13 @@ def _by(h: np.ndarray, groups: int) -> np.ndarray:
 
 
 def _groups(docs: DataFrame, text: str) -> int:
-    """Groups that hold about `GROUP_KEYS` each: a number up to `MAX_PARTS`, or a multiple of it."""
+    """Groups that hold about `GROUP_KEYS` each."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    groups = max(shuffle_partitions(docs.sparkSession), int(size / 400 * 12 / GROUP_KEYS) + 1)
-    return groups if groups <= MAX_PARTS else -(-groups // MAX_PARTS) * MAX_PARTS
-
-
-def _dealt(sent: DataFrame, groups: int) -> DataFrame:
-    """Blobs by their groups; those of keys and lines, which come dealt to `MAX_PARTS` at most, are cut anew and so stay large."""
-    if groups > MAX_PARTS:
-
-        def again(batches):
-            sender = B.Sender()
-            held: dict[int, list[list[np.ndarray]]] = {}
-            size = 0
-
-            def deal():
-                for kind, blobs in held.items():
-                    columns = [np.concatenate([b[i] for b in blobs]) for i in range(len(blobs[0]))]
-                    for part, at in B.split_by(_by(columns[0], groups), groups):
-                        sender.add(part, kind, B.pack(*(c[at] for c in columns)))
-                held.clear()
-
-            for batch in batches:
-                for part, k, blob in zip(batch.column("part").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                    if k == _REMOVED:
-                        sender.add(part, k, blob)
-                        continue
-                    held.setdefault(k, []).append(B.unpack(blob))
-                    size += len(held[k][-1][0])
-                    if size >= 2 * GROUP_KEYS:
-                        deal()
-                        size = 0
-                yield from sender.full()
-            deal()
-            yield from sender.rest()
-
-        sent = sent.repartitionById(MAX_PARTS, F.col("part") % MAX_PARTS).mapInArrow(tidy(again), B.SCHEMA)
-    return sent.repartitionById(groups, F.col("part"))
+    return B.whole_groups(max(shuffle_partitions(docs.sparkSession), int(size / 400 * 12 / GROUP_KEYS) + 1))
 
 
-def _send_removed(sender: B.Sender, ids: np.ndarray, crcs: np.ndarray, ordinals: np.ndarray, groups: int) -> None:
-    for part, at in B.split_by(by_key(ids, groups), groups):
+def _send_removed(sender: B.Sender, ids: np.ndarray, crcs: np.ndarray, ordinals: np.ndarray, parts: int) -> None:
+    for part, at in B.split_by(by_key(ids, parts), parts):
         sender.add(part, _REMOVED, B.pack(ids[at], crcs[at], B.narrow(ordinals[at]).astype(np.uint32)))
 
 
@@ -452,23 +415,23 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", counts
     groups = _groups(docs, text)
     rows, number = numbered(docs, key)
     slim = rows.select(F.col(number).alias("d"), F.col(text).alias("t"))
-    seen = cut(_joined(slim.mapInArrow(tidy(_scan(groups)), B.SCHEMA), groups, HOT), "line-keys")
+    seen = cut(_joined(slim.mapInArrow(tidy(_scan(B.dealt_to(groups))), B.SCHEMA), groups, HOT), "line-keys")
     losers = _near_losers(slim, seen, groups)
     removed = seen.where(F.col("kind") == _REMOVED).select("part", "kind", "blob").union(losers)
     return _settle(rows, removed, number, text, groups, counts)
 
 
-def _send_keys(sender: B.Sender, x: Lines, once: np.ndarray, index, probes, groups: int) -> None:
+def _send_keys(sender: B.Sender, x: Lines, once: np.ndarray, index, probes, parts: int) -> None:
     sketch = np.zeros(len(x.hash), dtype=np.uint32)
     sketch[once] = x.sketches(once)
     for kind, found in ((_INDEX, list(index)), (_PROBE, list(probes))):
         if found:
             line, keys = (np.concatenate([f[i] for f in found]) for i in range(2))
-            for part, at in B.split_by(_by(keys, min(groups, MAX_PARTS)), groups):
+            for part, at in B.split_by(_by(keys, parts), parts):
                 sender.add(part, kind, B.pack(keys[at], x.hash[line[at]], sketch[line[at]]))
 
 
-def _scan(groups: int):
+def _scan(parts: int):
     """Blobs of repeats within a task, first occurrences, and keys."""
 
     def scan(batches):
@@ -486,12 +449,12 @@ def _scan(groups: int):
                 same, first = by_hash[again], lead[again]
                 real = (ids[x.doc[same]] != ids[x.doc[first]]) | (x.ordinal[same] != x.ordinal[first])
                 same = np.sort(same[real])
-                _send_removed(sender, ids[x.doc[same]], crcs[x.doc[same]], x.ordinal[same], groups)
+                _send_removed(sender, ids[x.doc[same]], crcs[x.doc[same]], x.ordinal[same], parts)
                 once = np.sort(by_hash[~again])
-                for part, at in B.split_by(_by(x.hash[once], min(groups, MAX_PARTS)), groups):
+                for part, at in B.split_by(_by(x.hash[once], parts), parts):
                     at = once[at]
                     sender.add(part, _OCCUR, B.pack(x.hash[at], x.check[at], ids[x.doc[at]], crcs[x.doc[at]], B.narrow(x.ordinal[at]).astype(np.uint32)))
-                _send_keys(sender, x, once, x.index(once), x.probes(once), groups)
+                _send_keys(sender, x, once, x.index(once), x.probes(once), parts)
                 yield from sender.full()
         yield from sender.rest()
 
@@ -565,6 +528,7 @@ class _Keys:
 
 def _joined(sent: DataFrame, groups: int, hot: int | None) -> DataFrame:
     """Blobs of removed repeats, first occurrences, members of keys and, apart from them, units of hot keys."""
+    parts = B.dealt_to(groups)
 
     def join_keys(batches):
         sender = B.Sender()
@@ -592,8 +556,8 @@ def _joined(sent: DataFrame, groups: int, hot: int | None) -> DataFrame:
             new[1:] = (unit[1:] != unit[:-1]) | (check[1:] != check[:-1])
             lead = np.maximum.accumulate(np.where(new, np.arange(len(unit)), 0))
             later = (ids != ids[lead]) | (ordinals != ordinals[lead])
-            _send_removed(sender, ids[later], crcs[later], ordinals[later], groups)
-            for part, at in B.split_by(_by(unit[new], groups), groups):
+            _send_removed(sender, ids[later], crcs[later], ordinals[later], parts)
+            for part, at in B.split_by(_by(unit[new], parts), parts):
                 at = np.flatnonzero(new)[at]
                 sender.add(part, _FIRST, B.pack(unit[at], ids[at], crcs[at], ordinals[at]))
             yield from sender.full()
@@ -605,7 +569,7 @@ def _joined(sent: DataFrame, groups: int, hot: int | None) -> DataFrame:
                 yield from sender.full()
         yield from sender.rest()
 
-    return _dealt(sent, groups).mapInArrow(tidy(join_keys), B.SCHEMA)
+    return B.by_group(sent, groups, join_keys, B.SCHEMA, {k: B.cut_by(0) for k in (_OCCUR, _INDEX, _PROBE)})
 
 
 def _exploded(seen: DataFrame, kind: int, names: list[str]) -> DataFrame:
@@ -622,6 +586,7 @@ def _exploded(seen: DataFrame, kind: int, names: list[str]) -> DataFrame:
 
 def _near_losers(slim: DataFrame, seen: DataFrame, groups: int) -> DataFrame:
     """Blobs of the first occurrences that go because a line within tau comes first."""
+    parts = B.dealt_to(groups)
     members, hot = _exploded(seen, _MEMBER, ["k", "u", "ix", "sk"]), _exploded(seen, _HOT, ["u"])
     wanted = members.select("u", F.lit(False).alias("hot")).union(hot.select("u", F.lit(True).alias("hot"))).groupBy("u").agg(F.max("hot").alias("hot"))
     first = _exploded(seen, _FIRST, ["u", "d", "crc", "line"])
@@ -635,7 +600,7 @@ def _near_losers(slim: DataFrame, seen: DataFrame, groups: int) -> DataFrame:
                 for x in lines_of(data[lo:hi]):
                     every = np.arange(len(x.hash))
                     assert (x.hash == units[lo + x.doc]).all()
-                    _send_keys(sender, x, every, x.fine_index(every), x.fine_probes(every), groups)
+                    _send_keys(sender, x, every, x.fine_index(every), x.fine_probes(every), parts)
                     yield from sender.full()
         yield from sender.rest()
 
@@ -649,11 +614,11 @@ def _near_losers(slim: DataFrame, seen: DataFrame, groups: int) -> DataFrame:
         for batch in batches:
             lost = walk.add(batch)
             if len(lost[0]):
-                _send_removed(sender, *lost, groups)
+                _send_removed(sender, *lost, parts)
             yield from sender.full()
         lost = walk.end()
         if len(lost[0]):
-            _send_removed(sender, *lost, groups)
+            _send_removed(sender, *lost, parts)
         yield from sender.rest()
 
     met = members.join(contents.drop("hot"), "u").select("k", "ix", "sk", "d", "crc", "line", "bytes")
@@ -662,12 +627,13 @@ def _near_losers(slim: DataFrame, seen: DataFrame, groups: int) -> DataFrame:
 
 def _contents(slim: DataFrame, wanted: DataFrame, groups: int) -> DataFrame:
     """(u, hot, d, crc, line, bytes) of the lines asked for."""
+    parts = B.dealt_to(groups)
 
     def send_wanted(batches):
         sender = B.Sender()
         for batch in batches:
             u, hot, d, crc, line = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("u", "hot", "d", "crc", "line"))
-            for part, at in B.split_by(by_key(d, groups), groups):
+            for part, at in B.split_by(by_key(d, parts), parts):
                 sender.add(part, _WANTED, B.pack(u[at], hot[at].astype(np.uint8), d[at], crc[at], line[at]))
             yield from sender.full()
         yield from sender.rest()
@@ -692,8 +658,8 @@ def _contents(slim: DataFrame, wanted: DataFrame, groups: int) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["u", "hot", "d", "crc", "line", "bytes"])
 
-    met = wanted.select("u", "hot", "d", "crc", "line").mapInArrow(tidy(send_wanted), B.SCHEMA).union(send_rows(slim, "d", groups)).repartitionById(groups, F.col("part")).sortWithinPartitions("kind")
-    return met.mapInArrow(tidy(fetch), "u long, hot boolean, d long, crc long, line long, bytes binary")
+    met = wanted.select("u", "hot", "d", "crc", "line").mapInArrow(tidy(send_wanted), B.SCHEMA).union(send_rows(slim, "d", parts))
+    return B.by_group(met, groups, fetch, "u long, hot boolean, d long, crc long, line long, bytes binary", {_WANTED: B.cut_by(2, K.mix), ROWS: cut_rows("d")}, ordered=True)
 
 
 def _near(a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -835,5 +801,5 @@ def _settle(rows: DataFrame, removed: DataFrame, number: str, text: str, groups:
                     out.append(counts)
                 yield pa.RecordBatch.from_arrays(columns, names=out)
 
-    both = removed.union(send_rows(rows, number, groups)).repartitionById(groups, F.col("part")).sortWithinPartitions("kind")
-    return both.mapInArrow(tidy(run), schema)
+    both = removed.union(send_rows(rows, number, B.dealt_to(groups)))
+    return B.by_group(both, groups, run, schema, {_REMOVED: B.cut_by(0, K.mix), ROWS: cut_rows(number)}, ordered=True)
