@@ -128,6 +128,24 @@ def _send_repeats(sender: B.Sender, ids: np.ndarray, crcs: np.ndarray, doc: np.n
         sender.add(part, _REPEATS, B.pack(ids[d[at]], crcs[d[at]], B.narrow(a[at]), B.narrow(n[at])))
 
 
+def _send_texts(sender: B.Sender, groups: int, ids: np.ndarray, missing: np.ndarray, data: list[bytes]) -> None:
+    squeeze = zstandard.ZstdCompressor(level=1)
+    for part, at in B.split_by(_part_of(ids, groups), groups):
+        some = [data[i] for i in at]
+        sender.add(part, _TEXTS, B.pack(ids[at], missing[at].astype(np.uint8), np.array([len(x) for x in some], dtype=np.int64), np.frombuffer(squeeze.compress(b"".join(some)), dtype=np.uint8)))
+
+
+def _read_texts(lengths: np.ndarray, packed: np.ndarray) -> list[bytes]:
+    data = zstandard.ZstdDecompressor().decompress(packed.tobytes(), max_output_size=int(lengths.sum()) + 1)
+    return [data[e - n : e] for e, n in zip(np.cumsum(lengths).tolist(), lengths.tolist(), strict=True)]
+
+
+def _cut_texts(sender: B.Sender, kind: int, groups: int, blobs: list[bytes]) -> None:
+    """What `_send_texts` sent to its groups, for `blobs.by_group`."""
+    ids, missing, lengths, packed = zip(*map(B.unpack, blobs), strict=True)
+    _send_texts(sender, groups, np.concatenate(ids), np.concatenate(missing), [x for some in zip(lengths, packed, strict=True) for x in _read_texts(*some)])
+
+
 def _send_suffixes(sender: B.Sender, part: np.ndarray, parts: int, ids: np.ndarray, crcs: np.ndarray, doc: np.ndarray, pos: np.ndarray, label: np.ndarray, more: np.ndarray) -> None:
     """Suffixes to parts; `doc` indexes ids and is sorted, pos within it."""
     for p, at in B.split_by(part, parts):
@@ -281,7 +299,8 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(int(_NULL_ID))).alias("d"), F.col(text).alias("t"))
     trie, parts, again = _prefixes(rows, window, shuffle_partitions(docs.sparkSession))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    groups = max(shuffle_partitions(docs.sparkSession), size // (16 << 20) + 1)
+    groups = B.whole_groups(max(shuffle_partitions(docs.sparkSession), size // (16 << 20) + 1))
+    text_parts = B.dealt_to(groups)
 
     def suffixes(batches):
         sender = B.Sender()
@@ -289,7 +308,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window
             for ids, crcs, s, once, same, first in _leaves(batch, window):
                 real = (ids[s.doc[same]] != ids[s.doc[first]]) | (s.pos[same] != s.pos[first])  # a row given twice is no repeat of itself
                 same = np.sort(same[real])
-                _send_repeats(sender, ids, crcs, s.doc[same], s.pos[same], groups)
+                _send_repeats(sender, ids, crcs, s.doc[same], s.pos[same], text_parts)
                 _send_suffixes(sender, trie.part[trie.find(s.nibble, s.start[once])], parts, ids, crcs, s.doc[once], s.pos[once], s.label[once], s.more[once])
                 yield from sender.full()
         yield from sender.rest()
@@ -349,19 +368,16 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window
             again_ = (d != d[lead]) | (pos != pos[lead])
             run, pos = run[again_], pos[again_]
             order = np.lexsort((pos, run))
-            _send_repeats(sender, ids, crcs, run[order], pos[order], groups)
+            _send_repeats(sender, ids, crcs, run[order], pos[order], text_parts)
         yield from sender.rest()
 
     def texts(batches):
         sender = B.Sender()
-        squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             ids, data = batch.column("d").to_numpy(), texts_of(batch, "t")
             missing = np.array([x is None for x in data], dtype=bool)
             for lo, hi in K.chunks([x or b"" for x in data], 8 << 20):
-                for part, at in B.split_by(_part_of(ids[lo:hi], groups), groups):
-                    some = [data[lo + i] or b"" for i in at]
-                    sender.add(part, _TEXTS, B.pack(ids[lo + at], missing[lo + at].astype(np.uint8), np.array([len(x) for x in some], dtype=np.int64), np.frombuffer(squeeze.compress(b"".join(some)), dtype=np.uint8)))
+                _send_texts(sender, text_parts, ids[lo:hi], missing[lo:hi], [x or b"" for x in data[lo:hi]])
                 yield from sender.full()
         yield from sender.rest()
 
@@ -376,9 +392,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window
                 if lookup is None:
                     lookup = _Repeats(found, window)
                 ids, missing, lengths, packed = B.unpack(blob)
-                data = zstandard.ZstdDecompressor().decompress(packed.tobytes(), max_output_size=int(lengths.sum()) + 1)
-                ends = np.cumsum(lengths)
-                some = [data[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+                some = _read_texts(lengths, packed)
                 for lo, hi in K.chunks(some):
                     yield result(lookup.apply(ids[lo:hi], missing[lo:hi], some[lo:hi], kept_text))
 
@@ -389,13 +403,14 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[:width], types, strict=False)], names=["d", "n_words", "n_removed", "kept_sha256", "kept_text"][:width])
 
     dealt = rows.mapInArrow(tidy(suffixes), B.SCHEMA)
-    if again > 1:
-        whole = dealt.where(F.col("kind") == _SUFFIXES).repartitionById(parts, F.col("part")).mapInArrow(tidy(deal_again), B.SCHEMA)
-        dealt = dealt.where(F.col("kind") != _SUFFIXES).union(whole)
-    repeats = dealt.repartitionById(parts * again, F.pmod(F.col("part"), F.lit(parts * again))).mapInArrow(tidy(subtrees), B.SCHEMA)
-    both = repeats.union(rows.mapInArrow(tidy(texts), B.SCHEMA)).repartitionById(groups, F.col("part")).sortWithinPartitions("kind")
+    dealt = dealt.repartitionById(parts, F.pmod(F.col("part"), F.lit(parts)))
+    if again > 1:  # a part's groups stay in its partition and come one after the other
+        repeats = dealt.mapInArrow(tidy(deal_again), B.SCHEMA).sortWithinPartitions("part").mapInArrow(tidy(B.each(subtrees)), B.SCHEMA)
+    else:
+        repeats = dealt.mapInArrow(tidy(subtrees), B.SCHEMA)
+    both = repeats.union(rows.mapInArrow(tidy(texts), B.SCHEMA))
     schema = "d long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if kept_text else "")
-    found = both.mapInArrow(tidy(settle), schema)
+    found = B.by_group(both, groups, settle, schema, {_REPEATS: B.cut_by(0, K.mix), _TEXTS: _cut_texts}, ordered=True)
     return found.select(F.when(F.col("d") != int(_NULL_ID), F.col("d")).cast(kind).alias(key), *found.columns[1:])
 
 

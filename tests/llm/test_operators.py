@@ -379,6 +379,19 @@ def test_warc_salvage():
     assert list(salvage(b"")) == [] and [type(x) for x in salvage(b"no archive")] == [Gap]
 
 
+def test_lines_and_substrings_dealt_in_two_steps(docs, rows, monkeypatch):
+    from splitaudit.llm import blobs, lines, substrings
+
+    monkeypatch.setattr(blobs, "MAX_PARTS", 3)
+    monkeypatch.setattr(blobs, "RECUT_BYTES", 20_000)
+    monkeypatch.setattr(lines, "_groups", lambda docs, text: blobs.whole_groups(10))
+    got = lines.deduplicate(docs, counts="counts").collect()
+    assert {r["doc_id"]: (r["counts"]["lines"], r["counts"]["removed"], r["text"]) for r in got} == brute.line_dedup(rows)
+    prefixes = substrings._prefixes
+    monkeypatch.setattr(substrings, "_prefixes", lambda *a: (*prefixes(*a)[:2], 3))
+    assert {r[0]: tuple(r)[1:] for r in substrings.deduplicate(docs).collect()} == brute.repeats(rows)
+
+
 def test_lines(docs, rows, spark):
     from splitaudit.llm.lines import deduplicate
 
