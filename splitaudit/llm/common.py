@@ -120,7 +120,7 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 40) -> DataFr
     Alternating large-star and small-star rounds.  Both stars use a minimum (combined
     before the shuffle) and an equi-join, so no node's neighbours are ever gathered in one
     place and a hub's join partition can be split.  Each round is cut to the shared folder;
-    the driver sees one count and checksum a round.  Self-loops and nulls are ignored; an
+    the driver sees one count and checksum a round.  `edges` is computed once, so callers need not cut it.  Self-loops and nulls are ignored; an
     empty edge list gives an empty result; repeated edges count once.
     """
     spark = edges.sparkSession

@@ -377,7 +377,7 @@ def _components(docs: DataFrame, key: str, text: str, n: int, threshold: tuple[i
     cuts = {_HITS: _cut_sent(2, by_unit=True), _TOKENS: _cut_sent(2)}
     counted = B.by_group(sets, groups, frequencies, B.SCHEMA, cuts)
     units = cut(B.by_group(counted, groups, ordered_units, "u long, n long, base long, ell long, m long, t binary", cuts), "units")
-    links = cut(_links(units, groups, num, den), "links")
+    links = _links(units, groups, num, den)
     comps = components(links, "u", "v").select(F.col("node").alias("u"), "component")
     reps = classes.select("u", "rep").join(comps, "u", "left").select("u", "rep", F.coalesce("component", "u").alias("component"))
     least = reps.groupBy("component").agg(F.min("rep").alias("least"))
@@ -499,7 +499,7 @@ def _links(units: DataFrame, groups: int, num: int, den: int) -> DataFrame:
 
     prefixes = {_TOKENS: _cut_sent(4)}
     postings = B.by_group(hubbed.mapInArrow(tidy(long_prefixes), B.SCHEMA), groups, hub_pairs, "x long, y long, w long", prefixes)
-    close = cut(postings.groupBy("x", "y").agg(F.sum("w").alias("w")).where(F.col("w") >= MERGE_POSTINGS), "hub-pairs")
+    close = postings.groupBy("x", "y").agg(F.sum("w").alias("w")).where(F.col("w") >= MERGE_POSTINGS)
     merged = components(close, "x", "y").select(F.col("node").alias("hub"), "component")
     hubbed = cut(hubbed.join(merged, "hub", "left").withColumn("hub", F.coalesce("component", "hub")).drop("component"), "merged-hubs")
 

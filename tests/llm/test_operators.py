@@ -117,6 +117,17 @@ def test_jaccard_dealt_in_two_steps(docs, rows, monkeypatch):
     assert {r[0]: (r[1], r[2]) for r in jaccard.jaccard_components(docs).collect()} == brute.jaccard(rows)
 
 
+def test_jaccard_writes_edges_once(docs, rows, monkeypatch):
+    """Edge lists go into `components`, which writes them itself: no table is written that only it would read."""
+    from splitaudit.llm import jaccard
+
+    written, cut = [], jaccard.cut
+    monkeypatch.setattr(jaccard, "cut", lambda df, name: written.append(name) or cut(df, name))
+    assert {r[0]: (r[1], r[2]) for r in jaccard.jaccard_components(docs).collect()} == brute.jaccard(rows)
+    assert sorted({"links", "hub-pairs"} & set(written)) == []
+    assert {"sets", "units", "hubs", "merged-hubs", "blocks"} <= set(written)
+
+
 def test_jaccard_of_a_large_near_group_and_null_keys(spark):
     from splitaudit.llm import jaccard
 
